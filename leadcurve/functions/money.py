@@ -1,46 +1,37 @@
 """Revenue, order bumps and net income."""
 
-from __future__ import annotations
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from leadcurve.constants import BUMP_PRICE, LIST_PRICE, NET_BUMP, NET_SALE
-from leadcurve.functions.numbers import col
+from leadcurve.functions.numbers import half_up
 
 MONEY = "decimal(18,2)"
 
 
-def price(value) -> Column:
-    return F.lit(value).cast("decimal(6,2)")
-
-
-def sum_money(amount: Column | str) -> Column:
+def sum_money(amount: str) -> str:
     """Exact sum of amounts with two decimals.
 
     Summed as whole cents, so that the aggregation buffer is a long, and
     turned back into a decimal once per group.
     """
-    cents = (col(amount) * F.lit(100)).cast("bigint")
-    return (F.sum(cents).cast("decimal(20,0)") * F.lit(0.01).cast("decimal(3,2)")).cast(MONEY)
+    return f"cast(cast(sum(cast(({amount}) * 100 as bigint)) as decimal(20,0)) * 0.01 as {MONEY})"
+
+
+def money_or_nothing(amount: str) -> str:
+    return f"cast(coalesce({amount}, 0) as {MONEY})"
 
 
-def revenue_or_list_price(value: Column | str, sales: Column | str) -> Column:
+def revenue_or_list_price(value: str, sales: str) -> str:
     """Reported revenue, or sales at list price when none was reported."""
-    return F.when(col(value) > 0, col(value).cast(MONEY)).otherwise(
-        (col(sales).cast("decimal(11,0)") * price(LIST_PRICE)).cast(MONEY)
-    )
+    return f"(case when {value} > 0 then cast({value} as {MONEY}) else cast({sales} * {LIST_PRICE} as {MONEY}) end)"
 
 
-def net_income(revenue: Column | str, sales: Column | str) -> Column:
+def net_income(revenue: str, sales: str) -> str:
     """Net of sales and of the order bumps that the revenue implies.
 
     Both prices are fixed, so revenue above sales at list price tells how
     many bumps were sold. Zero sales give zero.
     """
-    n = F.coalesce(col(sales), F.lit(0)).cast("decimal(11,0)")
-    gross = F.coalesce(col(revenue), F.lit(0)).cast(MONEY)
-    extra = (gross - n * price(LIST_PRICE)).cast("double")
-    bumps = F.greatest(F.floor(extra / F.lit(float(BUMP_PRICE)) + F.lit(0.5)), F.lit(0).cast("bigint"))
-    net = n * price(NET_SALE) + bumps.cast("decimal(11,0)") * price(NET_BUMP)
-    return F.when(n == 0, F.lit(0).cast(MONEY)).otherwise(net.cast(MONEY))
+    n, gross = f"coalesce({sales}, 0)", f"coalesce({revenue}, 0)"
+    extra = f"cast(cast({gross} - {n} * {LIST_PRICE} as {MONEY}) as double) / {BUMP_PRICE}D"
+    bumps = f"greatest(cast({half_up(extra)} as bigint), 0L)"
+    net = f"{n} * {NET_SALE} + {bumps} * {NET_BUMP}"
+    return f"cast(case when {n} = 0 then 0 else {net} end as {MONEY})"

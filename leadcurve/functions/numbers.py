@@ -1,51 +1,41 @@
 """Number coercion and rounding."""
 
-from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def half_up(value: Column | str, digits: int = 0) -> Column:
+def half_up(value: str, digits: int = 0) -> str:
     """Round a double with halves going towards +infinity.
 
     ``round(-12.25, 1)`` is -12.3 in SQL; here it is -12.2.
     """
-    scale = float(10**digits)
-    return F.floor(col(value).cast("double") * scale + F.lit(0.5)).cast("double") / F.lit(scale)
+    scale = 10**digits
+    return f"(floor(cast({value} as double) * {scale}D + 0.5D) / {scale}D)"
 
 
-def half_up_ratio(numerator: Column, denominator: Column, times: float, digits: int) -> Column:
-    """``times * numerator / denominator`` rounded; null when the denominator is 0 or null."""
-    n, d = numerator.cast("double"), denominator.cast("double")
-    return F.when(d != 0, half_up(F.lit(float(times)) * n / d, digits))
+def ratio(numerator: str, denominator: str, times: int = 1) -> str:
+    """``times * numerator / denominator`` in doubles, null when the denominator is 0 or null."""
+    return (
+        f"(case when {denominator} != 0 then "
+        f"{times}D * cast({numerator} as double) / cast({denominator} as double) end)"
+    )
 
 
-def divide_or_null(numerator: Column, denominator: Column) -> Column:
-    """Plain double division, null when the denominator is 0 or null."""
-    n, d = numerator.cast("double"), denominator.cast("double")
-    return F.when(d != 0, n / d)
+def rounded_ratio(numerator: str, denominator: str, times: int, digits: int) -> str:
+    return half_up(ratio(numerator, denominator, times), digits)
 
 
-def number_or_zero(text: Column | str) -> Column:
+def number_or_zero(text: str) -> str:
     """Text to double; null, not a number and unparseable all give 0."""
-    return F.coalesce(F.nanvl(col(text).try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    return f"coalesce(nanvl(try_cast({text} as double), 0D), 0D)"
 
 
-def count_or_zero(text: Column | str) -> Column:
-    return F.coalesce(number_or_zero(text).try_cast("bigint"), F.lit(0).cast("bigint"))
+def count_or_zero(text: str) -> str:
+    return f"coalesce(try_cast({number_or_zero(text)} as bigint), 0L)"
 
 
-def money_or_zero(text: Column | str) -> Column:
+def money_or_zero(text: str) -> str:
     """Text to decimal(12,2); anything that is no finite number gives 0."""
-    return F.coalesce(col(text).try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
+    return f"coalesce(try_cast({text} as decimal(12,2)), cast(0 as decimal(12,2)))"
 
 
-def leading_int(text: Column | str) -> Column:
+def leading_int(text: str) -> str:
     """Integer made of the leading digits of a text (``'12abc'`` gives 12), else null."""
-    digits = F.regexp_extract(col(text), r"^\s*([+-]?[0-9]+)", 1)
-    return F.nullif(digits, F.lit("")).try_cast("int")
+    return rf"try_cast(nullif(regexp_extract({text}, r'^\s*([+-]?[0-9]+)', 1), '') as int)"

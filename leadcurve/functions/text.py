@@ -1,51 +1,41 @@
 """Text and time-text helpers."""
 
-from __future__ import annotations
-
-import datetime as dt
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from leadcurve.functions.numbers import col
-
 _BLANKS = " \t\n\r\x0b\x0c" + chr(0xA0) + chr(0xFEFF)  # space-like characters
 
 
-def strip(text: Column | str) -> Column:
+def strip(text: str) -> str:
     """Trim every kind of blank, not only spaces."""
-    return F.btrim(col(text), F.lit(_BLANKS))
+    return f"btrim({text}, '{_BLANKS}')"
 
 
-def empty_to_null(text: Column | str) -> Column:
-    return F.nullif(col(text), F.lit(""))
+def empty_to_null(text: str) -> str:
+    return f"nullif({text}, '')"
 
 
-def or_else(text: Column | str, fallback: Column | str) -> Column:
-    """First text unless it is null or empty."""
-    return F.coalesce(empty_to_null(text), fallback if isinstance(fallback, Column) else F.lit(fallback))
+def or_else(text: str, fallback: str) -> str:
+    """The text, or the fallback expression when it is null or empty."""
+    return f"coalesce(nullif({text}, ''), {fallback})"
 
 
-def json_text_or_null(text: Column | str) -> Column:
+def json_text_or_null(text: str) -> str:
     """The text when it parses as JSON other than ``null``, else null."""
-    value = F.try_parse_json(col(text))
-    return F.when(value.isNotNull() & ~F.is_variant_null(value), col(text))
+    value = f"try_parse_json({text})"
+    return f"(case when {value} is not null and not is_variant_null({value}) then {text} end)"
 
 
-def utc_timestamp(text: Column | str) -> Column:
+def utc_timestamp(text: str) -> str:
     """Text to a zone-less UTC timestamp, null when it is no date.
 
     Text with an offset is moved to UTC, text without one is read as UTC,
     whatever the session time zone is.
     """
     raw = strip(text)
-    instant = F.timestamp_add(
-        "MICROSECOND",
-        F.unix_micros(raw.try_cast("timestamp")),
-        F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz"),
+    offset = r"r'[0-9]{2}:[0-9]{2}.*(Z|[+-][0-9]{2}:?[0-9]{2})$'"
+    instant = (
+        f"timestampadd(MICROSECOND, unix_micros(try_cast({raw} as timestamp)), "
+        "timestamp_ntz'1970-01-01 00:00:00')"
     )
-    has_offset = raw.rlike(r"[0-9]{2}:[0-9]{2}.*(Z|[+-][0-9]{2}:?[0-9]{2})$")
-    return F.when(
-        raw.rlike(r"^[0-9]{4}(-|$)"),
-        F.when(has_offset, instant).otherwise(raw.try_cast("timestamp_ntz")),
+    return (
+        f"(case when {raw} rlike {offset} then {instant} "
+        f"when {raw} rlike r'^[0-9]{{4}}(-|$)' then try_cast({raw} as timestamp_ntz) end)"
     )

@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadcurve.constants import DIAMOND_MAX_CPC, DIAMOND_MIN_CTR, DIAMOND_MIN_SPEND, TAGS
-from leadcurve.functions.money import MONEY, net_income, revenue_or_list_price, sum_money
-from leadcurve.functions.numbers import half_up_ratio
+from leadcurve.functions.money import (
+    MONEY,
+    money_or_nothing,
+    net_income,
+    revenue_or_list_price,
+    sum_money,
+)
+from leadcurve.functions.numbers import half_up, ratio, rounded_ratio
 from leadcurve.operators.periods import EVERYTHING, Period, within_dates
 
 LABELS = ("anuncio", "campanha", "status", *TAGS)
 _SUMS = ("impressoes", "clicks", "thruplay", "p25", "lpv", "checkouts", "vendas")
 
-
-def three_second_plays(v3s: Column | str = "v3s", v2s: Column | str = "v2s") -> Column:
-    """3-second plays, or 2-second plays where there are none."""
-    v3, v2 = (F.col(c) if isinstance(c, str) else c for c in (v3s, v2s))
-    return F.when(v3 > 0, v3).otherwise(v2)
+# 3-second plays, or 2-second plays where there are none
+THREE_SECOND_PLAYS = "case when v3s > 0 then v3s else v2s end"
 
 
 def not_absorbed(creatives: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -25,6 +28,15 @@ def not_absorbed(creatives: DataFrame, aliases: DataFrame) -> DataFrame:
     return creatives.join(aliases.select("anuncio"), "anuncio", "left_anti")
 
 
+def _totals(daily: DataFrame, *more: str) -> DataFrame:
+    return daily.groupBy("anuncio").agg(
+        F.expr(f"{sum_money('gasto')} as gasto"),
+        F.expr(f"{sum_money('valor')} as valor"),
+        *[F.expr(f"sum({c}) as {c}") for c in _SUMS],
+        *[F.expr(m) for m in more],
+    )
+
+
 def creative_metrics(
     creatives: DataFrame, daily: DataFrame, aliases: DataFrame, period: Period = EVERYTHING
 ) -> DataFrame:
@@ -34,36 +46,18 @@ def creative_metrics(
     adjustments are always added. The facts are reduced to one row per ad
     before they are joined.
     """
-    totals = within_dates(daily, period).groupBy("anuncio").agg(
-        sum_money("gasto").alias("gasto"),
-        sum_money("valor").alias("valor"),
-        F.sum(three_second_plays()).alias("v3s"),
-        *[F.sum(c).alias(c) for c in _SUMS],
-    )
-    joined = not_absorbed(creatives, aliases).join(totals, "anuncio", "left")
-
-    def count(name: str) -> Column:
-        return F.coalesce(name, F.lit(0)).cast("bigint")
-
-    def amount(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0)).cast(MONEY)
-
-    return joined.select(
-        *LABELS,
-        amount("gasto").alias("gasto"),
-        *[count(c).alias(c) for c in ("impressoes", "clicks", "v3s", "thruplay", "p25", "lpv", "checkouts")],
-        (count("vendas") + F.coalesce("vendas_ajuste", F.lit(0))).alias("vendas"),
-        (amount("valor") + amount("valor_ajuste")).cast(MONEY).alias("valor"),
-    )
-
-
-def sheet_totals(sheet_daily: DataFrame, period: Period = EVERYTHING) -> DataFrame:
-    """Sums per ad name over daily rows that may repeat an ad and day."""
-    rows = within_dates(sheet_daily, period).where(F.col("anuncio") != "")
-    return rows.groupBy("anuncio").agg(
-        sum_money("gasto").alias("gasto"),
-        sum_money("valor").alias("valor"),
-        *[F.sum(c).alias(c) for c in (*_SUMS, "v3s", "v2s")],
+    totals = _totals(within_dates(daily, period), f"sum({THREE_SECOND_PLAYS}) as v3s")
+    counts = ("impressoes", "clicks", "v3s", "thruplay", "p25", "lpv", "checkouts")
+    return (
+        not_absorbed(creatives, aliases)
+        .join(totals, "anuncio", "left")
+        .selectExpr(
+            *LABELS,
+            f"{money_or_nothing('gasto')} as gasto",
+            *[f"coalesce({c}, 0L) as {c}" for c in counts],
+            "coalesce(vendas, 0L) + coalesce(vendas_ajuste, 0) as vendas",
+            f"cast(coalesce(valor, 0) + coalesce(valor_ajuste, 0) as {MONEY}) as valor",
+        )
     )
 
 
@@ -72,42 +66,25 @@ def sheet_metrics(
 ) -> DataFrame:
     """Period metrics by the older generation's rules.
 
-    No alias is resolved; the 3-second and list-price fallbacks apply to the
-    period totals; a creative without rows is all zeros and its manual
-    adjustment is ignored.
+    Daily rows may repeat an ad and day. No alias is resolved; the 3-second
+    and list-price fallbacks apply to the period totals; a creative without
+    rows is all zeros and its manual adjustment is ignored.
     """
-    totals = sheet_totals(sheet_daily, period).withColumn("_tem", F.lit(True))
-    joined = creatives.where(F.col("anuncio") != "").join(totals, "anuncio", "left")
-    delivered = F.coalesce("_tem", F.lit(False))
-
-    def or_zero(value: Column, kind: str) -> Column:
-        return F.when(delivered, value).otherwise(F.lit(0)).cast(kind)
-
-    revenue = revenue_or_list_price("valor", "vendas") + F.coalesce("valor_ajuste", F.lit(0))
-    return joined.select(
-        *LABELS,
-        or_zero(F.col("gasto"), MONEY).alias("gasto"),
-        *[
-            or_zero(F.col(c), "bigint").alias(c)
-            for c in ("impressoes", "clicks", "thruplay", "p25", "lpv", "checkouts")
-        ],
-        or_zero(three_second_plays(), "bigint").alias("v3s"),
-        or_zero(F.col("vendas") + F.coalesce("vendas_ajuste", F.lit(0)), "bigint").alias("vendas"),
-        or_zero(revenue, MONEY).alias("valor"),
-    )
-
-
-def is_diamond(spend: Column, impressions: Column, ctr: Column) -> Column:
-    """Enough spend, a high click rate and a low cost per click, all at once.
-
-    Clicks are rebuilt from the rounded click rate.
-    """
-    rate = F.coalesce(ctr, F.lit(0.0))
-    clicks = impressions.cast("double") * rate / F.lit(100.0)
-    cost = F.when(clicks != 0, spend.cast("double") / clicks)
-    return F.coalesce(
-        (spend >= DIAMOND_MIN_SPEND) & (rate >= DIAMOND_MIN_CTR) & (cost <= DIAMOND_MAX_CPC),
-        F.lit(False),
+    rows = within_dates(sheet_daily, period).where("anuncio != ''")
+    totals = _totals(rows, "sum(v3s) as v3s", "sum(v2s) as v2s", "true as _tem")
+    revenue = f"{revenue_or_list_price('valor', 'vendas')} + coalesce(valor_ajuste, 0)"
+    counts = ("impressoes", "clicks", "thruplay", "p25", "lpv", "checkouts")
+    return (
+        creatives.where("anuncio != ''")
+        .join(totals, "anuncio", "left")
+        .selectExpr(
+            *LABELS,
+            f"{money_or_nothing('gasto')} as gasto",
+            *[f"coalesce({c}, 0L) as {c}" for c in counts],
+            f"coalesce({THREE_SECOND_PLAYS}, 0L) as v3s",
+            "if(_tem, vendas + coalesce(vendas_ajuste, 0), 0L) as vendas",
+            f"cast(if(_tem, {revenue}, 0) as {MONEY}) as valor",
+        )
     )
 
 
@@ -115,56 +92,63 @@ def creative_report(metrics: DataFrame) -> DataFrame:
     """Ratios, net income and the diamond flag for each creative's period metrics.
 
     A ratio is null when its denominator is 0. ``valor`` becomes
-    ``faturamento``.
+    ``faturamento``. The diamond asks for enough spend, a high click rate and
+    a low cost per click at once, with clicks rebuilt from the rounded rate.
     """
-    c = F.col
-    ratios = metrics.select(
-        *LABELS,
-        "gasto",
-        "impressoes",
-        (half_up_ratio(c("clicks"), c("impressoes"), 10000, 0) / F.lit(100.0)).alias("ctr_pct"),
-        F.when(c("v3s") != 0, half_up_ratio(c("v3s"), c("impressoes"), 100, 1)).alias("hook_rate_pct"),
-        half_up_ratio(c("thruplay"), c("v3s"), 100, 1).alias("hold_rate_pct"),
-        half_up_ratio(c("p25"), c("impressoes"), 100, 1).alias("views25_pct"),
-        "lpv",
-        half_up_ratio(c("gasto"), c("lpv"), 1, 2).alias("custo_lpv"),
-        "checkouts",
-        half_up_ratio(c("gasto"), c("checkouts"), 1, 2).alias("custo_checkout"),
-        "vendas",
-        half_up_ratio(c("gasto"), c("vendas"), 1, 2).alias("custo_venda"),
-        c("valor").alias("faturamento"),
-        half_up_ratio(c("valor"), c("gasto"), 100, 0).alias("_roas"),
-        net_income("valor", "vendas").alias("liquido"),
-    )
-    return ratios.select(
-        *[x for x in ratios.columns if x not in ("_roas", "liquido")],
-        (c("_roas") / F.lit(100.0)).alias("roas"),
-        half_up_ratio(c("liquido") - c("gasto"), c("gasto"), 100, 1).alias("roi_pct"),
-        "liquido",
-        is_diamond(c("gasto"), c("impressoes"), c("ctr_pct")).alias("diamante"),
+    clicks = "(impressoes * ctr_pct / 100D)"
+    cost_per_click = ratio("gasto", clicks)
+    return (
+        metrics.selectExpr(
+            *LABELS,
+            "gasto",
+            "impressoes",
+            f"{rounded_ratio('clicks', 'impressoes', 10000, 0)} / 100D as ctr_pct",
+            f"case when v3s != 0 then {rounded_ratio('v3s', 'impressoes', 100, 1)} end as hook_rate_pct",
+            f"{rounded_ratio('thruplay', 'v3s', 100, 1)} as hold_rate_pct",
+            f"{rounded_ratio('p25', 'impressoes', 100, 1)} as views25_pct",
+            "lpv",
+            f"{rounded_ratio('gasto', 'lpv', 1, 2)} as custo_lpv",
+            "checkouts",
+            f"{rounded_ratio('gasto', 'checkouts', 1, 2)} as custo_checkout",
+            "vendas",
+            f"{rounded_ratio('gasto', 'vendas', 1, 2)} as custo_venda",
+            "valor as faturamento",
+            f"{rounded_ratio('valor', 'gasto', 100, 0)} / 100D as roas",
+            f"{net_income('valor', 'vendas')} as liquido",
+        )
+        .selectExpr(
+            "*",
+            f"{rounded_ratio('(liquido - gasto)', 'gasto', 100, 1)} as roi_pct",
+            f"coalesce(gasto >= {DIAMOND_MIN_SPEND} and ctr_pct >= {DIAMOND_MIN_CTR} "
+            f"and {cost_per_click} <= {DIAMOND_MAX_CPC}D, false) as diamante",
+        )
     )
 
 
 # --- status and upkeep ------------------------------------------------------
-def _plain(status: Column | str) -> Column:
-    return F.lower(F.btrim(F.coalesce(status, F.lit(""))))
-
-
-def decided_status(stored: Column | str, recent: Column | str) -> Column:
-    """Automatic status, unless a hand-written one is stored (kept in lower case)."""
-    label = _plain(stored)
-    automatic = F.when(F.col(recent) if isinstance(recent, str) else recent, "ativo").otherwise("testado")
-    return F.when(label.isin("", "ativo", "rodando", "testado"), automatic).otherwise(label)
+def _plain(status: str) -> str:
+    return f"lower(btrim(coalesce({status}, '')))"
 
 
 def rollup_status(rollup: DataFrame, creatives: DataFrame) -> DataFrame:
-    """Delivered ads with the status each should get."""
-    stored = creatives.select("anuncio", F.col("status").alias("_status"))
+    """Delivered ads with the status each should get.
+
+    The status is automatic unless a hand-written one is stored; that one is
+    kept in lower case.
+    """
+    stored = creatives.selectExpr("anuncio", f"{_plain('status')} as _status")
+    automatic = "coalesce(_status, '') in ('', 'ativo', 'rodando', 'testado')"
     return (
-        rollup.where(F.col("impressoes") > 0)
+        rollup.where("impressoes > 0")
         .join(stored, "anuncio", "left")
-        .withColumn("status", decided_status("_status", "recente"))
-        .select("anuncio", "ad_id", "campanha", "impressoes", "recente", "status")
+        .selectExpr(
+            "anuncio",
+            "ad_id",
+            "campanha",
+            "impressoes",
+            "recente",
+            f"case when not {automatic} then _status when recente then 'ativo' else 'testado' end as status",
+        )
     )
 
 
@@ -176,39 +160,21 @@ def upsert_creatives(creatives: DataFrame, rollup: DataFrame, now: Column) -> Da
     """
     new = rollup_status(rollup, creatives).select(
         "anuncio",
-        F.coalesce("ad_id", F.lit("")).alias("_ad_id"),
-        F.col("campanha").alias("_campanha"),
-        F.col("status").alias("_status"),
-        F.lit(True).alias("_novo"),
+        F.expr("coalesce(ad_id, '') as _ad_id"),
+        F.expr("campanha as _campanha"),
+        F.expr("status as _status"),
+        now.cast("timestamp_ntz").alias("_atualizado"),
     )
-    fresh = F.col("_novo").isNotNull()
-
-    def choose(name: str, value: Column) -> Column:
-        return F.when(fresh, value).otherwise(F.col(name)).alias(name)
-
-    kinds = dict(creatives.dtypes)
-    changed = {
-        "ad_id": F.col("_ad_id"),
-        "campanha": F.col("_campanha"),
-        "status": F.col("_status"),
-        "atualizado": now.cast(kinds["atualizado"]),
-    }
-    zero = {"vendas_ajuste", "valor_ajuste"}
-    return creatives.join(new, "anuncio", "full_outer").select(
-        *[
-            choose(name, changed[name])
-            if name in changed
-            else F.coalesce(name, F.lit(0).cast(kinds[name])).alias(name)
-            if name in zero
-            else F.col(name)
-            for name in creatives.columns
-        ]
+    fresh = {c: f"if(_status is not null, _{c}, {c})" for c in ("ad_id", "campanha", "status", "atualizado")}
+    fresh |= {c: f"coalesce({c}, 0)" for c in ("vendas_ajuste", "valor_ajuste")}
+    return creatives.join(new, "anuncio", "full_outer").selectExpr(
+        *[f"cast({fresh.get(c, c)} as {kind}) as {c}" for c, kind in creatives.dtypes]
     )
 
 
 def rename_running(creatives: DataFrame) -> DataFrame:
     """Status ``rodando``, in any spelling of case and blanks, becomes ``ativo``."""
-    running = _plain("status") == "rodando"
+    running = F.expr(f"{_plain('status')} = 'rodando'")
     return creatives.withColumn("status", F.when(running, "ativo").otherwise(F.col("status")))
 
 
@@ -218,17 +184,17 @@ def with_medals(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     ``rules`` holds one row with the rule array; it is read as a scalar
     subquery, so creatives are neither joined nor multiplied.
     """
-    spend = F.col("gasto")
-    met = lambda rule: (
-        (F.col("vendas") >= rule["vendas"]) & (spend > 0) & (F.col("valor") >= rule["roas"] * spend)
-    )
-    best = F.get(F.filter("_regras", met), 0)
-    return metrics.withColumn("_regras", rules.scalar()).select(
-        "anuncio",
-        "gasto",
-        "vendas",
-        "valor",
-        half_up_ratio(F.col("valor"), spend, 1, 2).alias("roas"),
-        best["nome"].alias("medalha"),
-        best["selo"].alias("selo"),
+    met = "r -> vendas >= r.vendas and gasto > 0 and valor >= r.roas * gasto"
+    return (
+        metrics.withColumn("_regras", rules.scalar())
+        .selectExpr("*", f"get(filter(_regras, {met}), 0) as _medalha")
+        .selectExpr(
+            "anuncio",
+            "gasto",
+            "vendas",
+            "valor",
+            f"{half_up(ratio('valor', 'gasto'), 2)} as roas",
+            "_medalha.nome as medalha",
+            "_medalha.selo as selo",
+        )
     )

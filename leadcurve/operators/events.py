@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadcurve.constants import (
@@ -29,27 +29,19 @@ def ping_to_row(pings: DataFrame) -> DataFrame:
     A request counts when it carries a stage or delivers answers. Answers
     keep their JSON in ``data``; stage pings keep the headline variant there.
     """
-    answers = F.coalesce(F.col("action") == "respostas", F.lit(False))
-    counted = pings.where(answers | (F.col("etapa") != ""))
-    extra = F.when(answers, F.coalesce("data", F.lit(""))).otherwise(
-        F.concat(F.lit("v"), or_else("v", "0"))
-    )
-    return counted.select(
+    answers, variant = "action <=> 'respostas'", or_else("v", "'0'")
+    return pings.where(f"{answers} or etapa != ''").selectExpr(
         "id",
-        F.col("recebido").alias("ts"),
-        F.coalesce("sessao", F.lit("")).alias("sessao"),
-        F.when(answers, "respostas").otherwise("etapa").alias("tipo"),
-        F.coalesce("etapa", F.lit("")).alias("etapa"),
-        extra.alias("data"),
+        "recebido as ts",
+        "coalesce(sessao, '') as sessao",
+        f"if({answers}, 'respostas', 'etapa') as tipo",
+        "coalesce(etapa, '') as etapa",
+        f"if({answers}, coalesce(data, ''), concat('v', {variant})) as data",
     )
 
 
-def _in_stage_range(stage: Column) -> Column:
-    return F.coalesce(stage.between(1, MAX_STAGE), F.lit(False))
-
-
-def _outside(value: Column, limits: tuple[int, int]) -> Column:
-    return ~F.coalesce(F.char_length(value).between(*limits), F.lit(False))
+def _absent_or_outside(value: str, low: int, high: int) -> str:
+    return f"not coalesce({value} between {low} and {high}, false)"
 
 
 def clean_events(raw: DataFrame, table_checks: bool = False) -> DataFrame:
@@ -59,58 +51,71 @@ def clean_events(raw: DataFrame, table_checks: bool = False) -> DataFrame:
     ``table_checks`` the stored table's own limits follow: stage 1..40 for
     every type, and page length.
     """
-    kind = strip(or_else("tipo", "etapa"))
-    extra = empty_to_null(strip("data"))
-    ts = F.col("ts") if dict(raw.dtypes)["ts"] == "timestamp_ntz" else utc_timestamp("ts")
-    page = empty_to_null(strip("pagina")) if "pagina" in raw.columns else F.lit(None).cast("string")
-    is_stage = kind == "etapa"
-    typed = raw.select(
+    types = dict(raw.dtypes)
+    ts = "ts" if types["ts"] == "timestamp_ntz" else utc_timestamp("ts")
+    page = empty_to_null(strip("pagina")) if "pagina" in types else "cast(null as string)"
+    kind = strip(or_else("tipo", "'etapa'"))
+    trimmed = raw.selectExpr(
         "id",
-        ts.alias("ts"),
-        F.coalesce(strip("sessao"), F.lit("")).alias("sessao"),
-        kind.alias("tipo"),
-        leading_int("etapa").alias("etapa"),
-        F.when(is_stage, F.substring(extra, 1, VARIANT_LENGTH)).alias("variante"),
-        page.alias("pagina"),
-        F.when(~is_stage, json_text_or_null(extra)).alias("dados"),
+        f"{ts} as ts",
+        f"coalesce({strip('sessao')}, '') as sessao",
+        f"{kind} as tipo",
+        f"{leading_int('etapa')} as etapa",
+        f"{page} as pagina",
+        f"{empty_to_null(strip('data'))} as _extra",
     )
-    stage = F.col("etapa")
-    reason = (
-        F.when(_outside(F.col("sessao"), SESSION_LENGTH), "sessao")
-        .when(~F.col("tipo").isin(*EVENT_TYPES), "tipo")
-        .when((F.col("tipo") == "etapa") & ~_in_stage_range(stage), "etapa")
-        .when(F.col("ts").isNull(), "ts")
+    typed = trimmed.selectExpr(
+        "id",
+        "ts",
+        "sessao",
+        "tipo",
+        "etapa",
+        f"case when tipo = 'etapa' then substring(_extra, 1, {VARIANT_LENGTH}) end as variante",
+        "pagina",
+        f"case when tipo = 'respostas' then {json_text_or_null('_extra')} end as dados",
     )
+    bad_stage = _absent_or_outside("etapa", 1, MAX_STAGE)
+    checks = [
+        (_absent_or_outside("char_length(sessao)", *SESSION_LENGTH), "sessao"),
+        (f"tipo not in {EVENT_TYPES}", "tipo"),
+        (f"tipo = 'etapa' and {bad_stage}", "etapa"),
+        ("ts is null", "ts"),
+    ]
     if table_checks:
-        reason = reason.when(stage.isNotNull() & ~_in_stage_range(stage), "etapa").when(
-            F.char_length("pagina") > PAGE_LENGTH, "pagina"
-        )
-    return typed.withColumn("motivo", reason)
+        checks += [
+            (f"etapa is not null and {bad_stage}", "etapa"),
+            (f"char_length(pagina) > {PAGE_LENGTH}", "pagina"),
+        ]
+    return typed.selectExpr("*", f"{_first_failing(checks)} as motivo")
+
+
+def _first_failing(checks: list[tuple[str, str]]) -> str:
+    return f"case {' '.join(f'when {test} then {name!r}' for test, name in checks)} end"
 
 
 def valid(checked: DataFrame) -> DataFrame:
-    return checked.where(F.col("motivo").isNull()).drop("motivo")
+    return checked.where("motivo is null").drop("motivo")
 
 
 def rejected(checked: DataFrame) -> DataFrame:
-    return checked.where(F.col("motivo").isNotNull())
+    return checked.where("motivo is not null")
 
 
 def reject_counts(checked: DataFrame) -> DataFrame:
     """Rows per outcome; good rows are counted as ``ok``."""
-    return checked.groupBy(F.coalesce("motivo", F.lit("ok")).alias("motivo")).agg(
-        F.count("*").alias("linhas")
-    )
+    outcome = F.expr("coalesce(motivo, 'ok') as motivo")
+    return checked.groupBy(outcome).agg(F.count("*").alias("linhas"))
 
 
 def check_costs(costs: DataFrame) -> DataFrame:
     """Adds ``motivo``: trimmed name of 1..120 characters, value not negative."""
-    reason = F.when(_outside(F.btrim("nome"), COST_NAME_LENGTH), "nome").when(
-        ~F.coalesce(F.col("valor") >= 0, F.lit(False)), "valor"
-    )
-    return costs.withColumn("motivo", reason)
+    checks = [
+        (_absent_or_outside("char_length(btrim(nome))", *COST_NAME_LENGTH), "nome"),
+        ("not coalesce(valor >= 0, false)", "valor"),
+    ]
+    return costs.selectExpr("*", f"{_first_failing(checks)} as motivo")
 
 
 def repeated_keys(df: DataFrame, *key: str) -> DataFrame:
     """Keys held by more than one row, with their number of rows."""
-    return df.groupBy(*key).agg(F.count("*").alias("linhas")).where(F.col("linhas") > 1)
+    return df.groupBy(*key).agg(F.count("*").alias("linhas")).where("linhas > 1")

@@ -1,16 +1,17 @@
 """Sessions, step curve, retention and alerts.
 
 A session counts by the furthest screen it reached, so the curve never
-rises. The roll-up is one shuffle on the session; everything after it works
-on one row per period. Max and boolean-or combine before the shuffle, so a
-session holding a large part of all pings sends one row per task.
+rises. The roll-up is one shuffle on the session; what follows is a
+histogram of at most 35 rows per period. Max and boolean-or combine before
+the shuffle, so a session holding a large part of all pings sends one row
+per task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadcurve.constants import (
@@ -23,7 +24,7 @@ from leadcurve.constants import (
     PITCH_FIRST,
     SCREENS,
 )
-from leadcurve.functions.numbers import half_up, leading_int
+from leadcurve.functions.numbers import half_up, leading_int, ratio
 from leadcurve.operators.periods import (
     EVERYTHING,
     Period,
@@ -37,7 +38,7 @@ from leadcurve.operators.periods import (
 # --- which pings count ------------------------------------------------------
 def stage_pings(events: DataFrame) -> DataFrame:
     """Pings of type ``etapa`` that carry a stage."""
-    return events.where((F.col("tipo") == "etapa") & F.col("etapa").isNotNull())
+    return events.where("tipo = 'etapa' and etapa is not null")
 
 
 def of_variants(events: DataFrame, variants: Sequence[str] | None) -> DataFrame:
@@ -55,28 +56,27 @@ def of_page_group(
     """
     if funnel is None and source is None:
         return events
-    lookup = pages.select(
-        F.col("codigo").alias("_codigo"), F.col("funil").alias("_funil"), F.col("fonte").alias("_fonte")
-    )
-    joined = events.join(lookup, F.col("pagina") == F.col("_codigo"), "left")
-    if funnel is not None:
-        joined = joined.where(F.coalesce("_funil", F.lit(DEFAULT_FUNNEL)) == funnel)
-    if source is not None:
-        joined = joined.where(F.coalesce("_fonte", F.lit(DEFAULT_SOURCE)) == source)
+    lookup = pages.selectExpr("codigo as _codigo", "funil as _funil", "fonte as _fonte")
+    joined = events.join(lookup, F.expr("pagina = _codigo"), "left")
+    for name, default, wanted in (
+        ("_funil", DEFAULT_FUNNEL, funnel),
+        ("_fonte", DEFAULT_SOURCE, source),
+    ):
+        if wanted is not None:
+            joined = joined.where(F.coalesce(name, F.lit(default)) == wanted)
     return joined.select(*events.columns)
 
 
 # --- sessions ---------------------------------------------------------------
-def _screen(stage: Column) -> Column:
-    return F.when(stage.between(1, SCREENS), stage).otherwise(F.lit(0)).cast("int")
+SCREEN = f"cast(case when etapa between 1 and {SCREENS} then etapa else 0 end as int)"
+BOUGHT = f"etapa = {BUY_STAGE}"
 
 
-def session_rollup(pings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def session_rollup(pings: DataFrame, *by: str) -> DataFrame:
     """One row per session: furthest screen ``maxi`` (0 if none) and ``comprou``."""
-    stage = F.col("etapa")
     return pings.groupBy(*by, "sessao").agg(
-        F.coalesce(F.max(_screen(stage)), F.lit(0)).alias("maxi"),
-        F.coalesce(F.bool_or(stage == BUY_STAGE), F.lit(False)).alias("comprou"),
+        F.expr(f"max({SCREEN}) as maxi"),
+        F.expr(f"coalesce(bool_or({BOUGHT}), false) as comprou"),
     )
 
 
@@ -87,57 +87,55 @@ def sheet_sessions(raw: DataFrame, period: Period = EVERYTHING) -> DataFrame:
     ``ts`` must already be a timestamp (null when unreadable); such rows
     drop out only when the period has a bound.
     """
-    pings = within_local_period(raw, period).where(F.col("sessao") != "")
-    return session_rollup(pings.select("sessao", leading_int("etapa").alias("etapa")))
+    pings = within_local_period(raw, period).where("sessao != ''")
+    return session_rollup(pings.selectExpr("sessao", f"{leading_int('etapa')} as etapa"))
 
 
 def sessions_by_period(pings: DataFrame, periods: Mapping[str, Period]) -> DataFrame:
     """``preset, sessao, maxi, comprou`` for many periods in one pass.
 
     Each period is a pair of conditional aggregates, so the pings are
-    shuffled once and never multiplied by the number of periods.
+    shuffled once and never multiplied by the number of periods. A session
+    without a ping in a period has null there.
     """
-    stage, measures, rows = F.col("etapa"), [], []
+    measures, rows = [], []
     for i, (name, period) in enumerate(periods.items()):
-        inside = in_local_period(period)
-        inside = F.lit(True) if inside is None else inside
+        inside = f"filter (where {in_local_period(period)})"
         measures += [
-            F.max(F.when(inside, _screen(stage))).alias(f"_m{i}"),
-            F.bool_or(F.when(inside, stage == BUY_STAGE)).alias(f"_b{i}"),
+            F.expr(f"max({SCREEN}) {inside} as _m{i}"),
+            F.expr(f"bool_or({BOUGHT}) {inside} as _b{i}"),
         ]
-        rows.append(
-            F.struct(
-                F.lit(name).alias("preset"),
-                F.col(f"_m{i}").alias("maxi"),
-                F.col(f"_b{i}").alias("comprou"),
-            )
-        )
-    return (
-        pings.groupBy("sessao")
-        .agg(*measures)
-        .select("sessao", F.inline(F.array(*rows)))
-        .where(F.col("maxi").isNotNull())
-    )
+        rows.append(f"named_struct('preset', '{name}', 'maxi', _m{i}, 'comprou', _b{i})")
+    wide = pings.groupBy("sessao").agg(*measures)
+    return wide.selectExpr("sessao", f"inline(array({', '.join(rows)}))").where("maxi is not null")
 
 
 # --- totals and curve -------------------------------------------------------
-def funnel_totals(sessions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def funnel_totals(sessions: DataFrame, *by: str) -> DataFrame:
     """Visitors, buyers, finished, and ``etapas``: an array of ``{n, sessoes}``.
 
-    One conditional count per screen over the sessions: the partial counts
-    leave each task as a single row.
+    Sessions are counted per furthest screen; a step's count is the sum over
+    that screen and all later ones.
     """
-    reached = [F.count_if(F.col("maxi") >= n).alias(f"_{n}") for n in range(1, SCREENS + 1)]
-    counts = sessions.groupBy(*by).agg(F.count_if("comprou").alias("compraram"), *reached)
-    steps = F.array(
-        *[F.struct(F.lit(n).alias("n"), F.col(f"_{n}").alias("sessoes")) for n in range(1, SCREENS + 1)]
+    histogram = sessions.groupBy(*by, "maxi").agg(
+        F.expr("count(*) as _n"), F.expr("count_if(comprou) as _compraram")
     )
-    return counts.select(
+    gathered = histogram.groupBy(*by).agg(
+        F.expr("coalesce(sum(_compraram), 0L) as compraram"),
+        # at most 35 entries: one per furthest screen
+        F.expr("collect_list(named_struct('maxi', maxi, 'n', _n)) as _histograma"),
+    )
+
+    def reached(step: str) -> str:
+        later = f"filter(_histograma, h -> h.maxi >= {step})"
+        return f"aggregate({later}, 0L, (acc, h) -> acc + h.n)"
+
+    return gathered.selectExpr(
         *by,
-        F.col("_1").alias("visitantes"),
+        f"{reached('1')} as visitantes",
         "compraram",
-        F.col(f"_{SCREENS}").alias("fim"),
-        steps.alias("etapas"),
+        f"{reached(str(SCREENS))} as fim",
+        f"transform(sequence(1, {SCREENS}), s -> named_struct('n', s, 'sessoes', {reached('s')})) as etapas",
     )
 
 
@@ -159,51 +157,49 @@ def as_json(totals: DataFrame) -> DataFrame:
     return totals.select(F.to_json(F.struct("visitantes", "compraram", "fim", "etapas")).alias("funil"))
 
 
+def _permille(part: str, whole: str) -> str:
+    """Percentage with one decimal."""
+    return f"({half_up(f'cast({part} as double) / cast({whole} as double) * 1000D')} / 10D)"
+
+
 def percentages(totals: DataFrame) -> DataFrame:
-    """Adds finish and buy percentages (1 decimal, 0 without visitors)."""
+    """Adds finish and buy percentages (0 without visitors)."""
 
-    def share(part: str) -> Column:
-        seen = F.col("visitantes").cast("double")
-        ratio = F.col(part).cast("double") / seen * F.lit(1000.0)
-        return F.when(seen != 0, half_up(ratio) / F.lit(10.0)).otherwise(F.lit(0.0))
+    def share(part: str) -> str:
+        return f"case when visitantes != 0 then {_permille(part, 'visitantes')} else 0D end"
 
-    return totals.withColumns({"pct_fim": share("fim"), "pct_compra": share("compraram")})
+    return totals.selectExpr("*", f"{share('fim')} as pct_fim", f"{share('compraram')} as pct_compra")
 
 
-def steps(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def steps(totals: DataFrame, *by: str) -> DataFrame:
     """The curve as rows ``n, sessoes``."""
-    return totals.select(*by, F.inline("etapas")).orderBy(*by, "n")
+    return totals.selectExpr(*by, "inline(etapas)").orderBy(*by, "n")
 
 
-def retention(
-    totals: DataFrame, by: Sequence[str] = (), labels: Sequence[str] = ()
-) -> DataFrame:
+def retention(totals: DataFrame, *by: str, labels: Sequence[str] = ()) -> DataFrame:
     """Retention per screen, drop against the previous one, and flags.
 
     Retentions are rounded before they are subtracted. Screens without a
-    label are called ``Tela n``.
+    label are called ``Tela n``. The window runs over 34 rows per group.
     """
-    named = [F.lit(label) for label in labels[:SCREENS]]
-    n = F.col("n")
-    fallback = F.concat(F.lit("Tela "), n.cast("string"))
-    label = F.coalesce(F.get(F.array(*named), n - 1), fallback) if named else fallback
-    in_order = Window.partitionBy(*by).orderBy("n")
-    curve = totals.select(*by, F.inline("etapas"))
-    base = F.greatest(F.first("sessoes").over(in_order), F.lit(1)).cast("double")
-    rounded = curve.withColumn(
-        "ret", half_up(F.col("sessoes").cast("double") / base * F.lit(1000.0)) / F.lit(10.0)
+    base = "greatest(etapas[0].sessoes, 1L)"
+    curve = totals.selectExpr(*by, f"{base} as _base", "inline(etapas)").selectExpr(
+        *by, "n", "sessoes as acessos", f"{_permille('sessoes', '_base')} as ret"
     )
-    drop = F.coalesce(half_up(F.lag("ret").over(in_order) - F.col("ret"), 1), F.lit(0.0))
-    body = n.between(BODY_FIRST, BODY_LAST)
-    return rounded.withColumn("queda", drop).select(
-        *by,
-        n,
-        label.alias("nome"),
-        F.col("sessoes").alias("acessos"),
-        "ret",
-        "queda",
-        (body & (F.col("queda") > DROP_ALERT)).alias("alerta"),
-        (n >= PITCH_FIRST).alias("pitch"),
+    previous = F.lag("ret").over(Window.partitionBy(*by).orderBy("n"))
+    named = curve.withColumn("_anterior", previous)
+    label = F.expr("concat('Tela ', n)")
+    if labels:
+        texts = F.array(*[F.lit(text) for text in labels[:SCREENS]])
+        label = F.coalesce(F.get(texts, F.expr("n - 1")), label)
+    return (
+        named.withColumn("nome", label)
+        .selectExpr(*by, "n", "nome", "acessos", "ret", f"coalesce({half_up('_anterior - ret', 1)}, 0D) as queda")
+        .selectExpr(
+            "*",
+            f"n between {BODY_FIRST} and {BODY_LAST} and queda > {DROP_ALERT} as alerta",
+            f"n >= {PITCH_FIRST} as pitch",
+        )
     )
 
 
@@ -217,12 +213,11 @@ def biggest_drop(curve: DataFrame) -> DataFrame:
 
     Without any drop above 0 the screen is 0 and the drop 0.0.
     """
-    dropping = F.col("n").between(BODY_FIRST, BODY_LAST) & (F.col("queda") > 0)
-    rank = F.struct(F.col("queda"), -F.col("n"))
+    dropping = f"filter (where n between {BODY_FIRST} and {BODY_LAST} and queda > 0)"
     return curve.agg(
-        F.coalesce(F.max_by(F.when(dropping, F.col("n")), F.when(dropping, rank)), F.lit(0)).alias("tela"),
-        F.coalesce(F.max(F.when(dropping, F.col("queda"))), F.lit(0.0)).alias("queda"),
-        F.array_sort(F.collect_list(F.when(F.col("alerta"), F.col("n")))).alias("alertas"),
+        F.expr(f"coalesce(max_by(n, struct(queda, -n)) {dropping}, 0) as tela"),
+        F.expr(f"coalesce(max(queda) {dropping}, 0D) as queda"),
+        F.expr("array_sort(collect_list(n) filter (where alerta)) as alertas"),
     )
 
 
@@ -240,37 +235,30 @@ def variants_available(
     holding most of the sessions is spread over all tasks. Local dates rise
     with the timestamp, so only the two extremes are converted.
     """
-    pings = within_local_period(events.where(F.col("tipo") == "etapa"), period)
-    pings = of_page_group(pings.where(F.col("variante") != ""), pages, funnel, source)
-    return (
-        pings.groupBy("variante")
-        .agg(
-            F.count_distinct("sessao").alias("sessoes"),
-            F.min("ts").alias("_ini"),
-            F.max("ts").alias("_fim"),
-        )
-        .select(
-            "variante", "sessoes", local_date("_ini").alias("ini"), local_date("_fim").alias("fim")
-        )
-        .orderBy(F.desc("sessoes"), "variante")
+    pings = within_local_period(events.where("tipo = 'etapa' and variante != ''"), period)
+    seen = of_page_group(pings, pages, funnel, source).groupBy("variante").agg(
+        F.expr("count(distinct sessao) as sessoes"),
+        F.expr("min(ts) as _ini"),
+        F.expr("max(ts) as _fim"),
     )
+    return seen.selectExpr(
+        "variante", "sessoes", f"{local_date('_ini')} as ini", f"{local_date('_fim')} as fim"
+    ).orderBy(F.desc("sessoes"), "variante")
 
 
 # --- several periods --------------------------------------------------------
 def funnel_by_period(pings: DataFrame, periods: Mapping[str, Period]) -> DataFrame:
     """Funnel totals and percentages for each of many periods, empty ones included."""
-    totals = funnel_totals(sessions_by_period(pings, periods), by=["preset"]).drop("etapas")
-    zeros = {"visitantes": 0, "compraram": 0, "fim": 0}
+    totals = funnel_totals(sessions_by_period(pings, periods), "preset").drop("etapas")
     spine = period_table(pings.sparkSession, periods)
-    return percentages(spine.join(totals, "preset", "left").na.fill(zeros))
+    return percentages(spine.join(totals, "preset", "left").na.fill(0, ["visitantes", "compraram", "fim"]))
 
 
 def pings_by_period(events: DataFrame, periods: Mapping[str, Period]) -> DataFrame:
     """How many pings fall into each period: one scan, one row per task."""
     counts, rows = [], []
     for i, (name, period) in enumerate(periods.items()):
-        inside = in_local_period(period)
-        counts.append((F.count("*") if inside is None else F.count_if(inside)).alias(f"_{i}"))
-        rows.append(F.struct(F.lit(name).alias("preset"), F.col(f"_{i}").alias("pings")))
-    found = events.agg(*counts).select(F.inline(F.array(*rows)))
+        counts.append(F.expr(f"count_if({in_local_period(period)}) as _{i}"))
+        rows.append(f"named_struct('preset', '{name}', 'pings', _{i})")
+    found = events.agg(*counts).selectExpr(f"inline(array({', '.join(rows)}))")
     return period_table(events.sparkSession, periods).join(found, "preset")

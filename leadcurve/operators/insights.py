@@ -34,28 +34,29 @@ def parse_insights(nested: DataFrame) -> DataFrame:
 
     A field the export left out is null and counts as 0.
     """
-    hour = "hourly_stats_aggregated_by_advertiser_time_zone"
-    return nested.select(
-        F.col("date_start").try_cast("date").alias("data"),
-        F.col(hour).alias("hora_texto"),
+    three_seconds = act.total_count("video_3_sec_watched_actions")
+    measures = {
+        "gasto": money_or_zero("spend"),
+        "impressoes": count_or_zero("impressions"),
+        "clicks": count_or_zero("clicks"),
+        # plays listed among the actions add to the 3-second field
+        "v3s": f"{three_seconds} + {act.total_of('actions', VIDEO_VIEW)}",
+        "v2s": act.total_count("video_continuous_2_sec_watched_actions"),
+        "thruplay": act.total_count("video_thruplay_watched_actions"),
+        "p25": act.total_count("video_p25_watched_actions"),
+        "lpv": act.total_of("actions", LANDING_VIEW),
+        "checkouts": act.largest_of("actions", CHECKOUT_ACTIONS),
+        "vendas": act.largest_of("actions", PURCHASE_ACTIONS),
+        "valor": act.largest_amount_of("action_values", PURCHASE_ACTIONS),
+    }
+    return nested.selectExpr(
+        "try_cast(date_start as date) as data",
+        "hourly_stats_aggregated_by_advertiser_time_zone as hora_texto",
         "ad_id",
         "ad_name",
         "campaign_id",
         "campaign_name",
-        money_or_zero("spend").alias("gasto"),
-        count_or_zero("impressions").alias("impressoes"),
-        count_or_zero("clicks").alias("clicks"),
-        # plays listed among the actions add to the 3-second field
-        (
-            act.total_count("video_3_sec_watched_actions") + act.total_of("actions", VIDEO_VIEW)
-        ).alias("v3s"),
-        act.total_count("video_continuous_2_sec_watched_actions").alias("v2s"),
-        act.total_count("video_thruplay_watched_actions").alias("thruplay"),
-        act.total_count("video_p25_watched_actions").alias("p25"),
-        act.total_of("actions", LANDING_VIEW).alias("lpv"),
-        act.largest_of("actions", CHECKOUT_ACTIONS).alias("checkouts"),
-        act.largest_of("actions", PURCHASE_ACTIONS).alias("vendas"),
-        act.largest_amount_of("action_values", PURCHASE_ACTIONS).alias("valor"),
+        *[f"coalesce({value}, 0) as {name}" for name, value in measures.items()],
     )
 
 
@@ -85,26 +86,28 @@ def kept_rows(
 
 def with_canonical_name(insights: DataFrame, aliases: DataFrame | None) -> DataFrame:
     """Adds ``anuncio`` (alias resolved) and ``absorvido`` (the alias changed it)."""
-    own = F.coalesce(empty_to_null("ad_name"), F.col("ad_id"))
+    named = insights.selectExpr("*", f"{or_else('ad_name', 'ad_id')} as _nome")
     if aliases is None:
-        return insights.withColumns({"anuncio": own, "absorvido": F.lit(False)})
-    lookup = aliases.select(F.col("anuncio").alias("_de"), F.col("canonico").alias("_para"))
-    joined = insights.withColumn("_nome", own).join(lookup, F.col("_nome") == F.col("_de"), "left")
-    name = F.coalesce("_para", "_nome")
-    return joined.withColumns({"anuncio": name, "absorvido": ~name.eqNullSafe(F.col("_nome"))}).drop(
-        "_nome", "_de", "_para"
+        return named.withColumn("absorvido", F.lit(False)).withColumnRenamed("_nome", "anuncio")
+    lookup = aliases.selectExpr("anuncio as _de", "canonico as _para")
+    return named.join(lookup, F.expr("_nome = _de"), "left").selectExpr(
+        "* except (_nome, _de, _para)",
+        "coalesce(_para, _nome) as anuncio",
+        "coalesce(_para != _nome, false) as absorvido",
     )
 
 
-def _sums(counts: Sequence[str], amounts: Sequence[str] = AMOUNTS) -> list[Column]:
-    return [sum_money(a).alias(a) for a in amounts] + [F.sum(c).alias(c) for c in counts]
+def _sums(counts: Sequence[str]) -> list[Column]:
+    return [F.expr(f"{sum_money(a)} as {a}") for a in AMOUNTS] + [
+        F.expr(f"sum({c}) as {c}") for c in counts
+    ]
 
 
 def daily_facts(named: DataFrame) -> DataFrame:
     """One row per ``(data, anuncio)``: 11 summed measures, an ad id, a campaign."""
     return named.groupBy("data", "anuncio").agg(
-        F.min(or_else("ad_id", "")).alias("ad_id"),
-        F.min(or_else("campaign_name", "")).alias("campanha"),
+        F.expr("min(coalesce(ad_id, '')) as ad_id"),
+        F.expr("min(coalesce(campaign_name, '')) as campanha"),
         *_sums(COUNTS),
     )
 
@@ -117,24 +120,19 @@ def hourly_window(today: dt.date) -> Period:
     return trailing(today, HOURLY_WINDOW_DAYS - 1)
 
 
-def hour_of_day(text: Column | str) -> Column:
-    """Hour 0..23 of ``'13:00:00 - 13:59:59'``, null when there is none."""
-    hour = leading_int(F.substring(text, 1, 2))
-    return F.when(hour.between(0, 23), hour)
-
-
 def hourly_facts(insights: DataFrame) -> DataFrame:
     """One row per ``(data, hora, anuncio)``; rows without a valid hour drop out.
 
-    Ad names are taken as they are: no alias and no exclusion applies here.
+    The hour leads a text like ``13:00:00 - 13:59:59``. Ad names are taken
+    as they are: no alias and no exclusion applies here.
     """
-    timed = insights.select(
+    timed = insights.selectExpr(
         "data",
-        hour_of_day("hora_texto").alias("hora"),
-        or_else("ad_name", NO_NAME).alias("anuncio"),
+        f"{leading_int('substring(hora_texto, 1, 2)')} as hora",
+        f"{or_else('ad_name', repr(NO_NAME))} as anuncio",
         "gasto", "checkouts", "vendas", "valor",
     )
-    return timed.where(F.col("hora").isNotNull()).groupBy("data", "hora", "anuncio").agg(
+    return timed.where("hora between 0 and 23").groupBy("data", "hora", "anuncio").agg(
         *_sums(["checkouts", "vendas"])
     )
 
@@ -149,20 +147,16 @@ def ad_rollup(named: DataFrame, today: dt.date) -> DataFrame:
     """
     yesterday = today - dt.timedelta(days=1)
     combined = named.groupBy(
-        "anuncio", "absorvido", "ad_id", empty_to_null("campaign_name").alias("campanha")
+        "anuncio", "absorvido", "ad_id", F.expr(f"{empty_to_null('campaign_name')} as campanha")
     ).agg(
-        F.sum("impressoes").alias("impressoes"),
-        F.bool_or((F.col("impressoes") > 0) & (F.col("data") >= F.lit(yesterday))).alias("recente"),
-        F.max("data").alias("_ate"),
+        F.expr("sum(impressoes) as impressoes"),
+        F.expr(f"bool_or(impressoes > 0 and data >= date'{yesterday}') as recente"),
+        F.expr("max(data) as _ate"),
     )
-    order = F.struct("_ate", "campanha")
-    named_campaign = F.when(F.col("campanha").isNotNull(), order)
-    own = F.when(~F.col("absorvido"), named_campaign)
+    latest = "max_by(campanha, struct(_ate, campanha)) filter (where campanha is not null"
     return combined.groupBy("anuncio").agg(
-        F.min("ad_id").alias("ad_id"),
-        F.coalesce(
-            F.max_by("campanha", own), F.max_by("campanha", named_campaign), F.lit("")
-        ).alias("campanha"),
-        F.sum("impressoes").alias("impressoes"),
-        F.coalesce(F.bool_or("recente"), F.lit(False)).alias("recente"),
+        F.expr("min(ad_id) as ad_id"),
+        F.expr(f"coalesce({latest} and not absorvido), {latest}), '') as campanha"),
+        F.expr("sum(impressoes) as impressoes"),
+        F.expr("coalesce(bool_or(recente), false) as recente"),
     )

@@ -10,11 +10,9 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from leadcurve.constants import LOCAL_ZONE, PRESET_LABELS
-from leadcurve.functions.numbers import col
 from leadcurve.sources.local import local_table
 
 ONE_DAY = dt.timedelta(days=1)
@@ -98,13 +96,13 @@ def utc_midnight(day: dt.date) -> dt.datetime:
     return local.astimezone(dt.timezone.utc).replace(tzinfo=None)
 
 
-def local_date(ts: Column | str) -> Column:
+def local_date(ts: str) -> str:
     """Local calendar date of a zone-less UTC timestamp."""
-    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(LOCAL_ZONE), col(ts)))
+    return f"to_date(convert_timezone('UTC', '{LOCAL_ZONE}', {ts}))"
 
 
-def in_local_period(period: Period, ts: Column | str = "ts") -> Column | None:
-    """Condition "local date of ``ts`` lies in the period", or None when open.
+def in_local_period(period: Period, ts: str = "ts") -> str:
+    """Condition "local date of ``ts`` lies in the period" (``true`` when open).
 
     The bounds are moved to UTC instead of the column to local time, so the
     condition is a plain range on the stored column: Parquet statistics and
@@ -112,27 +110,20 @@ def in_local_period(period: Period, ts: Column | str = "ts") -> Column | None:
     """
     tests = []
     if period.start:
-        tests.append(col(ts) >= F.lit(utc_midnight(period.start)).cast("timestamp_ntz"))
+        tests.append(f"{ts} >= timestamp_ntz'{utc_midnight(period.start)}'")
     if period.end:
-        tests.append(col(ts) < F.lit(utc_midnight(period.end + ONE_DAY)).cast("timestamp_ntz"))
-    return _all(tests)
+        tests.append(f"{ts} < timestamp_ntz'{utc_midnight(period.end + ONE_DAY)}'")
+    return " and ".join(tests) or "true"
 
 
-def in_date_period(period: Period, day: Column | str = "data") -> Column | None:
-    """Condition on a date column that needs no zone shift, or None when open."""
+def in_date_period(period: Period, day: str = "data") -> str:
+    """Condition on a date column that needs no zone shift (``true`` when open)."""
     tests = []
     if period.start:
-        tests.append(col(day) >= F.lit(period.start))
+        tests.append(f"{day} >= date'{period.start}'")
     if period.end:
-        tests.append(col(day) <= F.lit(period.end))
-    return _all(tests)
-
-
-def _all(tests: list[Column]) -> Column | None:
-    condition = None
-    for test in tests:
-        condition = test if condition is None else condition & test
-    return condition
+        tests.append(f"{day} <= date'{period.end}'")
+    return " and ".join(tests) or "true"
 
 
 def within_local_period(df: DataFrame, period: Period, ts: str = "ts", day: str = "dia") -> DataFrame:
@@ -140,15 +131,14 @@ def within_local_period(df: DataFrame, period: Period, ts: str = "ts", day: str
 
     A table written by local day (column ``dia``) is pruned by directory too.
     """
-    for condition in (
-        in_local_period(period, ts),
-        in_date_period(period, day) if day in df.columns else None,
-    ):
-        if condition is not None:
-            df = df.where(condition)
-    return df
-
-
-def within_dates(df: DataFrame, period: Period, day: str = "data") -> DataFrame:
-    condition = in_date_period(period, day)
-    return df if condition is None else df.where(condition)
+    if day in df.columns:
+        df = df.where(in_date_period(period, day))
+    return df.where(in_local_period(period, ts))
+
+
+def within_dates(df: DataFrame, period: Period, day: str = "data", month: str = "mes") -> DataFrame:
+    """Rows whose date lies in the period, pruned by month directory where there are such."""
+    if month in df.columns:
+        months = Period(*(d and d.replace(day=1) for d in (period.start, period.end)))
+        df = df.where(in_date_period(months, month))
+    return df.where(in_date_period(period, day))

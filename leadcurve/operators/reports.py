@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadcurve.constants import GROUP_TAGS, NO_TAG
-from leadcurve.functions.money import MONEY, net_income, revenue_or_list_price, sum_money
-from leadcurve.functions.numbers import divide_or_null, half_up
+from leadcurve.functions.money import (
+    money_or_nothing,
+    net_income,
+    revenue_or_list_price,
+    sum_money,
+)
+from leadcurve.functions.numbers import half_up, ratio
 from leadcurve.functions.text import or_else
 from leadcurve.operators.events import check_costs, valid
 from leadcurve.operators.periods import EVERYTHING, Period, within_dates
@@ -17,11 +22,12 @@ from leadcurve.operators.periods import EVERYTHING, Period, within_dates
 
 # --- series -----------------------------------------------------------------
 def _series(facts: DataFrame, key: str) -> DataFrame:
+    revenue = sum_money(revenue_or_list_price("valor", "vendas"))
     return facts.groupBy(key).agg(
-        sum_money("gasto").alias("gasto"),
-        sum_money(revenue_or_list_price("valor", "vendas")).alias("faturamento"),
-        F.sum("vendas").alias("vendas"),
-        F.sum("checkouts").alias("checkouts"),
+        F.expr(f"{sum_money('gasto')} as gasto"),
+        F.expr(f"{revenue} as faturamento"),
+        F.expr("sum(vendas) as vendas"),
+        F.expr("sum(checkouts) as checkouts"),
     )
 
 
@@ -33,29 +39,38 @@ def daily_series(daily: DataFrame, period: Period = EVERYTHING) -> DataFrame:
 def hourly_series(hourly: DataFrame, period: Period = EVERYTHING) -> DataFrame:
     """The same by hour of day: always 24 rows, summed over the days."""
     measures = _series(within_dates(hourly, period), "hora")
-    hours = hourly.sparkSession.range(24).select(F.col("id").cast("int").alias("hora"))
+    hours = hourly.sparkSession.range(24).selectExpr("cast(id as int) as hora")
     # at most 24 rows on either side
-    filled = hours.join(F.broadcast(measures), "hora", "left")
-    return filled.na.fill(0, ["vendas", "checkouts"]).withColumns(
-        {c: F.coalesce(F.col(c), F.lit(0)).cast(MONEY) for c in ("gasto", "faturamento")}
-    ).orderBy("hora")
+    return (
+        hours.join(F.broadcast(measures), "hora", "left")
+        .selectExpr(
+            "hora",
+            f"{money_or_nothing('gasto')} as gasto",
+            f"{money_or_nothing('faturamento')} as faturamento",
+            "coalesce(vendas, 0L) as vendas",
+            "coalesce(checkouts, 0L) as checkouts",
+        )
+        .orderBy("hora")
+    )
 
 
 def costs_in_period(costs: DataFrame, period: Period = EVERYTHING) -> DataFrame:
     """Number and sum of the valid costs whose accrual date lies in the period."""
     kept = within_dates(valid(check_costs(costs)), period)
     return kept.agg(
-        F.count("*").alias("lancamentos"),
-        F.coalesce(sum_money("valor"), F.lit(0).cast(MONEY)).alias("total"),
+        F.expr("count(*) as lancamentos"), F.expr(f"{money_or_nothing(sum_money('valor'))} as total")
     )
 
 
 # --- groups -----------------------------------------------------------------
 def by_tag(report: DataFrame, tags: Sequence[str]) -> DataFrame:
     """Report rows repeated once per tag, as ``etiqueta, grupo``; no tag has its own group."""
-    pairs = [F.struct(F.lit(t).alias("etiqueta"), or_else(t, NO_TAG).alias("grupo")) for t in tags]
+    pairs = [f"named_struct('etiqueta', '{t}', 'grupo', {or_else(t, repr(NO_TAG))})" for t in tags]
     measures = ("gasto", "impressoes", "ctr_pct", "checkouts", "vendas", "faturamento")
-    return report.select(F.inline(F.array(*pairs)), *measures)
+    return report.selectExpr(f"inline(array({', '.join(pairs)}))", *measures)
+
+
+_ROI = ratio(f"({net_income('faturamento', 'vendas')} - gasto)", "gasto", 100)
 
 
 def tag_report(report: DataFrame, tags: Sequence[str] = GROUP_TAGS) -> DataFrame:
@@ -64,23 +79,19 @@ def tag_report(report: DataFrame, tags: Sequence[str] = GROUP_TAGS) -> DataFrame
     Ordered by cost per sale, groups without one last.
     """
     groups = by_tag(report, tags).groupBy("etiqueta", "grupo").agg(
-        F.count("*").alias("n"),
-        sum_money("gasto").alias("gasto"),
-        F.sum("checkouts").alias("checkouts"),
-        F.sum("vendas").alias("vendas"),
-        sum_money("faturamento").alias("faturamento"),
+        F.expr("count(*) as n"),
+        F.expr(f"{sum_money('gasto')} as gasto"),
+        F.expr("sum(checkouts) as checkouts"),
+        F.expr("sum(vendas) as vendas"),
+        F.expr(f"{sum_money('faturamento')} as faturamento"),
     )
-    c = F.col
-    net = net_income("faturamento", "vendas")
-    costs = groups.withColumns(
-        {
-            "custo_checkout": divide_or_null(c("gasto"), c("checkouts")),
-            "custo_venda": divide_or_null(c("gasto"), c("vendas")),
-            "roas": divide_or_null(c("faturamento"), c("gasto")),
-            "roi_pct": divide_or_null(F.lit(100.0) * (net - c("gasto")).cast("double"), c("gasto")),
-        }
-    )
-    return costs.orderBy("etiqueta", F.nullif(c("custo_venda"), F.lit(0.0)).asc_nulls_last(), "grupo")
+    return groups.selectExpr(
+        "*",
+        f"{ratio('gasto', 'checkouts')} as custo_checkout",
+        f"{ratio('gasto', 'vendas')} as custo_venda",
+        f"{ratio('faturamento', 'gasto')} as roas",
+        f"{_ROI} as roi_pct",
+    ).orderBy("etiqueta", F.expr("nullif(custo_venda, 0D)").asc_nulls_last(), "grupo")
 
 
 def tag_metrics(report: DataFrame, tags: Sequence[str] = GROUP_TAGS) -> DataFrame:
@@ -88,80 +99,62 @@ def tag_metrics(report: DataFrame, tags: Sequence[str] = GROUP_TAGS) -> DataFram
 
     Clicks are rebuilt from the rounded click rate, exactly, as hundredths.
     """
-    clicks_x100 = F.col("impressoes").cast("decimal(18,0)") * F.coalesce(
-        F.col("ctr_pct"), F.lit(0.0)
-    ).cast("decimal(12,2)")
-    groups = (
-        by_tag(report, tags)
-        .withColumn("_cliques", clicks_x100)
-        .groupBy("etiqueta", "grupo")
-        .agg(
-            sum_money("gasto").alias("gasto"),
-            F.sum("vendas").alias("vendas"),
-            F.sum("impressoes").alias("impressoes"),
-            sum_money("faturamento").alias("faturamento"),
-            F.sum("_cliques").alias("_cliques"),
-        )
+    hundredths = "impressoes * cast(coalesce(ctr_pct, 0D) as decimal(12,2))"
+    groups = by_tag(report, tags).groupBy("etiqueta", "grupo").agg(
+        F.expr(f"{sum_money('gasto')} as gasto"),
+        F.expr("sum(vendas) as vendas"),
+        F.expr("sum(impressoes) as impressoes"),
+        F.expr(f"{sum_money('faturamento')} as faturamento"),
+        F.expr(f"cast({sum_money(hundredths)} as double) / 100D as cliques"),
     )
-    c = F.col
-    net = net_income("faturamento", "vendas")
-    clicks = c("_cliques").cast("double") / F.lit(100.0)
     values = {
-        "cpa": divide_or_null(c("gasto"), c("vendas")),
-        "roas": divide_or_null(c("faturamento"), c("gasto")),
-        "roi": divide_or_null(F.lit(100.0) * (net - c("gasto")).cast("double"), c("gasto")),
-        "faturamento": c("faturamento").cast("double"),
-        "ctr": divide_or_null(F.lit(100.0) * clicks, c("impressoes")),
-        "cpc": divide_or_null(c("gasto"), clicks),
-        "gasto": c("gasto").cast("double"),
+        "cpa": ratio("gasto", "vendas"),
+        "roas": ratio("faturamento", "gasto"),
+        "roi": _ROI,
+        "faturamento": "cast(faturamento as double)",
+        "ctr": ratio("cliques", "impressoes", 100),
+        "cpc": ratio("gasto", "cliques"),
+        "gasto": "cast(gasto as double)",
     }
-    cells = [F.struct(F.lit(k).alias("metrica"), v.alias("bruto")) for k, v in values.items()]
-    return groups.select("etiqueta", "grupo", F.inline(F.array(*cells)))
+    cells = [f"named_struct('metrica', '{k}', 'bruto', {v})" for k, v in values.items()]
+    return groups.selectExpr("etiqueta", "grupo", f"inline(array({', '.join(cells)}))")
 
 
 def tag_metric_matrix(report: DataFrame, tags: Sequence[str] = GROUP_TAGS) -> DataFrame:
     """Metrics above 0, rounded to 2 decimals."""
-    kept = tag_metrics(report, tags).where(F.col("bruto") > 0)
-    return kept.select("etiqueta", "grupo", "metrica", half_up("bruto", 2).alias("valor"))
+    kept = tag_metrics(report, tags).where("bruto > 0")
+    return kept.selectExpr("etiqueta", "grupo", "metrica", f"{half_up('bruto', 2)} as valor")
 
 
 def tag_negative_roi(report: DataFrame, tags: Sequence[str] = GROUP_TAGS) -> DataFrame:
     """Groups that do not earn back their spend."""
-    losing = tag_metrics(report, tags).where((F.col("metrica") == "roi") & (F.col("bruto") <= 0))
-    return losing.select("etiqueta", "grupo", F.col("bruto").alias("roi_pct"))
+    losing = tag_metrics(report, tags).where("metrica = 'roi' and bruto <= 0")
+    return losing.selectExpr("etiqueta", "grupo", "bruto as roi_pct")
 
 
 def kpi_totals(report: DataFrame) -> DataFrame:
     """Totals over all creatives; return figures are 0 without spend."""
     totals = report.agg(
-        F.count_if(F.trim("anuncio") != "").alias("criativos"),
-        sum_money("gasto").alias("gasto"),
-        F.coalesce(F.sum("checkouts"), F.lit(0)).alias("checkouts"),
-        F.coalesce(F.sum("vendas"), F.lit(0)).alias("vendas"),
-        sum_money("faturamento").alias("faturamento"),
-    ).na.fill(0)
-    c = F.col
-    with_net = totals.withColumn("liquido", net_income("faturamento", "vendas"))
-
-    def or_zero(value: Column) -> Column:
-        return F.coalesce(value, F.lit(0.0))
-
-    return with_net.withColumns(
-        {
-            "roas": or_zero(divide_or_null(c("faturamento"), c("gasto"))),
-            "roi_pct": or_zero(
-                divide_or_null(F.lit(100.0) * (c("liquido") - c("gasto")).cast("double"), c("gasto"))
-            ),
-        }
+        F.expr("count_if(btrim(anuncio) != '') as criativos"),
+        F.expr(f"{money_or_nothing(sum_money('gasto'))} as gasto"),
+        F.expr("coalesce(sum(checkouts), 0L) as checkouts"),
+        F.expr("coalesce(sum(vendas), 0L) as vendas"),
+        F.expr(f"{money_or_nothing(sum_money('faturamento'))} as faturamento"),
+    )
+    return totals.selectExpr(
+        "*",
+        f"{net_income('faturamento', 'vendas')} as liquido",
+        f"coalesce({ratio('faturamento', 'gasto')}, 0D) as roas",
+        f"coalesce({_ROI}, 0D) as roi_pct",
     )
 
 
-# chart name -> sort direction
+# chart -> order key of its values
 TOP_CHARTS = {
-    "custo_venda": 1,
-    "custo_checkout": 1,
-    "hook_rate_pct": -1,
-    "hold_rate_pct": -1,
+    "custo_venda": "custo_venda",
+    "custo_checkout": "custo_checkout",
+    "hook_rate_pct": "-hook_rate_pct",
+    "hold_rate_pct": "-hold_rate_pct",
 }
 
 
@@ -173,18 +166,14 @@ def top_creatives(report: DataFrame, k: int = 8) -> DataFrame:
     receives k rows per task.
     """
     cells = [
-        F.struct(
-            F.lit(name).alias("grafico"),
-            F.col(name).alias("valor"),
-            (F.col(name) * F.lit(float(sign))).alias("_ordem"),
-        )
-        for name, sign in TOP_CHARTS.items()
+        f"named_struct('grafico', '{name}', 'valor', {name}, '_ordem', {order})"
+        for name, order in TOP_CHARTS.items()
     ]
-    ranked = Window.partitionBy("grafico").orderBy("_ordem", "anuncio")
+    rank = F.row_number().over(Window.partitionBy("grafico").orderBy("_ordem", "anuncio"))
     return (
-        report.select("anuncio", "diamante", F.inline(F.array(*cells)))
-        .where(F.col("valor") > 0)
-        .withColumn("posicao", F.row_number().over(ranked))
+        report.selectExpr("anuncio", "diamante", f"inline(array({', '.join(cells)}))")
+        .where("valor > 0")
+        .withColumn("posicao", rank)
         .where(F.col("posicao") <= k)
         .select("grafico", "posicao", "anuncio", "valor", "diamante")
         .orderBy("grafico", "posicao")

@@ -18,9 +18,10 @@ from leadcurve.sources import dimensions, schemas
 from leadcurve.sources import driver_tables as drv
 from leadcurve.sources.tables import (
     read_creative_sheet,
+    read_insights,
     replace_days,
     work_folder,
-    write_by_day,
+    write_by_month,
 )
 from leadcurve.streaming import pings as st
 
@@ -116,7 +117,7 @@ def funnel_latam_period(spark, folder):
 
 def _sheet(spark, folder):
     rows = drv.event_sheet(spark, folder)
-    return rows.withColumn("ts", ev.utc_timestamp("ts"))
+    return rows.withColumn("ts", F.expr(ev.utc_timestamp("ts")))
 
 
 @query
@@ -180,17 +181,18 @@ def insights_actions(spark, folder):
     parsed = ins.parse_insights(drv.nested_insights(spark, folder))
     return parsed.groupBy("ad_id").agg(
         F.count("*").alias("linhas"),
-        *[F.sum(c).alias(c) for c in ins.COUNTS],
-        *[reports.sum_money(c).alias(c) for c in ins.AMOUNTS],
+        *[F.expr(f"sum({c}) as {c}") for c in ins.COUNTS],
+        *[F.expr(f"{reports.sum_money(c)} as {c}") for c in ins.AMOUNTS],
     )
 
 
 @query
 def insights_json(spark, folder):
-    """The nested records as JSON lines, read back under the declared schema."""
-    lines = drv.nested_insights(spark, folder).select(F.to_json(F.struct("*")).alias("linha"))
-    nested = lines.select(F.from_json("linha", schemas.INSIGHTS).alias("r")).select("r.*")
-    return ins.daily_facts(drv.loaded_rows(spark, ins.parse_insights(nested)))
+    """Nested records exported as JSON lines, read back under the declared schema and loaded."""
+    export = work_folder(spark, "insights")
+    drv.nested_insights(spark, folder).write.json(export)
+    parsed = ins.parse_insights(read_insights(spark, export))
+    return ins.daily_facts(drv.loaded_rows(spark, parsed))
 
 
 @query
@@ -329,20 +331,20 @@ def daily_rewrite(spark, folder):
     """Two loads into the same table: the second one replaces the first."""
     target = work_folder(spark, "criativos_diario")
     for _ in range(2):
-        write_by_day(drv.ad_daily(spark, folder), target)
-    return spark.read.parquet(target).select("data", "anuncio", *ins.AMOUNTS, *ins.COUNTS)
+        write_by_month(drv.ad_daily(spark, folder), target, "data", "anuncio")
+    return spark.read.parquet(target).drop("mes")
 
 
 @query
 def hourly_replace(spark, folder):
-    """All hours as stored history, then the load of the last 7 days of one campaign text."""
+    """Two loads three days apart: days that left the window stay as first loaded."""
     target = work_folder(spark, "criativos_hora")
     insights = drv.insights(spark, folder)
-    write_by_day(ins.hourly_facts(insights), target)
-    window = ins.hourly_window(drv.AD_DAY)
-    fresh = ins.hourly_facts(ins.kept_rows(insights, drv.CAMPAIGN_TEXT, period=window))
-    replace_days(fresh, target, window)
-    return spark.read.parquet(target).select("data", "hora", "anuncio", "gasto", "valor", "checkouts", "vendas")
+    for today in (drv.AD_DAY - dt.timedelta(days=3), drv.AD_DAY):
+        window = ins.hourly_window(today)
+        fresh = ins.hourly_facts(ins.kept_rows(insights, drv.CAMPAIGN_TEXT, period=window))
+        replace_days(fresh, target, window)
+    return spark.read.parquet(target)
 
 
 @query
@@ -350,9 +352,8 @@ def seed_insert(spark, folder):
     """Ads seen in the facts are added to the creatives of one campaign group."""
     stored = drv.creatives(spark, folder).where(F.col("campanha").startswith("Outro/"))
     seen = ins.with_canonical_name(drv.insights(spark, folder), drv.aliases(spark))
-    seeds = seen.groupBy("anuncio").agg(F.sum("impressoes").alias("_impressoes"))
-    rows = seeds.select("anuncio", F.lit("novo").alias("status"))
-    return merges.insert_missing(stored, rows, "anuncio").select("anuncio", "campanha", "status", "formato")
+    seeds = seen.select("anuncio").distinct().withColumn("status", F.lit("novo"))
+    return merges.insert_missing(stored, seeds, "anuncio").select("anuncio", "campanha", "status", "formato")
 
 
 @query

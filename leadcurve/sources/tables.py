@@ -43,11 +43,30 @@ def read_creative_sheet(sheet: DataFrame) -> DataFrame:
     return to_layout(sheet, layout).where(F.col("anuncio") != "")
 
 
+def write_by_month(df: DataFrame, path: str, *order: str, month: str = "mes") -> None:
+    """Rewrites a whole table of dated rows.
+
+    Rows are spread by range over ``order`` (the date first), so that every
+    file covers few days, no directory holds crumbs, and a day with a large
+    part of all rows is cut into several files. Directories by month prune
+    at planning time, file statistics do the rest.
+    """
+    keys = [month, *order]
+    (
+        df.withColumn(month, F.trunc(order[0], "MM"))
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .write.mode("overwrite")
+        .partitionBy(month)
+        .parquet(path)
+    )
+
+
 def write_by_day(df: DataFrame, path: str, day: str = "data") -> None:
-    """Rewrites a whole table, one directory per day.
+    """Rewrites a whole table of few days, one directory per day.
 
-    Rows are rebalanced on the day: small days share files, a heavy day is
-    split over several tasks.
+    Rows are rebalanced on the day: small days share tasks, a heavy day is
+    split over several.
     """
     df.hint("rebalance", day).write.mode("overwrite").partitionBy(day).parquet(path)
 

@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leadcurve.constants import BUY_STAGE, SCREENS
 from leadcurve.operators.events import clean_events, ping_to_row, valid
-from leadcurve.operators.funnel import of_page_group, of_variants, stage_pings
+from leadcurve.operators.funnel import of_page_group, of_variants, session_rollup, stage_pings
 from leadcurve.operators.periods import EVERYTHING, Period, local_date, within_dates
 
 
@@ -29,7 +28,7 @@ def file_stream(
 
 def _append_by_day(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     return (
-        events.withColumn("dia", local_date("ts"))
+        events.withColumn("dia", F.expr(local_date("ts")))
         .writeStream.format("parquet")
         .outputMode("append")
         .partitionBy("dia")
@@ -53,21 +52,14 @@ def backfill(sheet_rows: DataFrame, target: str, checkpoint: str) -> StreamingQu
 
 
 # --- session state ----------------------------------------------------------
-SESSION_DAY = ("dia", "sessao", "variante", "pagina")
-
-
 def session_days(events: DataFrame) -> DataFrame:
     """Furthest screen and buy click per session, local day, variant and page.
 
     Fine enough for every funnel filter, and mergeable: maximum and
     boolean-or do not care about order, repeats or late pings.
     """
-    stage = F.col("etapa")
-    pings = stage_pings(events).withColumn("dia", local_date("ts"))
-    return pings.groupBy(*SESSION_DAY).agg(
-        F.max(F.when(stage.between(1, SCREENS), stage).otherwise(F.lit(0)).cast("int")).alias("maxi"),
-        F.bool_or(stage == BUY_STAGE).alias("comprou"),
-    )
+    pings = stage_pings(events).withColumn("dia", F.expr(local_date("ts")))
+    return session_rollup(pings, "dia", "variante", "pagina")
 
 
 def track_sessions(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
