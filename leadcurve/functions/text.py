@@ -1,5 +1,7 @@
 """Text and time-text helpers."""
 
+import datetime as dt
+
 _BLANKS = " \t\n\r\x0b\x0c" + chr(0xA0) + chr(0xFEFF)  # space-like characters
 
 
@@ -23,6 +25,11 @@ def json_text_or_null(text: str) -> str:
     return f"(case when {value} is not null and not is_variant_null({value}) then {text} end)"
 
 
+def utc_literal(when: dt.datetime) -> str:
+    """A zone-less time as it is, untouched by the session or machine time zone."""
+    return f"timestamp_ntz'{when}'"
+
+
 def utc_timestamp(text: str) -> str:
     """Text to a zone-less UTC timestamp, null when it is no date.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadcurve.constants import DIAMOND_MAX_CPC, DIAMOND_MIN_CTR, DIAMOND_MIN_SPEND, TAGS
@@ -14,6 +16,7 @@ from leadcurve.functions.money import (
     sum_money,
 )
 from leadcurve.functions.numbers import half_up, ratio, rounded_ratio
+from leadcurve.functions.text import utc_literal
 from leadcurve.operators.periods import EVERYTHING, Period, within_dates
 
 LABELS = ("anuncio", "campanha", "status", *TAGS)
@@ -152,7 +155,7 @@ def rollup_status(rollup: DataFrame, creatives: DataFrame) -> DataFrame:
     )
 
 
-def upsert_creatives(creatives: DataFrame, rollup: DataFrame, now: Column) -> DataFrame:
+def upsert_creatives(creatives: DataFrame, rollup: DataFrame, when: dt.datetime) -> DataFrame:
     """New version of the creative table after a load.
 
     Delivered ads get a fresh id, campaign, status and time; their tags and
@@ -163,7 +166,7 @@ def upsert_creatives(creatives: DataFrame, rollup: DataFrame, now: Column) -> Da
         F.expr("coalesce(ad_id, '') as _ad_id"),
         F.expr("campanha as _campanha"),
         F.expr("status as _status"),
-        now.cast("timestamp_ntz").alias("_atualizado"),
+        F.expr(f"{utc_literal(when)} as _atualizado"),
     )
     fresh = {c: f"if(_status is not null, _{c}, {c})" for c in ("ad_id", "campanha", "status", "atualizado")}
     fresh |= {c: f"coalesce({c}, 0)" for c in ("vendas_ajuste", "valor_ajuste")}

@@ -323,7 +323,7 @@ def costs_in_period(spark, folder):
 @query
 def creative_upsert(spark, folder):
     stored = drv.creatives(spark, folder).where(F.col("status").isNotNull())
-    return cr.upsert_creatives(stored, _rollup(spark, folder), F.lit(LOAD_TIME))
+    return cr.upsert_creatives(stored, _rollup(spark, folder), LOAD_TIME)
 
 
 @query

@@ -1,0 +1,171 @@
+"""Sessions, curve, periods and variants on small hand-made tables."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from leadcurve.operators import funnel as fn
+from leadcurve.operators import periods
+from leadcurve.sources import dimensions, schemas
+
+
+def ping(i, ts, session, stage, variant=None, page=None, kind="etapa"):
+    return (i, dt.datetime.fromisoformat(ts), session, kind, stage, variant, page, None)
+
+
+@pytest.fixture
+def events(table):
+    return table(
+        schemas.EVENTS,
+        ping(1, "2024-01-10 12:00", "aaaa", 1, "v0", "v2"),
+        ping(2, "2024-01-10 12:01", "aaaa", 5, "v0", "v2"),
+        ping(3, "2024-01-10 12:02", "bbbb", 1, "v1", "espanhol"),
+        ping(4, "2024-01-10 12:03", "bbbb", 35, "v1", "espanhol"),
+        ping(5, "2024-01-10 12:04", "cccc", 35),             # bought without a screen
+        ping(6, "2024-01-10 12:05", "dddd", 38),             # neither screen nor buy
+        ping(7, "2024-01-10 12:06", "eeee", 34, None, "zz"),
+        ping(8, "2024-01-10 12:07", "ffff", None),
+        ping(9, "2024-01-10 12:08", "gggg", 9, kind="respostas"),
+    )
+
+
+def totals(df):
+    row = df.first()
+    return row.visitantes, row.compraram, row.fim, [s.sessoes for s in row.etapas]
+
+
+def test_totals_and_steps(events):
+    seen, bought, done, curve = totals(fn.funnel(events))
+    assert (seen, bought, done) == (3, 2, 1)
+    assert curve == [3, 2, 2, 2, 2] + [1] * 29
+
+
+def test_repeats_and_order_do_not_matter(events):
+    again = events.union(events).orderBy(F.desc("id"))
+    assert totals(fn.funnel(again)) == totals(fn.funnel(events))
+
+
+def test_filters(events, spark):
+    pages = dimensions.pages(spark)
+    assert totals(fn.funnel(events, variants=["v0"]))[0] == 1
+    assert totals(fn.funnel(events, variants=[]))[0] == 0
+    # empty and unknown pages count as brasil/meta
+    assert totals(fn.funnel(events, pages, funnel="brasil"))[:3] == (2, 1, 1)
+    assert totals(fn.funnel(events, pages, funnel="latam", source="meta"))[:3] == (1, 1, 0)
+    assert totals(fn.funnel(events, pages, source="tiktok"))[:3] == (0, 0, 0)
+
+
+def test_empty_table(events):
+    none = fn.funnel(events.where("false"))
+    assert totals(none) == (0, 0, 0, [0] * 34)
+    share = fn.percentages(none).first()
+    assert (share.pct_fim, share.pct_compra) == (0.0, 0.0)
+    curve = fn.retention(none)
+    assert [r.ret for r in curve.collect()] == [0.0] * 34
+    drop = fn.biggest_drop(curve).first()
+    assert (drop.tela, drop.queda, drop.alertas) == (0, 0.0, [])
+
+
+def test_labels(events):
+    names = [r.nome for r in fn.retention(fn.funnel(events), labels=["Start", "Next"]).orderBy("n").collect()]
+    assert names[:3] == ["Start", "Next", "Tela 3"]
+
+
+def test_biggest_drop_takes_first_of_equals(spark):
+    rows = [(n, 0.0 if n not in (4, 9, 31) else (7.5 if n < 30 else 50.0)) for n in range(1, 35)]
+    curve = spark.createDataFrame(rows, "n int, queda double").withColumn(
+        "alerta", F.expr("n between 3 and 29 and queda > 5")
+    )
+    found = fn.biggest_drop(curve).first()
+    assert (found.tela, found.queda, found.alertas) == (4, 7.5, [4, 9])
+
+
+def test_local_midnight(table):
+    """02:59 UTC is still the day before in Sao Paulo, 03:00 is not."""
+    events = table(
+        schemas.EVENTS,
+        ping(1, "2024-01-10 02:59:59.999999", "late", 1),
+        ping(2, "2024-01-10 03:00:00", "next", 1),
+        ping(3, "2024-01-11 02:59:59", "last", 1),
+        ping(4, "2024-01-11 03:00:00", "over", 1),
+    )
+    day = periods.between("2024-01-10", "2024-01-10")
+    kept = periods.within_local_period(events, day)
+    assert {r.sessao for r in kept.collect()} == {"next", "last"}
+
+
+def test_range_on_utc_equals_local_date(spark):
+    """Over all days with clock changes too: hourly times of eleven years."""
+    hours = spark.range(11 * 366 * 48).select(
+        F.expr("timestampadd(MINUTE, cast(id * 30 as int), timestamp_ntz'2010-01-01 00:00:00') as ts")
+    )
+    for start, end in (("2018-11-04", "2018-11-04"), ("2018-02-17", "2018-02-18"), ("2013-10-20", "2014-02-16")):
+        period = periods.between(start, end)
+        inside = periods.in_local_period(period)
+        by_date = f"{periods.local_date('ts')} between date'{start}' and date'{end}'"
+        assert hours.where(f"({inside}) != ({by_date})").count() == 0
+        assert hours.where(inside).count() > 0
+
+
+def test_many_periods_equal_one_by_one(events):
+    wanted = periods.presets(dt.date(2024, 1, 11))
+    rows = {r.preset: r for r in fn.funnel_by_period(fn.stage_pings(events), wanted).collect()}
+    assert set(rows) == set(wanted)
+    for name, period in wanted.items():
+        assert (rows[name].visitantes, rows[name].compraram, rows[name].fim) == totals(
+            fn.funnel(events, period=period)
+        )[:3]
+
+
+def test_sheet_mode_counts_any_type(table):
+    raw = table(
+        "sessao string, etapa string, tipo string, ts timestamp_ntz",
+        ("aaaa", "3x", "respostas", dt.datetime(2024, 1, 1, 12)),
+        ("bbbb", "", "etapa", None),
+        ("bbbb", "2", "etapa", None),
+        ("", "9", "etapa", dt.datetime(2024, 1, 1, 12)),
+    )
+    everything = fn.funnel_totals(fn.sheet_sessions(raw))
+    assert totals(everything)[3][:4] == [2, 2, 1, 0]
+    bounded = fn.funnel_totals(fn.sheet_sessions(raw, periods.between("2024-01-01", "2024-01-01")))
+    assert totals(bounded)[0] == 1
+
+
+def test_variants(events):
+    rows = fn.variants_available(events).collect()
+    assert [(r.variante, r.sessoes) for r in rows] == [("v0", 1), ("v1", 1)]
+    assert rows[0].ini == rows[0].fim == dt.date(2024, 1, 10)
+
+
+def test_presets():
+    tuesday = dt.date(2024, 1, 30)
+    p = periods.presets(tuesday)
+    day = dt.date
+    assert (p["semana"].start, p["semana"].end) == (day(2024, 1, 29), tuesday)
+    assert (p["semana_passada"].start, p["semana_passada"].end) == (day(2024, 1, 22), day(2024, 1, 28))
+    assert (p["mes_passado"].start, p["mes_passado"].end) == (day(2023, 12, 1), day(2023, 12, 31))
+    assert (p["7d"].start, p["28d"].start) == (day(2024, 1, 24), day(2024, 1, 3))
+    march = periods.presets(day(2024, 3, 31))["mes_passado"]
+    assert (march.start, march.end) == (day(2024, 2, 1), day(2024, 2, 29))
+
+
+def test_resolve():
+    today = dt.date(2024, 1, 30)
+    custom = periods.resolve(today, start="2024-01-02")
+    assert (custom.start, custom.end, custom.preset) == (dt.date(2024, 1, 2), dt.date(2024, 1, 2), "custom")
+    until = periods.resolve(today, end="2024-01-02")
+    assert (until.start, until.end) == (None, dt.date(2024, 1, 2))
+    assert periods.resolve(today) == periods.resolve(today, "unknown") == periods.EVERYTHING
+    assert periods.resolve(today, "hoje").end == today
+
+
+def test_period_filter_reaches_the_scan(spark):
+    from leadcurve.plans.queries import FUNNEL_PERIOD
+    from leadcurve.sources import driver_tables as drv
+
+    plan = fn.funnel(drv.events(spark, "/root/testdata/sf0.001"), period=FUNNEL_PERIOD)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-05T03:00)" in text
+    assert "LessThan(ts,2024-01-21T03:00)" in text
+    assert "value" not in text.split("ReadSchema")[1]
