@@ -21,7 +21,9 @@ def money_or_nothing(amount: str) -> str:
 
 def revenue_or_list_price(value: str, sales: str) -> str:
     """Reported revenue, or sales at list price when none was reported."""
-    return f"(case when {value} > 0 then cast({value} as {MONEY}) else cast({sales} * {LIST_PRICE} as {MONEY}) end)"
+    # 12 digits of sales keep the product within the 18 that fit a long
+    listed = f"cast({sales} as decimal(12,0)) * {LIST_PRICE}"
+    return f"(case when {value} > 0 then cast({value} as {MONEY}) else cast({listed} as {MONEY}) end)"
 
 
 def net_income(revenue: str, sales: str) -> str:

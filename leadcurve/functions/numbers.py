@@ -22,13 +22,10 @@ def rounded_ratio(numerator: str, denominator: str, times: int, digits: int) ->
     return half_up(ratio(numerator, denominator, times), digits)
 
 
-def number_or_zero(text: str) -> str:
-    """Text to double; null, not a number and unparseable all give 0."""
-    return f"coalesce(nanvl(try_cast({text} as double), 0D), 0D)"
-
-
 def count_or_zero(text: str) -> str:
-    return f"coalesce(try_cast({number_or_zero(text)} as bigint), 0L)"
+    """Text to a whole number; the detour over double is taken only by text that is none."""
+    fraction = f"nanvl(try_cast({text} as double), 0D)"
+    return f"coalesce(try_cast({text} as bigint), try_cast({fraction} as bigint), 0L)"
 
 
 def money_or_zero(text: str) -> str:

@@ -175,6 +175,25 @@ def upsert_creatives(creatives: DataFrame, rollup: DataFrame, when: dt.datetime)
     )
 
 
+def insert_new_creatives(creatives: DataFrame, rollup: DataFrame, when: dt.datetime) -> DataFrame:
+    """New version of the creative table by the older generation's rule.
+
+    Delivered ads that are not listed are added as ``rodando``; listed ones
+    keep all their labels and only get the time of the load.
+    """
+    new = rollup.where("impressoes > 0").selectExpr(
+        "anuncio", "ad_id as _ad_id", "campanha as _campanha", f"{utc_literal(when)} as _atualizado"
+    )
+    listed = creatives.withColumn("_listado", F.lit(True))
+    added = {"ad_id": "_ad_id", "campanha": "_campanha", "status": "'rodando'"}
+    chosen = {c: f"if(_listado, {c}, {value})" for c, value in added.items()}
+    chosen |= {c: f"coalesce({c}, 0)" for c in ("vendas_ajuste", "valor_ajuste")}
+    chosen["atualizado"] = "coalesce(_atualizado, atualizado)"
+    return listed.join(new, "anuncio", "full_outer").selectExpr(
+        *[f"cast({chosen.get(c, c)} as {kind}) as {c}" for c, kind in creatives.dtypes]
+    )
+
+
 def rename_running(creatives: DataFrame) -> DataFrame:
     """Status ``rodando``, in any spelling of case and blanks, becomes ``ativo``."""
     running = F.expr(f"{_plain('status')} = 'rodando'")

@@ -82,13 +82,25 @@ def clean_events(raw: DataFrame, table_checks: bool = False) -> DataFrame:
         ("ts is null", "ts"),
     ]
     if table_checks:
-        checks += [
-            (f"etapa is not null and {bad_stage}", "etapa"),
-            (f"char_length(pagina) > {PAGE_LENGTH}", "pagina"),
-        ]
+        checks += TABLE_CHECKS
     return typed.selectExpr("*", f"{_first_failing(checks)} as motivo")
 
 
+# limits of the stored event table, for every type of ping
+TABLE_CHECKS = [
+    (f"tipo is null or tipo not in {EVENT_TYPES}", "tipo"),
+    (f"etapa is not null and {_absent_or_outside('etapa', 1, MAX_STAGE)}", "etapa"),
+    (_absent_or_outside("char_length(sessao)", *SESSION_LENGTH), "sessao"),
+    (f"char_length(variante) > {VARIANT_LENGTH}", "variante"),
+    (f"char_length(pagina) > {PAGE_LENGTH}", "pagina"),
+]
+
+
+def check_events(events: DataFrame) -> DataFrame:
+    """Adds ``motivo`` to typed pings: the first limit of the event table they break."""
+    return events.selectExpr("*", f"{_first_failing(TABLE_CHECKS)} as motivo")
+
+
 def _first_failing(checks: list[tuple[str, str]]) -> str:
     return f"case {' '.join(f'when {test} then {name!r}' for test, name in checks)} end"
 

@@ -437,6 +437,13 @@ from periodos p join (
 select coalesce(motivo, 'ok') as motivo, count(*) as linhas from planilha_limpa group by 1""",
     "event_rejects_table_checks": """
 select coalesce(motivo, motivo2, 'ok') as motivo, count(*) as linhas from planilha_limpa group by 1""",
+    "event_table_checks": """
+select case when tipo not in ('etapa', 'respostas') then 'tipo'
+    when e not between 1 and 40 then 'etapa' when length(sessao) not between 4 and 64 then 'sessao'
+    when tipo <> 'respostas' and length(data) > 24 then 'variante'
+    when length(pagina) > 24 then 'pagina' else 'ok' end as motivo, count(*) as linhas
+from (select *, try_cast(nullif(regexp_extract(etapa, '^[0-9]+'), '') as int) as e from planilha)
+group by 1""",
     "cost_rejects": """
 select case when length(trim(nome)) not between 1 and 120 then 'nome' when valor < 0 then 'valor'
   else 'ok' end as motivo, count(*) as linhas
@@ -536,6 +543,18 @@ select coalesce(c.anuncio, r.anuncio) as anuncio, coalesce(r.ad_id, c.ad_id) as
   case when r.anuncio is not null then '2001-07-31 12:00:00' end as atualizado
 from (select * from criativos where status is not null) c
 full join (select * from rolagem where impressoes > 0) r on c.anuncio = r.anuncio""",
+    "creative_upsert_sheet_mode": f"""
+select coalesce(c.anuncio, r.anuncio) as anuncio, coalesce(c.ad_id, r.ad_id) as ad_id,
+  coalesce(c.campanha, r.campanha) as campanha, coalesce(c.status, 'rodando') as status,
+  {", ".join("c." + t for t in _TAGS)}, coalesce(c.vendas_ajuste, 0) as vendas_ajuste,
+  cast(coalesce(c.valor_ajuste, 0) as double) as valor_ajuste,
+  case when r.anuncio is not null then '2001-07-31 12:00:00' end as atualizado
+from (select * from criativos where status is not null) c
+full join (
+  select anuncio, min(ad_id) as ad_id,
+    arg_max(campaign_name, concat(cast(data as varchar), campaign_name)) as campanha
+  from planilha_diaria group by anuncio having sum(impressoes) > 0
+) r on c.anuncio = r.anuncio""",
     "daily_rewrite": _DAILY_OUT,
     "hourly_replace": f"""
 select cast(data as varchar) as data, hora, anuncio, {_SHOW_MONEY}, checkouts, vendas

@@ -170,6 +170,19 @@ def event_rejects_table_checks(spark, folder):
     return ev.reject_counts(ev.clean_events(drv.event_sheet(spark, folder), table_checks=True))
 
 
+@query
+def event_table_checks(spark, folder):
+    """Uncleaned rows against the limits of the event table."""
+    typed = drv.event_sheet(spark, folder).selectExpr(
+        "sessao",
+        "tipo",
+        f"{ev.leading_int('etapa')} as etapa",
+        "if(tipo = 'respostas', null, data) as variante",
+        "pagina",
+    )
+    return ev.reject_counts(ev.check_events(typed))
+
+
 @query
 def cost_rejects(spark, folder):
     return ev.reject_counts(ev.check_costs(drv.costs(spark, folder)))
@@ -326,6 +339,13 @@ def creative_upsert(spark, folder):
     return cr.upsert_creatives(stored, _rollup(spark, folder), LOAD_TIME)
 
 
+@query
+def creative_upsert_sheet_mode(spark, folder):
+    stored = drv.creatives(spark, folder).where(F.col("status").isNotNull())
+    rollup = ins.ad_rollup(drv.sheet_daily(spark, folder), drv.AD_DAY)
+    return cr.insert_new_creatives(stored, rollup, LOAD_TIME)
+
+
 @query
 def daily_rewrite(spark, folder):
     """Two loads into the same table: the second one replaces the first."""

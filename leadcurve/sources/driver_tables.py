@@ -40,10 +40,11 @@ def aliases(spark: SparkSession) -> DataFrame:
 
 
 # --- pings ------------------------------------------------------------------
-_STAGE = (
-    "1 + case when _k % 35 between 10 and 13 then 10 "
-    "when _k % 35 between 20 and 23 then 20 else _k % 35 end"
-)
+# 1 + k % 35 with 11..13 folded into 10 and 21..23 into 20. A lookup names the
+# parsed JSON once; a CASE would parse it again in every branch of a pushed filter.
+_FOLDED = [1 + (10 if 10 <= r <= 13 else 20 if 20 <= r <= 23 else r) for r in range(35)]
+_K = "cast(get_json_object(props, '$.k') as int)"
+_STAGE = f"get(array({', '.join(map(str, _FOLDED))}), {_K} % 35)"
 _PAGE = (
     "case user_id % 5 when 0 then 'v2' when 1 then 'tiktok' when 2 then 'espanhol' "
     "when 3 then null else 'zz' end"
@@ -53,7 +54,7 @@ _TYPE = "case when event_type = 'error' then 'respostas' else 'etapa' end"
 
 def as_events(raw: DataFrame) -> DataFrame:
     """Driver events, batch or stream, as typed pings."""
-    return raw.withColumn("_k", F.get_json_object("props", "$.k").cast("int")).selectExpr(
+    return raw.selectExpr(
         "event_id as id",
         "ts",
         "concat('sess-', cast(user_id as string), '-', cast(cast(ts as date) as string)) as sessao",
@@ -67,12 +68,12 @@ def as_events(raw: DataFrame) -> DataFrame:
 
 def as_pings(raw: DataFrame) -> DataFrame:
     """Driver events as the request parameters of pings."""
-    return raw.withColumn("_k", F.get_json_object("props", "$.k").cast("int")).selectExpr(
+    return raw.selectExpr(
         "event_id as id",
         "ts as recebido",
         "case when event_type = 'error' then 'respostas' end as action",
         "concat('sess-', cast(user_id as string)) as sessao",
-        f"case when event_type = 'view' and _k < 5 then '' else cast({_STAGE} as string) end as etapa",
+        f"case when event_type = 'view' and {_K} < 5 then '' else cast({_STAGE} as string) end as etapa",
         "case user_id % 4 when 3 then '' else cast(user_id % 4 as string) end as v",
         "case when event_type = 'error' then props end as data",
     )
@@ -103,12 +104,18 @@ def event_sheet(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --- ads --------------------------------------------------------------------
-def _ads(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers with their nation and region."""
-    nation = table(spark, folder, "nation").join(
-        table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+def _with_ad(spark: SparkSession, folder: str, rows: DataFrame, key: str) -> DataFrame:
+    """Rows joined to their supplier, its nation and region, one table after the other.
+
+    Each joined table is a plain scan whose size Catalyst knows, so each is
+    broadcast if it is small and only then; a join of joins would be
+    guessed far too large and make the facts move instead.
+    """
+    if key != "s_suppkey":
+        rows = rows.join(table(spark, folder, "supplier"), F.expr(f"{key} = s_suppkey"))
+    return rows.join(table(spark, folder, "nation"), F.expr("s_nationkey = n_nationkey")).join(
+        table(spark, folder, "region"), F.expr("n_regionkey = r_regionkey")
     )
-    return table(spark, folder, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
 
 
 _CAMPAIGN = "concat(case when r_regionkey = 4 then 'Outro/' else 'Quiz/' end, n_name)"
@@ -116,9 +123,7 @@ _CAMPAIGN = "concat(case when r_regionkey = 4 then 'Outro/' else 'Quiz/' end, n_
 
 def insights(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as flat ad-insight rows."""
-    rows = table(spark, folder, "lineitem").join(
-        _ads(spark, folder), F.col("l_suppkey") == F.col("s_suppkey")
-    )
+    rows = _with_ad(spark, folder, table(spark, folder, "lineitem"), "l_suppkey")
     two_digits = "lpad(cast(l_orderkey % 24 as string), 2, '0')"
     flat = rows.withColumn("_q", F.col("l_quantity").cast("bigint")).selectExpr(
         "cast(l_shipdate as date) as data",
@@ -128,7 +133,8 @@ def insights(spark: SparkSession, folder: str) -> DataFrame:
         "case when l_suppkey % 11 = 10 then null else s_name end as ad_name",
         "cast(s_nationkey as string) as campaign_id",
         f"{_CAMPAIGN} as campaign_name",
-        "cast(cast(floor(l_extendedprice) as bigint) * 0.001 * (1 + l_suppkey % 7) as decimal(12,2)) as gasto",
+        "cast(cast(floor(l_extendedprice) as decimal(9,0)) * 0.001 * cast(1 + l_suppkey % 7 as decimal(1,0)) "
+        "as decimal(12,2)) as gasto",
         "case when l_suppkey % 50 = 49 then 0 else _q * (60 + 20 * (l_suppkey % 4)) end as impressoes",
         "_q * l_linenumber as clicks",
         "case when l_returnflag = 'A' then 0 else _q * 30 end as v3s",
@@ -142,7 +148,8 @@ def insights(spark: SparkSession, folder: str) -> DataFrame:
         "l_linestatus = 'O' as _com_valor",
     )
     value = (
-        "cast(case when _com_valor and vendas > 0 then vendas * 37.90 + 17.00 * _bumps else 0 end "
+        "cast(case when _com_valor and vendas > 0 then cast(vendas as decimal(9,0)) * 37.90 "
+        "+ 17.00 * cast(_bumps as decimal(1,0)) else 0 end "
         "as decimal(12,2)) as valor"
     )
     return flat.selectExpr("* except (_bumps, _com_valor)", value)
@@ -212,7 +219,8 @@ def sheet_daily(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def creatives(spark: SparkSession, folder: str) -> DataFrame:
-    return _ads(spark, folder).selectExpr(
+    suppliers = table(spark, folder, "supplier")
+    return _with_ad(spark, folder, suppliers, "s_suppkey").selectExpr(
         "case when s_suppkey % 11 = 10 then cast(s_suppkey as string) else s_name end as anuncio",
         "cast(s_suppkey as string) as ad_id",
         f"{_CAMPAIGN} as campanha",

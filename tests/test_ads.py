@@ -163,6 +163,17 @@ def test_upsert_creatives(table, spark):
     assert sorted(map(repr, again.collect())) == sorted(map(repr, new.collect()))
 
 
+def test_older_upsert_only_inserts(table, spark):
+    stored = table(schemas.CREATIVES, creative("main", "Paused"), creative("absent", None))
+    now = dt.datetime(2024, 5, 10, 8)
+    rollup = ins.ad_rollup(rollup_rows(table, spark), TODAY)
+    got = {r.anuncio: r for r in cr.insert_new_creatives(stored, rollup, now).collect()}
+    assert (got["main"].status, got["main"].campanha, got["main"].atualizado) == ("Paused", "old", now)
+    assert (got["target"].status, got["target"].vendas_ajuste) == ("rodando", 0)
+    assert got["absent"].atualizado is None and got["absent"].status is None
+    assert "idle" not in got
+
+
 def test_rename_running(table):
     stored = table(schemas.CREATIVES, creative("a", " RoDando "), creative("b", None), creative("c", "x"))
     assert [r.status for r in cr.rename_running(stored).orderBy("anuncio").collect()] == ["ativo", None, "x"]

@@ -72,6 +72,21 @@ def test_table_checks(table):
     assert [strict[i].motivo for i in range(4)] == ["etapa", "pagina", None, None]
 
 
+def test_typed_rows_against_the_table(table):
+    rows = table(
+        "id int, sessao string, tipo string, etapa int, variante string, pagina string",
+        (1, "abcd", "etapa", 40, "v" * 24, "p" * 24),
+        (2, "abcd", "etapa", None, None, None),
+        (3, "abc", "etapa", 1, None, None),
+        (4, "abcd", None, 1, None, None),
+        (5, "abcd", "respostas", 0, None, None),
+        (6, "abcd", "etapa", 1, "v" * 25, None),
+        (7, "abcd", "etapa", 1, None, "p" * 25),
+    )
+    got = {r.id: r.motivo for r in ev.check_events(rows).collect()}
+    assert got == {1: None, 2: None, 3: "sessao", 4: "tipo", 5: "etapa", 6: "variante", 7: "pagina"}
+
+
 def test_counts_cover_every_row(table):
     raw = table(schemas.EVENT_SHEET, row(1), row(2, sessao="x"), row(3, ts="?"))
     counts = {r.motivo: r.linhas for r in ev.reject_counts(ev.clean_events(raw)).collect()}
