@@ -84,6 +84,18 @@ def kept_rows(
     return insights
 
 
+def combine_rows(insights: DataFrame) -> DataFrame:
+    """Rows of the same day, ad and campaign as one, with their number as ``linhas``.
+
+    What follows only adds up, so it gives the same on the combined rows.
+    All buffers are numbers: this is a hash aggregation that combines before
+    its shuffle. A load stores the outcome and reads its records only once.
+    """
+    return insights.groupBy("data", "ad_id", "ad_name", "campaign_id", "campaign_name").agg(
+        F.expr("count(*) as linhas"), *_sums(COUNTS)
+    )
+
+
 def with_canonical_name(insights: DataFrame, aliases: DataFrame | None) -> DataFrame:
     """Adds ``anuncio`` (alias resolved) and ``absorvido`` (the alias changed it)."""
     named = insights.selectExpr("*", f"{or_else('ad_name', 'ad_id')} as _nome")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def insert_missing(table: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
-    """Adds the rows whose key the table does not hold; existing rows win."""
-    new = rows.join(table.select(*key), list(key), "left_anti")
+    """Adds the rows whose key the table does not hold; existing rows win.
+
+    Of several new rows with one key, one is added.
+    """
+    new = rows.join(table.select(*key), list(key), "left_anti").dropDuplicates(list(key))
     return table.unionByName(new, allowMissingColumns=True)
 
 

@@ -474,6 +474,7 @@ select {_SHOW_DAY}, anuncio, min(ad_id) as ad_id, min(campaign_name) as campanha
   {", ".join(f"cast(sum({c}{' + 1' if c == 'checkouts' else ''}) as bigint) as {c}" for c in _COUNTS)}
 from carga group by data, anuncio""",
     "ad_daily": _DAILY_OUT,
+    "ad_daily_combined": _DAILY_OUT,
     "ad_hourly": f"select {_HOURLY_COLUMNS} from (select {_SHOW_DAY}, hora, anuncio, {_SHOW_MONEY}, checkouts, vendas from horario)",
     "ad_daily_repeats": f"""
 select {_SHOW_DAY}, anuncio, count(*) as linhas from planilha_diaria group by data, anuncio having count(*) > 1""",

@@ -428,19 +428,29 @@ def cost_changes(spark, folder):
 @query
 def load_summary(spark, folder):
     """Audit row of a load: rows read, days, creatives and hours written."""
-    flat = drv.insights(spark, folder)
-    read = ins.kept_rows(flat, drv.CAMPAIGN_TEXT, period=ins.daily_window(drv.AD_DAY))
-    rollup = _rollup(spark, folder)
+    read = ins.kept_rows(
+        drv.insights(spark, folder), drv.CAMPAIGN_TEXT, period=ins.daily_window(drv.AD_DAY)
+    )
+    staging = work_folder(spark, "registros")
+    ins.combine_rows(read).write.parquet(staging)
+    combined = spark.read.parquet(staging)
+    named = drv.loaded_rows(spark, combined)
     return load_audit(
-        read,
-        drv.ad_daily(spark, folder),
-        rollup.where(F.col("impressoes") > 0),
+        combined,
+        ins.daily_facts(named),
+        ins.ad_rollup(named, drv.AD_DAY).where("impressoes > 0"),
         drv.ad_hourly(spark, folder),
         drv.AD_DAY,
         LOAD_TIME,
     )
 
 
+@query
+def ad_daily_combined(spark, folder):
+    """The daily facts out of combined rows: the same as from single ones."""
+    return ins.daily_facts(drv.loaded_rows(spark, ins.combine_rows(drv.insights(spark, folder))))
+
+
 # --- streams ----------------------------------------------------------------
 def _event_files(spark, folder):
     schema = drv.table(spark, folder, "events").schema

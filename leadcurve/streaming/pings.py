@@ -7,6 +7,8 @@ starts over.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,38 +19,65 @@ from leadcurve.operators.periods import EVERYTHING, Period, local_date, within_d
 
 
 def file_stream(
-    spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None
+    spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int = 1000
 ) -> DataFrame:
-    """Parquet files of a folder as a stream, new files being picked up as they arrive."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    """Parquet files of a folder as a stream, new files being picked up as they arrive.
+
+    ``files_per_batch`` bounds what a failure repeats, not what is read.
+    """
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", pattern)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(folder)
+    )
+
 
+def _add_batches(
+    stream: DataFrame, target: str, checkpoint: str, origin: str, step: Callable[[DataFrame], DataFrame]
+) -> StreamingQuery:
+    """Writes ``step`` of every micro-batch to a directory of that batch, by local day.
+
+    A replayed batch overwrites its own directory, so each row lands once.
+    Nothing stored before is touched. Streams of other origins may write
+    under the same target.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        rows = step(batch).hint("rebalance", "dia")
+        rows.write.mode("overwrite").partitionBy("dia").parquet(f"{target}/origem={origin}/lote={batch_id}")
 
-def _append_by_day(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     return (
-        events.withColumn("dia", F.expr(local_date("ts")))
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("dia")
-        .option("path", target)
+        stream.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def ingest(pings: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Appends ping requests to the event table, by local day; malformed ones are refused."""
-    return _append_by_day(
-        valid(clean_events(ping_to_row(pings), table_checks=True)), target, checkpoint
-    )
+def _by_day(events: DataFrame) -> DataFrame:
+    return events.withColumn("dia", F.expr(local_date("ts")))
+
 
+def ingest(pings: DataFrame, target: str, checkpoint: str, origin: str = "pings") -> StreamingQuery:
+    """Adds ping requests to the event table; malformed ones are refused."""
 
-def backfill(sheet_rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Appends cleaned history rows to the event table, each exactly once over all runs."""
-    return _append_by_day(valid(clean_events(sheet_rows, table_checks=True)), target, checkpoint)
+    def step(batch: DataFrame) -> DataFrame:
+        return _by_day(valid(clean_events(ping_to_row(batch), table_checks=True)))
+
+    return _add_batches(pings, target, checkpoint, origin, step)
+
+
+def backfill(sheet_rows: DataFrame, target: str, checkpoint: str, origin: str = "historico") -> StreamingQuery:
+    """Adds cleaned history rows to the event table, each exactly once over all runs.
+
+    To start over, take a new checkpoint and a new origin (or empty the old one).
+    """
+
+    def step(batch: DataFrame) -> DataFrame:
+        return _by_day(valid(clean_events(batch, table_checks=True)))
+
+    return _add_batches(sheet_rows, target, checkpoint, origin, step)
 
 
 # --- session state ----------------------------------------------------------
@@ -58,28 +87,25 @@ def session_days(events: DataFrame) -> DataFrame:
     Fine enough for every funnel filter, and mergeable: maximum and
     boolean-or do not care about order, repeats or late pings.
     """
-    pings = stage_pings(events).withColumn("dia", F.expr(local_date("ts")))
-    return session_rollup(pings, "dia", "variante", "pagina")
+    return session_rollup(_by_day(stage_pings(events)), "dia", "variante", "pagina")
 
 
-def track_sessions(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keeps session-days up to date.
+def merge_session_days(partials: DataFrame) -> DataFrame:
+    """Many partial results as one; written to a new table it takes their place."""
+    return partials.groupBy("dia", "variante", "pagina", "sessao").agg(
+        F.max("maxi").alias("maxi"), F.bool_or("comprou").alias("comprou")
+    )
 
-    Each micro-batch adds its own partial result in a directory of its own,
-    which a replay overwrites. Nothing stored is rewritten and no state is
-    held, so a batch costs what its pings cost, however long the history.
-    """
 
-    def add(batch: DataFrame, batch_id: int) -> None:
-        partial = session_days(batch).hint("rebalance", "dia")
-        partial.write.mode("overwrite").partitionBy("dia").parquet(f"{target}/lote={batch_id}")
+def track_sessions(
+    events: DataFrame, target: str, checkpoint: str, origin: str = "pings"
+) -> StreamingQuery:
+    """Keeps session-days up to date, one partial result per micro-batch.
 
-    return (
-        events.writeStream.foreachBatch(add)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    No state is held and nothing stored is rewritten, so a batch costs what
+    its pings cost, however long the history.
+    """
+    return _add_batches(events, target, checkpoint, origin, session_days)
 
 
 def tracked_sessions(

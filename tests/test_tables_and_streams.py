@@ -35,7 +35,8 @@ def test_merges(spark):
     table = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, x string")
     more = spark.createDataFrame([(2, "B"), (4, "D")], "id int, x string")
     ids = lambda df: {r.id: r.x for r in df.collect()}
-    assert ids(merges.insert_missing(table, more, "id")) == {1: "a", 2: "b", 3: "c", 4: "D"}
+    added = merges.insert_missing(table, more.union(more), "id")
+    assert added.count() == 4 and ids(added) == {1: "a", 2: "b", 3: "c", 4: "D"}
     assert ids(merges.upsert(table, more, "id")) == {1: "a", 2: "B", 3: "c", 4: "D"}
     changes = spark.createDataFrame(
         [(1, None, "delete"), (2, "B", "update"), (9, "n", "insert")], "id int, x string, op string"
@@ -203,8 +204,9 @@ def test_session_stream_equals_batch(spark, split_events, tmp_path):
         {"period": periods.between("2024-01-05", "2024-01-09")},
         {"variants": ["v1"], "pages": pages, "funnel": "brasil", "source": "tiktok"},
     ):
-        streamed = fn.funnel_totals(st.tracked_sessions(partials, **options))
-        assert streamed.collect() == fn.funnel(events, **options).collect()
+        expected = fn.funnel(events, **options).collect()
+        for stored in (partials, st.merge_session_days(partials)):
+            assert fn.funnel_totals(st.tracked_sessions(stored, **options)).collect() == expected
 
 
 def test_late_and_repeated_pings(spark, split_events, tmp_path):
@@ -221,6 +223,22 @@ def test_late_and_repeated_pings(spark, split_events, tmp_path):
     assert rows(streamed) == rows(batch)
 
 
+def test_two_streams_share_the_event_table(spark, split_events, tmp_path):
+    folder, raw = split_events
+    target = str(tmp_path / "events")
+    stream = lambda: st.file_stream(spark, folder, raw.schema)
+    st.backfill(drv.as_event_sheet(stream()), target, str(tmp_path / "one")).awaitTermination()
+    old = spark.read.parquet(target).count()
+    st.ingest(drv.as_pings(stream()), target, str(tmp_path / "two")).awaitTermination()
+    stored = spark.read.parquet(target)
+    assert stored.where("origem = 'historico'").count() == old
+    assert stored.where("origem = 'pings'").count() > 0
+    # the stored table is pruned by local day
+    day = periods.within_local_period(stored, periods.between("2024-01-05", "2024-01-05"))
+    assert "PartitionFilters: [isnotnull(dia" in day._jdf.queryExecution().executedPlan().toString()
+    assert day.count() == stored.where("dia = date'2024-01-05'").count()
+
+
 def test_backfill_goes_on_and_starts_over(spark, tmp_path):
     raw = drv.table(spark, SF, "events")
     source, target = str(tmp_path / "history"), str(tmp_path / "events")
