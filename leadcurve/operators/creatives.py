@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,13 +66,17 @@ def creative_metrics(
 
 
 def sheet_metrics(
-    creatives: DataFrame, sheet_daily: DataFrame, period: Period = EVERYTHING
+    creatives: DataFrame,
+    sheet_daily: DataFrame,
+    period: Period = EVERYTHING,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Period metrics by the older generation's rules.
 
     Daily rows may repeat an ad and day. No alias is resolved; the 3-second
     and list-price fallbacks apply to the period totals; a creative without
-    rows is all zeros and its manual adjustment is ignored.
+    rows is all zeros and its manual adjustment is ignored. ``keep`` names
+    more creative columns to pass on.
     """
     rows = within_dates(sheet_daily, period).where("anuncio != ''")
     totals = _totals(rows, "sum(v3s) as v3s", "sum(v2s) as v2s", "true as _tem")
@@ -82,6 +87,7 @@ def sheet_metrics(
         .join(totals, "anuncio", "left")
         .selectExpr(
             *LABELS,
+            *keep,
             f"{money_or_nothing('gasto')} as gasto",
             *[f"coalesce({c}, 0L) as {c}" for c in counts],
             f"coalesce({THREE_SECOND_PLAYS}, 0L) as v3s",
@@ -91,7 +97,7 @@ def sheet_metrics(
     )
 
 
-def creative_report(metrics: DataFrame) -> DataFrame:
+def creative_report(metrics: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Ratios, net income and the diamond flag for each creative's period metrics.
 
     A ratio is null when its denominator is 0. ``valor`` becomes
@@ -103,6 +109,7 @@ def creative_report(metrics: DataFrame) -> DataFrame:
     return (
         metrics.selectExpr(
             *LABELS,
+            *keep,
             "gasto",
             "impressoes",
             f"{rounded_ratio('clicks', 'impressoes', 10000, 0)} / 100D as ctr_pct",
@@ -155,6 +162,11 @@ def rollup_status(rollup: DataFrame, creatives: DataFrame) -> DataFrame:
     )
 
 
+def _load_time(creatives: DataFrame, when: dt.datetime) -> str:
+    """The load time in the type the table keeps it in (a sheet keeps text)."""
+    return f"cast({utc_literal(when)} as {dict(creatives.dtypes)['atualizado']}) as _atualizado"
+
+
 def upsert_creatives(creatives: DataFrame, rollup: DataFrame, when: dt.datetime) -> DataFrame:
     """New version of the creative table after a load.
 
@@ -166,7 +178,7 @@ def upsert_creatives(creatives: DataFrame, rollup: DataFrame, when: dt.datetime)
         F.expr("coalesce(ad_id, '') as _ad_id"),
         F.expr("campanha as _campanha"),
         F.expr("status as _status"),
-        F.expr(f"{utc_literal(when)} as _atualizado"),
+        F.expr(_load_time(creatives, when)),
     )
     fresh = {c: f"if(_status is not null, _{c}, {c})" for c in ("ad_id", "campanha", "status", "atualizado")}
     fresh |= {c: f"coalesce({c}, 0)" for c in ("vendas_ajuste", "valor_ajuste")}
@@ -182,7 +194,7 @@ def insert_new_creatives(creatives: DataFrame, rollup: DataFrame, when: dt.datet
     keep all their labels and only get the time of the load.
     """
     new = rollup.where("impressoes > 0").selectExpr(
-        "anuncio", "ad_id as _ad_id", "campanha as _campanha", f"{utc_literal(when)} as _atualizado"
+        "anuncio", "ad_id as _ad_id", "campanha as _campanha", _load_time(creatives, when)
     )
     listed = creatives.withColumn("_listado", F.lit(True))
     added = {"ad_id": "_ad_id", "campanha": "_campanha", "status": "'rodando'"}
@@ -194,6 +206,32 @@ def insert_new_creatives(creatives: DataFrame, rollup: DataFrame, when: dt.datet
     )
 
 
+SHEET_FIGURES = (
+    "gasto", "impressoes", "ctr_pct", "hook_rate_pct", "hold_rate_pct", "views25_pct", "lpv", "custo_lpv",
+    "checkouts", "custo_checkout", "vendas", "custo_venda", "faturamento", "roas", "roi_pct",
+)
+
+
+def refresh_sheet(
+    sheet: DataFrame, sheet_daily: DataFrame, rollup: DataFrame, when: dt.datetime
+) -> DataFrame:
+    """The older generation's wide creative sheet after a load.
+
+    Ads that are not listed are added. Delivered ads get the figures of the
+    whole history; a hook rate stays as it was where there are no plays.
+    Other rows, and all labels and adjustments, stay.
+    """
+    stored = {name: f"_{name}" for name in SHEET_FIGURES}
+    listed = insert_new_creatives(sheet, rollup, when).withColumnsRenamed(stored)
+    keep = ("ad_id", "vendas_ajuste", "valor_ajuste", "atualizado", *stored.values())
+    report = creative_report(sheet_metrics(listed, sheet_daily, keep=keep), keep)
+    special = {"lpv": "nullif(lpv, 0L)", "hook_rate_pct": "coalesce(hook_rate_pct, _hook_rate_pct)"}
+    figures = {c: f"if(impressoes > 0, {special.get(c, c)}, {stored[c]})" for c in SHEET_FIGURES}
+    return report.selectExpr(
+        *[f"cast({figures.get(c, c)} as {kind}) as {c}" for c, kind in sheet.dtypes]
+    )
+
+
 def rename_running(creatives: DataFrame) -> DataFrame:
     """Status ``rodando``, in any spelling of case and blanks, becomes ``ativo``."""
     running = F.expr(f"{_plain('status')} = 'rodando'")

@@ -260,7 +260,7 @@ where c.anuncio not in (select de from consolidar)
 group by {_LABELS}"""
 
 
-def _sheet_metrics(where: str = "true") -> str:
+def _sheet_metrics(where: str = "true", creatives: str = "criativos") -> str:
     plain = ("impressoes", "clicks", "thruplay", "p25", "lpv", "checkouts")
     zeros = ", ".join(f"coalesce(t.{x}, 0) as {x}" for x in plain)
     return f"""
@@ -269,7 +269,7 @@ select {_LABELS}, coalesce(t.gasto, 0::decimal(18,2)) as gasto, {zeros},
   if(t.anuncio is null, 0, t.vendas + c.vendas_ajuste) as vendas,
   cast(case when t.anuncio is null then 0 when t.valor > 0 then t.valor + c.valor_ajuste
     else t.vendas * 37.90 + c.valor_ajuste end as decimal(18,2)) as valor
-from criativos c left join (
+from {creatives} c left join (
   select anuncio, {_MONEY_SUMS}, {_COUNT_SUMS} from planilha_diaria where {where} group by anuncio
 ) t using (anuncio)"""
 
@@ -316,6 +316,19 @@ from ({_report(metrics)})"""
 _PARTS["relatorio"] = _report(_sheet_metrics())
 _PARTS["relatorio_completo"] = _report_out(_sheet_metrics())
 
+_PARTS["planilha_nova"] = f"""
+select coalesce(c.anuncio, r.anuncio) as anuncio, coalesce(c.ad_id, r.ad_id) as ad_id,
+  coalesce(c.campanha, r.campanha) as campanha, coalesce(c.status, 'rodando') as status,
+  {", ".join("c." + t for t in _TAGS)}, coalesce(c.vendas_ajuste, 0) as vendas_ajuste,
+  coalesce(c.valor_ajuste, 0) as valor_ajuste, c.anuncio is null as nova
+from (select * from criativos where status is not null) c
+full join (
+  select anuncio, min(ad_id) as ad_id,
+    arg_max(campaign_name, concat(cast(data as varchar), campaign_name)) as campanha
+  from planilha_diaria group by anuncio having sum(impressoes) > 0
+) r on c.anuncio = r.anuncio"""
+_PARTS["relatorio_novo"] = _report(_sheet_metrics(creatives="planilha_nova"))
+
 _GROUP_TAGS = [t for t in _TAGS if t != "hook"]
 
 
@@ -556,6 +569,27 @@ full join (
     arg_max(campaign_name, concat(cast(data as varchar), campaign_name)) as campanha
   from planilha_diaria group by anuncio having sum(impressoes) > 0
 ) r on c.anuncio = r.anuncio""",
+    "creative_sheet_refresh": f"""
+select p.ad_id, p.anuncio, p.campanha, p.status, {", ".join("p." + t for t in _TAGS)},
+  case when r.impressoes > 0 then r.gasto::double end as gasto,
+  case when r.impressoes > 0 then r.impressoes end as impressoes,
+  case when r.impressoes > 0 then r.ctr_pct end as ctr_pct,
+  case when r.impressoes > 0 then coalesce(r.hook_rate_pct, if(p.nova, null, 1.5)) when p.nova then null
+    else 1.5::double end as hook_rate_pct,
+  case when r.impressoes > 0 then r.hold_rate_pct end as hold_rate_pct,
+  case when r.impressoes > 0 then r.views25_pct end as views25_pct,
+  case when r.impressoes > 0 and r.lpv > 0 then r.lpv end as lpv,
+  case when r.impressoes > 0 then r.custo_lpv end as custo_lpv,
+  case when r.impressoes > 0 then r.checkouts end as checkouts,
+  case when r.impressoes > 0 then r.custo_checkout end as custo_checkout,
+  case when r.impressoes > 0 then r.vendas end as vendas,
+  case when r.impressoes > 0 then r.custo_venda end as custo_venda,
+  case when r.impressoes > 0 then r.faturamento::double end as faturamento,
+  case when r.impressoes > 0 then r.roas end as roas,
+  case when r.impressoes > 0 then r.roi_pct end as roi_pct,
+  p.vendas_ajuste, p.valor_ajuste::double as valor_ajuste,
+  case when r.impressoes > 0 then '2001-07-31 12:00:00' else 'antes' end as atualizado
+from planilha_nova p join relatorio_novo r using (anuncio)""",
     "daily_rewrite": _DAILY_OUT,
     "hourly_replace": f"""
 select cast(data as varchar) as data, hora, anuncio, {_SHOW_MONEY}, checkouts, vendas

@@ -346,6 +346,15 @@ def creative_upsert_sheet_mode(spark, folder):
     return cr.insert_new_creatives(stored, rollup, LOAD_TIME)
 
 
+@query
+def creative_sheet_refresh(spark, folder):
+    """The wide sheet: creatives with a status are listed, with last time's hook rate."""
+    listed = drv.creatives(spark, folder).where(F.col("status").isNotNull())
+    sheet = read_creative_sheet(listed.withColumn("atualizado", F.lit("antes")).withColumn("hook_rate_pct", F.lit(1.5)))
+    rows = drv.sheet_daily(spark, folder)
+    return cr.refresh_sheet(sheet, rows, ins.ad_rollup(rows, drv.AD_DAY), LOAD_TIME)
+
+
 @query
 def daily_rewrite(spark, folder):
     """Two loads into the same table: the second one replaces the first."""
