@@ -174,6 +174,32 @@ def test_older_upsert_only_inserts(table, spark):
     assert "idle" not in got
 
 
+def test_sheet_refresh(table, spark):
+    from leadcurve.sources.tables import read_creative_sheet
+
+    stored = read_creative_sheet(
+        spark.createDataFrame(
+            [("1", "main", "Paused", 9.9, 4.0, 1), ("3", "idle", "x", 8.8, 4.0, 0)],
+            "ad_id string, anuncio string, status string, gasto double, hook_rate_pct double, vendas_ajuste int",
+        )
+    )
+    rows = table(
+        FLAT,
+        flat(TODAY, "1", "main", spend="10.00", sales=3, v3s=0, v2s=0),
+        flat(TODAY, "2", "fresh", spend="5.00", v2s=4),
+        flat(TODAY, "3", "idle", impressions=0),
+    )
+    named = ins.with_canonical_name(rows, None)
+    new = cr.refresh_sheet(stored, named, ins.ad_rollup(named, TODAY), dt.datetime(2024, 5, 10))
+    assert new.dtypes == stored.dtypes
+    got = {r.anuncio: r for r in new.collect()}
+    main, fresh, idle = got["main"], got["fresh"], got["idle"]
+    assert (main.status, main.gasto, main.vendas, main.custo_venda) == ("Paused", 10.0, 4, 2.5)
+    assert main.hook_rate_pct == 4.0                        # no plays: stays as it was
+    assert (fresh.status, fresh.hook_rate_pct, fresh.faturamento) == ("rodando", 40.0, 0.0)
+    assert (idle.gasto, idle.hook_rate_pct, idle.atualizado) == (8.8, 4.0, None)
+
+
 def test_rename_running(table):
     stored = table(schemas.CREATIVES, creative("a", " RoDando "), creative("b", None), creative("c", "x"))
     assert [r.status for r in cr.rename_running(stored).orderBy("anuncio").collect()] == ["ativo", None, "x"]
