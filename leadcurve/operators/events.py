@@ -109,6 +109,17 @@ def valid(checked: DataFrame) -> DataFrame:
     return checked.where("motivo is null").drop("motivo")
 
 
+def accepted(cleaned: DataFrame) -> DataFrame:
+    """The valid rows of cleaned events, each cleaned once.
+
+    A plain filter would be moved below the cleaning, by way of repeating
+    all its expressions inside the filter. Passing each row through an array
+    of one keeps the filter above it (measured: a quarter of the time).
+    """
+    row = f"inline(array(struct({', '.join(cleaned.columns)})))"
+    return valid(cleaned.selectExpr(row))
+
+
 def rejected(checked: DataFrame) -> DataFrame:
     return checked.where("motivo is not null")
 

@@ -157,7 +157,7 @@ def funnel_by_preset(spark, folder):
 # --- cleaning ---------------------------------------------------------------
 @query
 def events_clean(spark, folder):
-    return ev.valid(ev.clean_events(drv.event_sheet(spark, folder)))
+    return ev.accepted(ev.clean_events(drv.event_sheet(spark, folder)))
 
 
 @query

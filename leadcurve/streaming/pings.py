@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leadcurve.operators.events import clean_events, ping_to_row, valid
+from leadcurve.operators.events import accepted, clean_events, ping_to_row
 from leadcurve.operators.funnel import of_page_group, of_variants, session_rollup, stage_pings
 from leadcurve.operators.periods import EVERYTHING, Period, local_date, within_dates
 
@@ -63,7 +63,7 @@ def ingest(pings: DataFrame, target: str, checkpoint: str, origin: str = "pings"
     """Adds ping requests to the event table; malformed ones are refused."""
 
     def step(batch: DataFrame) -> DataFrame:
-        return _by_day(valid(clean_events(ping_to_row(batch), table_checks=True)))
+        return _by_day(accepted(clean_events(ping_to_row(batch), table_checks=True)))
 
     return _add_batches(pings, target, checkpoint, origin, step)
 
@@ -75,7 +75,7 @@ def backfill(sheet_rows: DataFrame, target: str, checkpoint: str, origin: str =
     """
 
     def step(batch: DataFrame) -> DataFrame:
-        return _by_day(valid(clean_events(batch, table_checks=True)))
+        return _by_day(accepted(clean_events(batch, table_checks=True)))
 
     return _add_batches(sheet_rows, target, checkpoint, origin, step)
 

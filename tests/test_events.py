@@ -93,6 +93,15 @@ def test_counts_cover_every_row(table):
     assert counts == {"ok": 1, "sessao": 1, "ts": 1}
 
 
+def test_accepted_equals_valid(table):
+    raw = table(schemas.EVENT_SHEET, row(1), row(2, sessao="x"), row(3, tipo="respostas", data="{}"))
+    cleaned = ev.clean_events(raw)
+    got = ev.accepted(cleaned)
+    assert got.dtypes == ev.valid(cleaned).dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, ev.valid(cleaned).collect()))
+    assert {r.id for r in ev.rejected(cleaned).collect()} == {2}
+
+
 def test_pings(table):
     import datetime as dt
 
