@@ -30,6 +30,11 @@ def utc_literal(when: dt.datetime) -> str:
     return f"timestamp_ntz'{when}'"
 
 
+def utc_of_instant(instant: str) -> str:
+    """A timestamp with time zone as zone-less UTC time, whatever the session zone."""
+    return f"timestampadd(MICROSECOND, unix_micros({instant}), timestamp_ntz'1970-01-01 00:00:00')"
+
+
 def utc_timestamp(text: str) -> str:
     """Text to a zone-less UTC timestamp, null when it is no date.
 
@@ -38,10 +43,7 @@ def utc_timestamp(text: str) -> str:
     """
     raw = strip(text)
     offset = r"r'[0-9]{2}:[0-9]{2}.*(Z|[+-][0-9]{2}:?[0-9]{2})$'"
-    instant = (
-        f"timestampadd(MICROSECOND, unix_micros(try_cast({raw} as timestamp)), "
-        "timestamp_ntz'1970-01-01 00:00:00')"
-    )
+    instant = utc_of_instant(f"try_cast({raw} as timestamp)")
     return (
         f"(case when {raw} rlike {offset} then {instant} "
         f"when {raw} rlike r'^[0-9]{{4}}(-|$)' then try_cast({raw} as timestamp_ntz) end)"

@@ -126,11 +126,23 @@ def in_date_period(period: Period, day: str = "data") -> str:
     return " and ".join(tests) or "true"
 
 
+def require_utc(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """The same rows, if their time is a zone-less UTC timestamp.
+
+    A timestamp with time zone would be read in the session's zone;
+    ``functions.text.utc_of_instant`` turns it into UTC.
+    """
+    if dict(df.dtypes)[ts] != "timestamp_ntz":
+        raise TypeError(f"{ts} must be timestamp_ntz holding UTC time")
+    return df
+
+
 def within_local_period(df: DataFrame, period: Period, ts: str = "ts", day: str = "dia") -> DataFrame:
     """Rows whose local date lies in the period.
 
     A table written by local day (column ``dia``) is pruned by directory too.
     """
+    require_utc(df, ts)
     if day in df.columns:
         df = df.where(in_date_period(period, day))
     return df.where(in_local_period(period, ts))

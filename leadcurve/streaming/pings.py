@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leadcurve.operators.events import accepted, clean_events, ping_to_row
 from leadcurve.operators.funnel import of_page_group, of_variants, session_rollup, stage_pings
-from leadcurve.operators.periods import EVERYTHING, Period, local_date, within_dates
+from leadcurve.operators.periods import EVERYTHING, Period, local_date, require_utc, within_dates
 
 
 def file_stream(
@@ -56,7 +56,7 @@ def _add_batches(
 
 
 def _by_day(events: DataFrame) -> DataFrame:
-    return events.withColumn("dia", F.expr(local_date("ts")))
+    return require_utc(events).withColumn("dia", F.expr(local_date("ts")))
 
 
 def ingest(pings: DataFrame, target: str, checkpoint: str, origin: str = "pings") -> StreamingQuery:

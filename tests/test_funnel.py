@@ -95,6 +95,20 @@ def test_local_midnight(table):
     assert {r.sessao for r in kept.collect()} == {"next", "last"}
 
 
+def test_instants_are_refused_until_converted(spark):
+    """The session zone is Tokyo: 12:00 there is 03:00 UTC, midnight in Sao Paulo."""
+    from leadcurve.functions.text import utc_of_instant
+
+    day = periods.between("2024-01-10", "2024-01-10")
+    instants = spark.range(1).select(F.expr("timestamp'2024-01-10 12:00:00' as ts"))
+    with pytest.raises(TypeError):
+        periods.within_local_period(instants, day)
+    utc = instants.withColumn("ts", F.expr(utc_of_instant("ts")))
+    assert utc.first().ts == dt.datetime(2024, 1, 10, 3)
+    assert periods.within_local_period(utc, day).count() == 1
+    assert periods.within_local_period(utc, periods.between("2024-01-09", "2024-01-09")).count() == 0
+
+
 def test_range_on_utc_equals_local_date(spark):
     """Over all days with clock changes too: hourly times of eleven years."""
     hours = spark.range(11 * 366 * 48).select(
