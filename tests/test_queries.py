@@ -5,6 +5,8 @@ from compare import duck, duck_rows, spark_rows
 from conftest import SF, SF_CHECKED
 
 import __spark_entry__ as contract
+from leadcurve.plans.oracle import ORACLE_SQL
+from leadcurve.plans.queries import QUERIES
 
 KINDS = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
@@ -12,7 +14,8 @@ KINDS = {
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE_SQL) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
@@ -21,7 +24,7 @@ def test_entry(spark):
     assert rows[0].ret == 100.0 and rows[0].queda == 0.0
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, name):
     con, sql = duck(SF), contract.oracle_sql()[name]
     df = contract.queries()[name](spark, SF)
