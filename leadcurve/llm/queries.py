@@ -6,17 +6,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadcurve.llm import mixing, pieces, tokencounts
+from leadcurve.llm import divergence, language, mixing, pieces, tokencounts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Documents with this remainder are held out of learning.
+HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
+
+
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.learn(docs.where(f"not {HELD_OUT}"))
+    return language.identify(docs, model).selectExpr("doc_id", f"{HELD_OUT} as held_out", "lang_pred", "score")
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).selectExpr("doc_id", "size", "source_size", "target", "size * times as taken")
 
 
+def op4_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.judge(table(spark, folder, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return tokencounts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("field")
@@ -28,7 +42,9 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language": op2_language,
     "op3_mixing": op3_mixing,
+    "op4_divergence": op4_divergence,
     "op5_token_counts": op5_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
 }
