@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadcurve.llm import divergence, language, mixing, pieces, tokencounts
+from leadcurve.llm import divergence, jaccard, language, mixing, pieces, tokencounts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencounts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("field")
 
 
+def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_components(table(spark, folder, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ("ids_sha256", "decoded_sha256"))
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_divergence": op4_divergence,
     "op5_token_counts": op5_token_counts,
+    "op6_jaccard": op6_jaccard,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
