@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadcurve.llm import divergence, jaccard, language, mixing, pieces, tokencounts
+from leadcurve.llm import divergence, jaccard, language, licenses, mixing, pieces, tokencounts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_components(table(spark, folder, "documents"))
 
 
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents")).selectExpr(
+        "doc_id", "n_words", "cast(size(places) as bigint) as n_base",
+        "array_min(transform(places, x -> x.at)) as first_word", "array_max(transform(places, x -> x.at)) as last_word",
+        "array_join(base_labels, ',') as base_labels", "array_join(labels, ',') as labels", "score",
+    )
+
+
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ("ids_sha256", "decoded_sha256"))
@@ -51,6 +59,7 @@ QUERIES = {
     "op4_divergence": op4_divergence,
     "op5_token_counts": op5_token_counts,
     "op6_jaccard": op6_jaccard,
+    "op9_licenses": op9_licenses,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
