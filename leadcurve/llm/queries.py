@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadcurve.llm import divergence, jaccard, language, licenses, mixing, pieces, tokencounts
+from leadcurve.llm import divergence, jaccard, language, licenses, mixing, pieces, pii, tokencounts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.replace_entities(docs).select("doc_id", "text", "n_replaced", "kinds_replaced")
+
+
 #: Documents with this remainder are held out of learning.
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
 
@@ -54,6 +59,7 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_language": op2_language,
     "op3_mixing": op3_mixing,
     "op4_divergence": op4_divergence,
