@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 #: Bytes that part words: space and 0x09 to 0x0D. The same set as bytes.split().
 IS_SPACE = np.zeros(256, bool)

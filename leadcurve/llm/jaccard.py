@@ -24,7 +24,7 @@ FREQUENCY_TABLE = 1 << 18
 #: No boundary between small and large sets is looked for beyond this size.
 MAX_BOUNDARY = 16
 #: Shingles, or pairs, that are worked on at once in a task.
-UNIT = 3_000_000
+UNIT = 1_000_000
 #: Slots of the marks by which the texts of few documents are found again.
 SLOT_BITS = 23
 
