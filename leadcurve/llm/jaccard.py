@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadcurve.llm.blocks import Block, blocks, scramble, sorted_sets, windows
 from leadcurve.llm.components import components
@@ -322,16 +323,21 @@ def _slot(column: str) -> str:
     return f"((coalesce({column}, -1) ^ shiftright(coalesce({column}, -1), {SLOT_BITS})) & {(1 << SLOT_BITS) - 1})"
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the documents named by ``ids`` (doc_id), and perhaps of a few more.
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with a column marked: true for those named by ``ids`` (doc_id), and perhaps for a few more.
 
     The ids mark bits of a table of fixed size (2 ** 17 words of 64 bits at
     most), so that alone is broadcast however many ids there are, and no text
     is shuffled.
     """
     marks = ids.selectExpr(f"{_slot('doc_id')} as slot").groupBy(F.expr("shiftright(slot, 6) as word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int))) as bits"))
-    found = docs.withColumn("slot", F.expr(_slot("doc_id"))).join(F.broadcast(marks), F.expr("shiftright(slot, 6) = word"))
-    return found.where("bit_get(bits, cast(slot & 63 as int)) = 1").select("text")
+    found = docs.withColumn("slot", F.expr(_slot("doc_id"))).join(F.broadcast(marks), F.expr("shiftright(slot, 6) = word"), "left")
+    return found.withColumn("marked", F.expr("coalesce(bit_get(bits, cast(slot & 63 as int)) = 1, false)")).drop("slot", "word", "bits")
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the documents named by ``ids``, and perhaps of a few more."""
+    return _marked(docs, ids).where("marked").select("text")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, work: Work, name: str) -> DataFrame:
@@ -383,9 +389,43 @@ def link_components(docs: DataFrame) -> DataFrame:
     id link like others; a component of nulls alone has a null id. Repeated
     rows give repeated rows. Only doc_id and text are read.
     """
+    placed = _placed(docs, Work(docs.sparkSession, "jaccard"))
+    smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(smallest, "root", "left").selectExpr("doc_id", "n as n_shingles", "case when n = 0 then doc_id else component_id end as component_id")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One document of each group of ``link_components``, with all columns: the one with the smallest doc_id.
+
+    Of several rows with that id, null last of all ids, the first by set and text stays. Documents
+    without a shingle all stay. Only the rows whose ids the decisions touch
+    are shuffled.
+    """
+    work = Work(docs.sparkSession, "deduplicate")
+    placed = _placed(docs, work).where("n > 0")
+    ids = placed.groupBy("root", "doc_id").agg(F.count("*").alias("rows"))
+    first = ids.groupBy("root").agg(F.min("doc_id").alias("first_id"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "first_id")
+    touched = work.keep(placed.join(first, "root").selectExpr("doc_id as own_id", "node as own_node", "root", "doc_id <=> first_id as stays").distinct(), "touched")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    marked = _marked(docs.select(row, F.expr("cast(row.doc_id as bigint) as doc_id"), F.expr("cast(row.text as string) as text")), touched.selectExpr("own_id as doc_id"))
+    keyed = marked.where("marked").mapInArrow(_with_node, T.StructType([marked.schema["row"], marked.schema["doc_id"], marked.schema["text"], T.StructField("node", T.LongType())]))
+    decided = keyed.join(touched, F.expr("doc_id <=> own_id and node = own_node"), "left").where("root is null or stays")
+    once = decided.where("root is not null").withColumn("turn", F.expr("row_number() over (partition by root order by node, xxhash64(text), to_json(row))")).where("turn = 1")
+    return marked.where("not marked").select("row.*").unionAll(decided.where("root is null").select("row.*")).unionAll(once.select("row.*"))
+
+
+def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [np.zeros(0, np.int64)]
+        for block in blocks(batch.column("text")):
+            keys.append(set_keys(*shingle_sets(block)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "text")), pa.array(np.concatenate(keys))], ["row", "doc_id", "text", "node"])
+
+
+def _placed(docs: DataFrame, work: Work) -> DataFrame:
+    """doc_id, node (its set), n (the set's size) and root (a set of its component) of every row."""
     spark = docs.sparkSession
     ship(spark)
-    work = Work(spark, "jaccard")
     bits = max(4, min(24, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
     docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
     texts = docs.select("text").where("text is not null")
@@ -420,7 +460,4 @@ def link_components(docs: DataFrame) -> DataFrame:
     links = links.union(_verified(docs, nodes, candidates, work, "rest"))
 
     roots = components(links, work, "all")
-    placed = rows.join(roots, "node", "left").selectExpr("doc_id", "n", "coalesce(root, node) as root")
-    placed = work.keep(placed, "placed")
-    smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "root", "left").selectExpr("doc_id", "n as n_shingles", "case when n = 0 then doc_id else component_id end as component_id")
+    return work.keep(rows.join(roots, "node", "left").selectExpr("doc_id", "node", "n", "coalesce(root, node) as root"), "placed")

@@ -170,6 +170,24 @@ def learn(docs: DataFrame, **options) -> Model:
     return fit(training_sample(docs), **options)
 
 
+def _predicted(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Predictions for a column of texts, some at a time."""
+    texts = [t or "" for t in column.to_pylist()]
+    langs: list[str] = []
+    scores = [np.zeros(0)]
+    at = 0
+    while at < len(texts):
+        to, chars = at + 1, len(texts[at])
+        while to < len(texts) and to - at < BATCH and chars + len(texts[to]) <= BATCH_CHARS:
+            chars += len(texts[to])
+            to += 1
+        found, score = model.predict(texts[at:to])
+        langs += found
+        scores.append(score)
+        at = to
+    return langs, np.concatenate(scores)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every whole text.
 
@@ -188,19 +206,29 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            langs: list[str] = []
-            scores = []
-            at = 0
-            while at < len(texts):
-                to, chars = at + 1, len(texts[at])
-                while to < len(texts) and to - at < BATCH and chars + len(texts[to]) <= BATCH_CHARS:
-                    chars += len(texts[to])
-                    to += 1
-                found, score = shared.value.predict(texts[at:to])
-                langs += found
-                scores.append(score)
-                at = to
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, []]), pa.float64())], ["doc_id", "lang_pred", "score"])
+            langs, scores = _predicted(shared.value, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def keep_identified(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
+    """The documents whose language is known with ``min_score`` or more, all their columns, lang as identified.
+
+    Texts that are null, without a letter, or unlike every learned language go.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+    names = [c.lower() for c in docs.columns]
+    text, lang = names.index("text"), names.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = _predicted(shared.value, batch.column(text))
+            columns = list(batch.columns)
+            columns[lang] = pa.array(langs, batch.schema.field(lang).type)
+            keep = np.array([found != UNDETERMINED for found in langs], bool) & (scores >= min_score)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

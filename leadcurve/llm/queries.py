@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadcurve.llm import divergence, jaccard, language, licenses, mixing, neardup, pieces, pii, tokencounts
+from leadcurve.llm import divergence, jaccard, language, licenses, mixing, neardup, pieces, pii, resampling, tokencounts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_components(table(spark, folder, "documents"))
 
 
+def op7_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return resampling.resample(docs, table(spark, folder, "labels"))
+
+
 def op8_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op4_divergence": op4_divergence,
     "op5_token_counts": op5_token_counts,
     "op6_jaccard": op6_jaccard,
+    "op7_resampling": op7_resampling,
     "op8_embeddings": op8_embeddings,
     "op9_licenses": op9_licenses,
     "op10_sentencepiece": op10_sentencepiece,
