@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from leadcurve.llm.blocks import Block, blocks, scramble, sorted_sets, windows
 from leadcurve.llm.components import components
+from leadcurve.llm.marks import marked_rows
 from leadcurve.llm.work import Work, ship
 
 WORDS = 5
@@ -26,8 +27,6 @@ FREQUENCY_TABLE = 1 << 18
 MAX_BOUNDARY = 16
 #: Shingles, or pairs, that are worked on at once in a task.
 UNIT = 1_000_000
-#: Slots of the marks by which the texts of few documents are found again.
-SLOT_BITS = 23
 
 
 def overlap(a, b):
@@ -319,25 +318,9 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _slot(column: str) -> str:
-    return f"((coalesce({column}, -1) ^ shiftright(coalesce({column}, -1), {SLOT_BITS})) & {(1 << SLOT_BITS) - 1})"
-
-
-def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with a column marked: true for those named by ``ids`` (doc_id), and perhaps for a few more.
-
-    The ids mark bits of a table of fixed size (2 ** 17 words of 64 bits at
-    most), so that alone is broadcast however many ids there are, and no text
-    is shuffled.
-    """
-    marks = ids.selectExpr(f"{_slot('doc_id')} as slot").groupBy(F.expr("shiftright(slot, 6) as word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int))) as bits"))
-    found = docs.withColumn("slot", F.expr(_slot("doc_id"))).join(F.broadcast(marks), F.expr("shiftright(slot, 6) = word"), "left")
-    return found.withColumn("marked", F.expr("coalesce(bit_get(bits, cast(slot & 63 as int)) = 1, false)")).drop("slot", "word", "bits")
-
-
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Texts of the documents named by ``ids``, and perhaps of a few more."""
-    return _marked(docs, ids).where("marked").select("text")
+    return marked_rows(docs, ids).where("marked").select("text")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, work: Work, name: str) -> DataFrame:
@@ -407,7 +390,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     first = ids.groupBy("root").agg(F.min("doc_id").alias("first_id"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "first_id")
     touched = work.keep(placed.join(first, "root").selectExpr("doc_id as own_id", "node as own_node", "root", "doc_id <=> first_id as stays").distinct(), "touched")
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    marked = _marked(docs.select(row, F.expr("cast(row.doc_id as bigint) as doc_id"), F.expr("cast(row.text as string) as text")), touched.selectExpr("own_id as doc_id"))
+    marked = marked_rows(docs.select(row, F.expr("cast(row.doc_id as bigint) as doc_id"), F.expr("cast(row.text as string) as text")), touched.selectExpr("own_id as doc_id"))
     keyed = marked.where("marked").mapInArrow(_with_node, T.StructType([marked.schema["row"], marked.schema["doc_id"], marked.schema["text"], T.StructField("node", T.LongType())]))
     decided = keyed.join(touched, F.expr("doc_id <=> own_id and node = own_node"), "left").where("root is null or stays")
     once = decided.where("root is not null").withColumn("turn", F.expr("row_number() over (partition by root order by node, xxhash64(text), to_json(row))")).where("turn = 1")

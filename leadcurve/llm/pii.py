@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadcurve.llm.marks import marked_rows
 from leadcurve.llm.work import Work
 
 KEY = "surrogates-1"
@@ -44,24 +45,38 @@ def _given(gender: str) -> list[str]:
 _TITLE = _choice(t for titles in TITLES.values() for t in titles)
 #: A part of a name: capitalised or in capitals, and no title.
 NAME = rf"(?!{_TITLE}(?!\p{{L}}))\p{{Lu}}(?:\p{{Ll}}+|\p{{Lu}}+)"
+def _starting(first: str, *patterns: str) -> str:
+    """Patterns that are only tried where the next character is one of ``first``."""
+    return f"(?=[{first}])(?:{'|'.join(patterns)})"
+
+
+_KNOWN = _choice(_given("f") + _given("m"))
 #: What is taken for personal data. All are linear in the text: no part can start inside what it matched.
 PATTERN = "|".join(
     (
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-        r"(?<![A-Za-z0-9])" + SECRET_WORDS + r"\x22? ?[=:] ?[\x22\x27]?[A-Za-z0-9+/_-]{8,512}+",
-        r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-        rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-        r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-        r"(?<![0-9+])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
-        r"\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,6}(?![0-9])",
-        r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-        rf"(?<!\p{{L}}){_TITLE}\.? {NAME}(?:[ -]{NAME}){{0,2}}",
-        rf"(?<!\p{{L}}){_choice(_given('f') + _given('m'))}(?: {NAME}){{1,2}}",
+        _starting(
+            "0-9+(",
+            rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
+            r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+            r"(?<![0-9+])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
+            r"\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,6}(?![0-9])",
+            r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+        ),
+        r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+        _starting(
+            "PpTtSsAa",
+            r"(?<![A-Za-z0-9])" + SECRET_WORDS + r"\x22? ?[=:] ?[\x22\x27]?[A-Za-z0-9+/_-]{8,512}+",
+            r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+        ),
+        _starting(
+            r"\p{Lu}",
+            r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+            rf"(?<!\p{{L}})(?:{_TITLE}\.? {NAME}(?:[ -]{NAME}){{0,2}}|{_KNOWN}(?: {NAME}){{1,2}})",
+        ),
     )
 )
 #: A text without any of these holds nothing of the above.
-HINT = rf"[0-9@]|{SECRET_WORDS}|(?<!\p{{L}})(?:{_TITLE}\.? |{_choice(_given('f') + _given('m'))} )\p{{Lu}}"
+HINT = "|".join(("[0-9@]", _starting("PpTtSsAa", SECRET_WORDS), _starting(r"\p{Lu}", rf"(?<!\p{{L}})(?:{_TITLE}\.? |{_KNOWN} )\p{{Lu}}")))
 
 _TYPE = rf"""case
     when m like '%@%' then 'email'
@@ -235,9 +250,9 @@ def replace_entities(docs: DataFrame, secret: str = KEY) -> DataFrame:
     and has the same surrogate in every document. ``surrogates`` says how
     distinctness is kept.
 
-    Texts without a digit, an at sign, a title or a known name pass through
-    one scan. Only the others' ids and entities are shuffled to find the
-    surrogates, and only their texts to be rewritten. A null text stays null
+    Texts without a digit, an at sign, a title or a known name are passed over
+    after one look. Ids and entities of the others are shuffled to find the
+    surrogates, and only texts with an entity to be rewritten. A null text stays null
     and an empty one empty, both with n_replaced 0. Rows alike in doc_id and
     text are rewritten alike and stay as many. Extra columns pass through,
     whatever their names; two counts are added after them as n_replaced and
@@ -246,16 +261,16 @@ def replace_entities(docs: DataFrame, secret: str = KEY) -> DataFrame:
     spark = docs.sparkSession
     work = Work(spark, "pii")
     rest = [c for c in docs.columns if c.lower() not in ("n_replaced", "kinds_replaced")]
-    found = work.keep(_mentions(docs.where(F.col("text").rlike(HINT)).select("doc_id", "text")), "found")
+    found = work.keep(_mentions(docs.where(F.col("text").rlike(HINT)).selectExpr("cast(doc_id as bigint) as doc_id", "text")), "found")
     keyed = found.selectExpr("doc_id", "text_key", "explode(array_distinct(flatten(transform(mentions, m -> " + _KEYS + ")))) as key").distinct()
     keyed = work.keep(keyed, "keyed")
     named = surrogates(keyed.select("key").distinct(), work, secret)
     own = keyed.join(named, "key").groupBy("doc_id", "text_key").agg(F.map_from_entries(F.collect_list(F.struct("key", "surrogate"))).alias("surrogate_of"))
     own = work.keep(own, "own").selectExpr("doc_id as own_id", "text_key as own_key", "surrogate_of")
     row = F.struct(*[docs[c] for c in rest]).alias("row")
-    hinted = docs.select(row, F.coalesce(docs["text"].rlike(HINT), F.lit(False)).alias("hinted"))
-    plain = hinted.where("not hinted").selectExpr("row.*", "0L as n_replaced", "'' as kinds_replaced")
-    joined = hinted.where("hinted").join(own, F.expr("row.doc_id <=> own_id and xxhash64(row.text) = own_key"), "left")
+    marked = marked_rows(docs.select(row, docs["doc_id"].cast("bigint").alias("doc_id")), own.selectExpr("own_id as doc_id"))
+    plain = marked.where("not marked").selectExpr("row.*", "0L as n_replaced", "'' as kinds_replaced")
+    joined = marked.where("marked").join(own, F.expr("doc_id <=> own_id and xxhash64(row.text) = own_key"), "left")
     parts = joined.select("row", "surrogate_of", F.expr(f"case when surrogate_of is not null then transform(regexp_extract_all(row.text, r'{PATTERN}', 0), m -> named_struct('m', m, 'keys', {_KEYS})) end as found"))
     outs = F.expr(f"transform(found, x -> {_replaced()})")
     text = f"case when found is null then row.text else array_join(zip_with(split(row.text, r'{PATTERN}', -1), outs, (gap, new) -> concat(coalesce(gap, ''), coalesce(new, ''))), '') end"
