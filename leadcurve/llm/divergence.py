@@ -159,7 +159,7 @@ class References:
                     self.classes[i, key] = n
             common = sorted((np.int64(key).view(np.uint64), n) for a, kind, key, n in rows if a == lang and kind == 1)
             self.words.append(np.array([w for w, _ in common], np.uint64))
-            self.word_counts.append(np.array([n for _, n in common] + [n for a, kind, _, n in rows if a == lang and kind == 2], float))
+            self.word_counts.append(np.array([n for _, n in common] + [sum(n for a, kind, _, n in rows if a == lang and kind == 2)], float))
 
     def distances(self, i: int, classes, hashes, text, count) -> tuple[np.ndarray, np.ndarray]:
         common = self.words[i]

@@ -24,11 +24,11 @@ REACH = 3.0
 BLOCK = 1500
 
 
-def unit_rows(vectors: list, size: int) -> np.ndarray:
+def unit_rows(vectors: pa.ListArray, size: int) -> np.ndarray:
     """Vectors as rows of length 1, in double precision, shorter ones with zeros behind."""
+    lengths = vectors.value_lengths().to_numpy()
     out = np.zeros((len(vectors), size))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+    out[np.arange(size)[None, :] < lengths[:, None]] = vectors.flatten().to_numpy()
     # scaled first, so that squares neither overflow nor vanish
     out /= np.abs(out).max(1, keepdims=True)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
@@ -86,7 +86,7 @@ def _assign(centres: np.ndarray, size: int, threshold: float, reach: float):
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                own, near = cells_of(unit_rows(part.column("vector").to_pylist(), size), centres.value, threshold, reach)
+                own, near = cells_of(unit_rows(part.column("vector"), size), centres.value, threshold, reach)
                 cells = [np.flatnonzero(row).astype(np.int32) for row in near]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.astype(np.int32)), pa.array(cells, pa.list_(pa.int32()))], ["vid", "copies", "vector", "own", "cells"])
 
@@ -113,7 +113,7 @@ def _compare(size: int, threshold: float):
                 for at in range(a, b, BLOCK):
                     rows = batch.slice(at, min(BLOCK, b - at))
                     vid, copies = rows.column("vid").to_numpy(), rows.column("copies").to_numpy()
-                    unit = unit_rows(rows.column("vector").to_pylist(), size)
+                    unit = unit_rows(rows.column("vector"), size)
                     if not passing[a]:
                         if key != (cell[a], part[a]):
                             if own is not None:
@@ -167,7 +167,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, reach: flo
     cells = int(min(MAX_CELLS, max(1, -(-n // per_cell))))
     share = min(1.0, 1.1 * SAMPLE / max(n, 1))
     drawn = distinct.where(F.expr(f"pmod(vid, 1000003) < {share * 1000003}")).orderBy("vid").limit(SAMPLE).select("vector").collect()
-    centres = spherical_kmeans(unit_rows([r.vector for r in drawn], size), cells) if drawn else np.zeros((1, size))
+    centres = spherical_kmeans(unit_rows(pa.array([r.vector for r in drawn], pa.list_(pa.float64())), size), cells) if drawn else np.zeros((1, size))
     shared = spark.sparkContext.broadcast(centres)
     assigned = work.keep(distinct.select("vid", "copies", "vector").mapInArrow(_assign(shared, size, threshold, reach), "vid bigint, copies bigint, vector array<double>, own int, cells array<int>"), "assigned")
     parts = work.keep(assigned.groupBy("own").count().selectExpr("own as cell", f"cast(ceil(count / {BLOCK}D) as int) as parts"), "parts")
