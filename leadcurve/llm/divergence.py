@@ -53,8 +53,8 @@ def base_features(block: Block, begin: np.ndarray, end: np.ndarray, bounds: np.n
     # lines: between line feeds and text ends
     edges = np.unique(np.concatenate((starts[:-1], np.flatnonzero(data == 10) + 1)))
     edges = edges[edges < len(data)]
-    ends = np.concatenate((edges[1:], [len(data)]))
-    ends = np.where(data[np.maximum(ends - 1, 0)] == 10, ends - 1, ends)
+    ends = np.append(edges[1:], len(data))[: len(edges)]
+    ends = np.where(data[ends - 1] == 10, ends - 1, ends)
     filled = np.concatenate(([0], np.cumsum(solid)))
     worded = filled[ends] > filled[edges]
     edges, ends = edges[worded], ends[worded]
