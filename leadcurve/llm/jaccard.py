@@ -25,6 +25,8 @@ FREQUENT = 16
 FREQUENCY_TABLE = 1 << 18
 #: No boundary between small and large sets is looked for beyond this size.
 MAX_BOUNDARY = 16
+#: A list is kept for another turn, up to so many, while it has more open pairs than this times its sets.
+PAIRS_PER_SET, TURNS = 2, 5
 #: Shingles, or pairs, that are worked on at once in a task.
 UNIT = 1_000_000
 
@@ -214,9 +216,22 @@ def _pairs(x, y) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+MET = "a bigint, b bigint, bucket int, key bigint, node bigint, n bigint, place bigint"
+
+
+def _met(pairs: pa.RecordBatch | None, *posting: np.ndarray) -> pa.RecordBatch:
+    """Pairs, or postings, in the one layout that a pass over lists gives."""
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    if pairs is not None:
+        arrays = [*pairs.columns, *(pa.nulls(pairs.num_rows, k) for k in kinds)]
+    else:
+        void = pa.nulls(len(posting[0]), pa.int64())
+        arrays = [void, void, *(pa.array(c, k) for c, k in zip(posting, kinds, strict=True))]
+    return pa.RecordBatch.from_arrays(arrays, ["a", "b", "bucket", "key", "node", "n", "place"])
+
+
 def _stars(boundary: int):
     """Rows of two kinds: pairs of each list's first set with its others, and the lists of three or more."""
-    names = ["a", "b", "bucket", "key", "node", "n", "place"]
 
     def run(batches):
         for bucket, key, node, n, place in _lists(batches):
@@ -226,19 +241,22 @@ def _stars(boundary: int):
             ok = (np.arange(len(key)) != centre) & _possible(n, n[centre], place, place[centre]) & ~((n <= boundary) & (n[centre] <= boundary))
             pairs = _pairs(node[ok], node[centre][ok])
             if pairs.num_rows:
-                void = [pa.nulls(pairs.num_rows, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*pairs.columns, *void], names)
+                yield _met(pairs)
             long = np.repeat(lengths > 2, lengths)
             if long.any():
-                own = [pa.array(np.full(long.sum(), bucket, np.int32)), *(pa.array(c[long]) for c in (key.astype(np.int64), node, n, place))]
-                void = pa.nulls(int(long.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([void, void, *own], names)
+                yield _met(None, np.full(long.sum(), bucket, np.int32), *(c[long] for c in (key.astype(np.int64), node, n, place)))
 
     return run
 
 
-def _across(boundary: int):
-    """All pairs of a list's sets that are still in different components and can be similar."""
+def _across(boundary: int, turn: int):
+    """Rows of two kinds: pairs of a list's sets that are still in different components, and lists that stay for the next turn.
+
+    If a list has few such pairs for its length, or it is the last turn, all
+    of them that can be similar come out and the list is done. Else one set
+    of its largest component, another one in each list and turn, is paired
+    with the sets outside that component, most of which it will win over.
+    """
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -246,8 +264,27 @@ def _across(boundary: int):
             return
         bucket, key, node, n, place, root = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts]) for c in ("bucket", "key", "node", "n", "place", "root"))
         order = np.lexsort((node, root, key, bucket))
-        bucket, key, node, n, place, root = (c[order] for c in (bucket, key, node, n, place, root))
+        columns = [c[order] for c in (bucket, key, node, n, place, root)]
+        bucket, key, node, n, place, root = columns
         lists, runs = _starts(bucket, key), _starts(bucket, key, root)
+        if turn < TURNS:
+            size, length = np.diff(np.append(runs, len(key))), np.diff(np.append(lists, len(key)))
+            own = np.searchsorted(lists, runs, "right") - 1  # the list of a run
+            pairs = (length**2 - np.bincount(own, size.astype(np.float64) ** 2, minlength=len(lists))) / 2
+            stay = pairs > PAIRS_PER_SET * length
+            largest = np.lexsort((-size, own))[_starts(own)]  # the largest run of each list
+            draw = scramble(key[lists].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn)) % size[largest].astype(np.uint64)
+            pivot = np.repeat(runs[largest] + draw.astype(np.int64), length)
+            staying = np.repeat(stay, length)
+            ok = staying & (root != root[pivot]) & _possible(n, n[pivot], place, place[pivot]) & ~((n <= boundary) & (n[pivot] <= boundary))
+            if ok.any():
+                yield _met(_pairs(node[ok], node[pivot[ok]]))
+            if stay.any():
+                yield _met(None, *(c[staying] for c in columns[:5]))
+            bucket, key, node, n, place, root = (c[~staying] for c in columns)
+            if not len(key):
+                return
+            lists, runs = _starts(bucket, key), _starts(bucket, key, root)
         end = np.repeat(np.append(lists[1:], len(key)), np.diff(np.append(lists, len(key))))
         after = np.repeat(np.append(runs[1:], len(key)), np.diff(np.append(runs, len(key))))
         partners = end - after
@@ -262,7 +299,7 @@ def _across(boundary: int):
                 j = np.repeat(after[at:to] + lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
                 ok = _possible(n[i], n[j], place[i], place[j]) & ~((n[i] <= boundary) & (n[j] <= boundary))
                 if ok.any():
-                    yield _pairs(node[i[ok]], node[j[ok]])
+                    yield _met(_pairs(node[i[ok]], node[j[ok]]))
             at = to
 
     return run
@@ -360,10 +397,12 @@ def link_components(docs: DataFrame) -> DataFrame:
     pair of sizes needs; such a subset proves the link. For larger ones the
     first shingles of every set, rare before frequent, go into inverted
     lists. Each list's sets are held against its first one; what links is
-    joined into components; then only pairs of sets of a list that are still
-    in different components are looked at, and of these only those whose
-    sizes and places in the list leave room for enough shared shingles. All
-    candidates are counted on whole sets. Nothing is capped: the frequency
+    joined into components. From then on only pairs of sets of a list that
+    are still in different components are looked at, and of these only those
+    whose sizes and places in the list leave room for enough shared shingles.
+    Lists with many such pairs first take some turns in which one set of the
+    largest component meets those outside it; then all pairs left are tried.
+    All candidates are counted on whole sets. Nothing is capped: the frequency
     table, of fixed size, only decides the order of shingles, and any order
     gives the same links.
 
@@ -429,18 +468,19 @@ def _placed(docs: DataFrame, work: Work) -> DataFrame:
 
     least = -(-SHARED * (boundary + 1) // OF)
     postings = _postings(texts, bits, frequent, counts, least)
-    shape = "a bigint, b bigint, bucket int, key bigint, node bigint, n bigint, place bigint"
-    met = work.keep(postings.mapInArrow(_stars(boundary), shape), "met")
-    stars = work.keep(met.where("a is not null").select("a", "b").distinct(), "stars")
-    links = links.union(_verified(docs, nodes, stars, work, "stars"))
-
-    roots = components(links, work, "first")
-    lists = met.where("node is not null").select("bucket", "key", "node", "n", "place").join(roots, "node", "left")
-    lists = lists.withColumn("root", F.coalesce("root", "node")).repartition("bucket", "key")
-    candidates = lists.mapInArrow(_across(boundary), "a bigint, b bigint").distinct()
-    candidates = work.keep(candidates.join(stars, ["a", "b"], "left_anti"), "candidates")
-    work.drop("met")
-    links = links.union(_verified(docs, nodes, candidates, work, "rest"))
-
-    roots = components(links, work, "all")
+    met, tried, turn = work.keep(postings.mapInArrow(_stars(boundary), MET), "met-0"), None, 0
+    while True:
+        fresh = met.where("a is not null").select("a", "b").distinct()
+        fresh = work.keep(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        tried = fresh if tried is None else tried.union(fresh)
+        links = links.union(_verified(docs, nodes, fresh, work, f"turn-{turn}"))
+        roots = components(links, work, f"roots-{turn}")
+        lists = met.where("node is not null").select("bucket", "key", "node", "n", "place")
+        if turn == TURNS or lists.isEmpty():
+            break
+        turn += 1
+        lists = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("bucket", "key")
+        met = work.keep(lists.mapInArrow(_across(boundary, turn), MET), f"met-{turn}")
+        work.drop(f"met-{turn - 1}")
+
     return work.keep(rows.join(roots, "node", "left").selectExpr("doc_id", "node", "n", "coalesce(root, node) as root"), "placed")
