@@ -29,10 +29,20 @@ def count_or_zero(text: str) -> str:
 
 
 def money_or_zero(text: str) -> str:
-    """Text to decimal(12,2); anything that is no finite number gives 0."""
-    return f"coalesce(try_cast({text} as decimal(12,2)), cast(0 as decimal(12,2)))"
+    """Text to decimal(18,2); text that is no finite number gives 0, an amount that does not fit is an error."""
+    amount = f"try_cast({text} as decimal(18,2))"
+    finite = f"abs(nanvl(try_cast({text} as double), double('infinity'))) < double('infinity')"
+    too_large = f"cast(raise_error(concat('amount does not fit: ', {text})) as decimal(18,2))"
+    return f"(case when {amount} is not null then {amount} when {finite} then {too_large} else cast(0 as decimal(18,2)) end)"
 
 
 def leading_int(text: str) -> str:
     """Integer made of the leading digits of a text (``'12abc'`` gives 12), else null."""
     return rf"try_cast(nullif(regexp_extract({text}, r'^\s*([+-]?[0-9]+)', 1), '') as int)"
+
+
+def clamped_leading_int(text: str) -> str:
+    """As ``leading_int``, but a number beyond the type is its largest or smallest value, not nothing."""
+    digits = rf"regexp_extract({text}, r'^\s*([+-]?[0-9]+)', 1)"
+    limit = f"case when {digits} like '-%' then -2147483648 else 2147483647 end"
+    return f"(case when {digits} != '' then coalesce(try_cast({digits} as int), {limit}) end)"

@@ -20,9 +20,16 @@ def or_else(text: str, fallback: str) -> str:
 
 
 def json_text_or_null(text: str) -> str:
-    """The text when it parses as JSON other than ``null``, else null."""
+    """The text when it parses as JSON other than ``null``, else null.
+
+    The variant parser refuses objects that repeat a key; those count as
+    JSON too. As the only element of an array such a text is read to its end;
+    quotes outside its strings then tell that it is no strict JSON.
+    """
     value = f"try_parse_json({text})"
-    return f"(case when {value} is not null and not is_variant_null({value}) then {text} end)"
+    bare = rf"regexp_replace({text}, r'\x22(?:[^\x22\\]|\\.)*+\x22', '')"
+    repeated = f"{value} is null and json_array_length(concat('[', {text}, ']')) = 1 and instr({bare}, chr(39)) = 0"
+    return f"(case when {value} is not null and not is_variant_null({value}) or {repeated} then {text} end)"
 
 
 def utc_literal(when: dt.datetime) -> str:
@@ -35,16 +42,35 @@ def utc_of_instant(instant: str) -> str:
     return f"timestampadd(MICROSECOND, unix_micros({instant}), timestamp_ntz'1970-01-01 00:00:00')"
 
 
-def utc_timestamp(text: str) -> str:
+_MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+
+
+def _iso(text: str) -> str:
+    """Time text of a browser or a sheet (``2024/01/05 10:00:00``, ``Fri Jan 05 2024 10:00:00 GMT-0300 (x)``) as ISO text."""
+    shown = r"r'^[A-Z][a-z]{2} ([A-Z][a-z]{2}) ([0-9]{2}) ([0-9]{4})(?: ([0-9:]{8})(?: ?(?:GMT|UTC)([+-][0-9]{2})?([0-9]{2})?)?)?.*$'"
+    part = [f"regexp_extract({text}, {shown}, {i})" for i in range(7)]
+    month = f"lpad(cast((locate({part[1]}, '{_MONTHS}') + 2) / 3 as int), 2, '0')"
+    clock = f"coalesce(nullif({part[4]}, ''), '00:00:00')"
+    zone = f"case when {part[5]} != '' then concat({part[5]}, ':', {part[6]}) when {text} rlike '(GMT|UTC)' then 'Z' else '' end"
+    slashed = r"r'^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})'"
+    return (
+        f"(case when {text} rlike {shown} then concat({part[3]}, '-', {month}, '-', {part[2]}, ' ', {clock}, {zone})"
+        f" when {text} rlike {slashed} then regexp_replace({text}, {slashed}, '$1-$2-$3') else {text} end)"
+    )
+
+
+def utc_timestamp(text: str, zone: str = "UTC") -> str:
     """Text to a zone-less UTC timestamp, null when it is no date.
 
-    Text with an offset is moved to UTC, text without one is read as UTC,
-    whatever the session time zone is.
+    Text with an offset is moved to UTC, text without one is a time of
+    ``zone``, whatever the session time zone is.
     """
-    raw = strip(text)
+    raw = "t"
     offset = r"r'[0-9]{2}:[0-9]{2}.*(Z|[+-][0-9]{2}:?[0-9]{2})$'"
     instant = utc_of_instant(f"try_cast({raw} as timestamp)")
-    return (
+    # named once, so that the long text is not repeated in every branch
+    read = (
         f"(case when {raw} rlike {offset} then {instant} "
-        f"when {raw} rlike r'^[0-9]{{4}}(-|$)' then try_cast({raw} as timestamp_ntz) end)"
+        f"when {raw} rlike r'^[0-9]{{4}}(-|$)' then convert_timezone('{zone}', 'UTC', try_cast({raw} as timestamp_ntz)) end)"
     )
+    return f"get(transform(array({strip(text)}), t -> get(transform(array({_iso('t')}), t -> {read}), 0)), 0)"

@@ -140,6 +140,12 @@ def _plain(status: str) -> str:
     return f"lower(btrim(coalesce({status}, '')))"
 
 
+def _next_status(stored: str, recent: str) -> str:
+    """The status of a delivered ad; ``stored`` is the present one, plain."""
+    automatic = f"coalesce({stored}, '') in ('', 'ativo', 'rodando', 'testado')"
+    return f"case when not {automatic} then {stored} when {recent} then 'ativo' else 'testado' end"
+
+
 def rollup_status(rollup: DataFrame, creatives: DataFrame) -> DataFrame:
     """Delivered ads with the status each should get.
 
@@ -147,7 +153,6 @@ def rollup_status(rollup: DataFrame, creatives: DataFrame) -> DataFrame:
     kept in lower case.
     """
     stored = creatives.selectExpr("anuncio", f"{_plain('status')} as _status")
-    automatic = "coalesce(_status, '') in ('', 'ativo', 'rodando', 'testado')"
     return (
         rollup.where("impressoes > 0")
         .join(stored, "anuncio", "left")
@@ -157,7 +162,7 @@ def rollup_status(rollup: DataFrame, creatives: DataFrame) -> DataFrame:
             "campanha",
             "impressoes",
             "recente",
-            f"case when not {automatic} then _status when recente then 'ativo' else 'testado' end as status",
+            f"{_next_status('_status', 'recente')} as status",
         )
     )
 
@@ -173,14 +178,17 @@ def upsert_creatives(creatives: DataFrame, rollup: DataFrame, when: dt.datetime)
     Delivered ads get a fresh id, campaign, status and time; their tags and
     manual adjustments, and all other creatives, stay as they were.
     """
-    new = rollup_status(rollup, creatives).select(
+    new = rollup.where("impressoes > 0").selectExpr(
         "anuncio",
-        F.expr("coalesce(ad_id, '') as _ad_id"),
-        F.expr("campanha as _campanha"),
-        F.expr("status as _status"),
-        F.expr(_load_time(creatives, when)),
+        "coalesce(ad_id, '') as _ad_id",
+        "campanha as _campanha",
+        "recente as _recente",
+        _load_time(creatives, when),
     )
-    fresh = {c: f"if(_status is not null, _{c}, {c})" for c in ("ad_id", "campanha", "status", "atualizado")}
+    # one full outer join: the stored status is there to decide the new one
+    decided = _next_status(_plain("status"), "_recente")
+    fresh = {c: f"if(_atualizado is not null, _{c}, {c})" for c in ("ad_id", "campanha", "atualizado")}
+    fresh["status"] = f"if(_atualizado is not null, {decided}, status)"
     fresh |= {c: f"coalesce({c}, 0)" for c in ("vendas_ajuste", "valor_ajuste")}
     return creatives.join(new, "anuncio", "full_outer").selectExpr(
         *[f"cast({fresh.get(c, c)} as {kind}) as {c}" for c, kind in creatives.dtypes]

@@ -28,6 +28,7 @@ from leadcurve.functions.numbers import half_up, leading_int
 from leadcurve.operators.periods import (
     EVERYTHING,
     Period,
+    hull,
     in_local_period,
     local_date,
     period_table,
@@ -96,8 +97,10 @@ def sessions_by_period(pings: DataFrame, periods: Mapping[str, Period]) -> DataF
 
     Each period is a pair of conditional aggregates, so the pings are
     shuffled once and never multiplied by the number of periods. A session
-    without a ping in a period has null there.
+    without a ping in a period has null there. If all periods are closed,
+    only the pings of their hull are read.
     """
+    pings = within_local_period(pings, hull(periods))
     measures, rows = [], []
     for i, (name, period) in enumerate(periods.items()):
         inside = f"filter (where {in_local_period(period)})"
@@ -255,7 +258,8 @@ def funnel_by_period(pings: DataFrame, periods: Mapping[str, Period]) -> DataFra
 
 
 def pings_by_period(events: DataFrame, periods: Mapping[str, Period]) -> DataFrame:
-    """How many pings fall into each period: one scan, one row per task."""
+    """How many pings fall into each period: one scan of the periods' hull, one row per task."""
+    events = within_local_period(events, hull(periods))
     counts, rows = [], []
     for i, (name, period) in enumerate(periods.items()):
         counts.append(F.expr(f"count_if({in_local_period(period)}) as _{i}"))

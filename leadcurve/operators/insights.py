@@ -116,8 +116,13 @@ def _sums(counts: Sequence[str]) -> list[Column]:
 
 
 def daily_facts(named: DataFrame) -> DataFrame:
-    """One row per ``(data, anuncio)``: 11 summed measures, an ad id, a campaign."""
-    return named.groupBy("data", "anuncio").agg(
+    """One row per ``(data, anuncio)``: 11 summed measures, an ad id, a campaign.
+
+    Numbers are first summed per ad id and campaign too (hash aggregation
+    that combines before its shuffle); texts are only compared on that.
+    """
+    per_text = named.groupBy("data", "anuncio", "ad_id", "campaign_name").agg(*_sums(COUNTS))
+    return per_text.groupBy("data", "anuncio").agg(
         F.expr("min(coalesce(ad_id, '')) as ad_id"),
         F.expr("min(coalesce(campaign_name, '')) as campanha"),
         *_sums(COUNTS),

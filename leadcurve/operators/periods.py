@@ -85,6 +85,12 @@ def period_table(spark: SparkSession, periods: Mapping[str, Period]) -> DataFram
     return local_table(spark, "preset string, de date, ate date, rotulo string", rows)
 
 
+def hull(periods: Mapping[str, Period]) -> Period:
+    """The shortest period that holds all of them; open where one of them is."""
+    starts, ends = [p.start for p in periods.values()], [p.end for p in periods.values()]
+    return Period(min(starts, default=None) if None not in starts else None, max(ends, default=None) if None not in ends else None)
+
+
 def trailing(today: dt.date, days_back: int) -> Period:
     """``today`` and the ``days_back`` days before it."""
     return Period(today - days_back * ONE_DAY, today, f"{days_back}d", "custom")

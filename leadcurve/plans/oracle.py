@@ -90,14 +90,18 @@ from quedas"""
 
 _PARTS["planilha"] = """
 select event_id as id,
-  case when event_id % 50 = 3 then 'bad' else cast(ts as varchar) end as ts,
+  -- other spellings of a time are given by the UTC time they mean, to the second
+  case when event_id % 50 = 3 then 'bad' when event_id % 50 in (15, 16) then cast(date_trunc('second', ts) as varchar)
+    when event_id % 50 = 17 then cast(date_trunc('second', ts) + interval 3 hour as varchar)
+    else cast(ts as varchar) end as ts,
   case event_id % 50 when 0 then 'abc' when 5 then concat('  u', cast(user_id as varchar), '-abc ')
     when 6 then repeat('s', 65) else concat('sess-', cast(user_id as varchar)) end as sessao,
   case event_id % 50 when 1 then 'outro' when 7 then ''
     else case when event_type = 'error' then 'respostas' else 'etapa' end end as tipo,
   case event_id % 50 when 2 then 'x' when 4 then '12abc' when 8 then '41' when 9 then ''
-    else cast(1 + event_id % 35 as varchar) end as etapa,
+    else if(event_id % 50 = 14 and event_type = 'error', '99999999999', cast(1 + event_id % 35 as varchar)) end as etapa,
   case when event_id % 50 = 10 then repeat('v', 30) when event_id % 50 = 11 then ''
+    when event_type = 'error' and event_id % 3 = 1 then '{"k":1,"k":2}'
     when event_type = 'error' then props else concat('v', cast(user_id % 4 as varchar)) end as data,
   case event_id % 50 when 12 then '' when 13 then repeat('p', 25) else 'v2' end as pagina
 from events"""
@@ -105,7 +109,7 @@ from events"""
 _PARTS["planilha_lida"] = """
 select id, try_cast(ts as timestamp) as ts, trim(sessao) as sessao,
   trim(case when tipo = '' then 'etapa' else tipo end) as tipo,
-  try_cast(nullif(regexp_extract(etapa, '^[0-9]+'), '') as int) as etapa,
+  cast(if(length(regexp_extract(etapa, '^[0-9]+')) > 9, 2147483647, try_cast(regexp_extract(etapa, '^[0-9]+') as bigint)) as int) as etapa,
   nullif(trim(pagina), '') as pagina, nullif(trim(data), '') as extra
 from planilha"""
 
@@ -121,7 +125,7 @@ select id, ts, sessao, tipo, etapa,
 from planilha_lida"""
 
 _PARTS["sessoes_planilha"] = """
-select sessao, dia, try_cast(nullif(regexp_extract(etapa, '^[0-9]+'), '') as int) as e
+select sessao, dia, cast(if(length(regexp_extract(etapa, '^[0-9]+')) > 9, 2147483647, try_cast(regexp_extract(etapa, '^[0-9]+') as bigint)) as int) as e
 from (select *, cast((try_cast(ts as timestamp) at time zone 'UTC')
         at time zone 'America/Sao_Paulo' as date) as dia from planilha)"""
 
@@ -215,6 +219,11 @@ from horario0 where data between date '{day}' - 6 and date '{day}' group by data
 
 
 _PARTS["horario"] = _hourly("2001-07-31")
+# hours as they are exported: without a campaign, so of all campaigns
+_PARTS["hora_cheia"] = """
+select data, cast(hora as int) as hora, coalesce(nullif(ad_name, ''), '(sem nome)') as anuncio, sum(gasto) as gasto,
+  sum(valor) as valor, cast(sum(checkouts) as bigint) as checkouts, count(*) as linhas, cast(sum(vendas) as bigint) as vendas
+from linhas where not sem_hora and data between date '2001-07-25' and date '2001-07-31' group by 1, 2, 3"""
 _PARTS["horario_anterior"] = _hourly("2001-07-28")
 
 _PARTS["rolagem"] = """
@@ -260,7 +269,7 @@ where c.anuncio not in (select de from consolidar)
 group by {_LABELS}"""
 
 
-def _sheet_metrics(where: str = "true", creatives: str = "criativos") -> str:
+def _sheet_metrics(where: str = "true", creatives: str = "criativos", daily: str = "planilha_diaria") -> str:
     plain = ("impressoes", "clicks", "thruplay", "p25", "lpv", "checkouts")
     zeros = ", ".join(f"coalesce(t.{x}, 0) as {x}" for x in plain)
     return f"""
@@ -270,7 +279,7 @@ select {_LABELS}, coalesce(t.gasto, 0::decimal(18,2)) as gasto, {zeros},
   cast(case when t.anuncio is null then 0 when t.valor > 0 then t.valor + c.valor_ajuste
     else t.vendas * 37.90 + c.valor_ajuste end as decimal(18,2)) as valor
 from {creatives} c left join (
-  select anuncio, {_MONEY_SUMS}, {_COUNT_SUMS} from planilha_diaria where {where} group by anuncio
+  select anuncio, {_MONEY_SUMS}, {_COUNT_SUMS} from {daily} where {where} group by anuncio
 ) t using (anuncio)"""
 
 
@@ -316,18 +325,23 @@ from ({_report(metrics)})"""
 _PARTS["relatorio"] = _report(_sheet_metrics())
 _PARTS["relatorio_completo"] = _report_out(_sheet_metrics())
 
+# the sheet generation's rows under canonical names, whole history
+_PARTS["planilha_nomeada"] = """
+select p.* exclude (anuncio), coalesce(c.para, p.anuncio) as anuncio, c.para is not null as absorvido
+from planilha_diaria p left join consolidar c on p.anuncio = c.de"""
+_PARTS["planilha_rolagem"] = """
+select anuncio, min(ad_id) as ad_id,
+  coalesce(arg_max(campaign_name, concat(cast(data as varchar), campaign_name)) filter (where not absorvido),
+    arg_max(campaign_name, concat(cast(data as varchar), campaign_name)), '') as campanha
+from planilha_nomeada group by anuncio having sum(impressoes) > 0"""
+
 _PARTS["planilha_nova"] = f"""
 select coalesce(c.anuncio, r.anuncio) as anuncio, coalesce(c.ad_id, r.ad_id) as ad_id,
-  coalesce(c.campanha, r.campanha) as campanha, coalesce(c.status, 'rodando') as status,
+  coalesce(c.campanha, r.campanha) as campanha, case when c.anuncio is null then 'rodando' else c.status end as status,
   {", ".join("c." + t for t in _TAGS)}, coalesce(c.vendas_ajuste, 0) as vendas_ajuste,
   coalesce(c.valor_ajuste, 0) as valor_ajuste, c.anuncio is null as nova
-from (select * from criativos where status is not null) c
-full join (
-  select anuncio, min(ad_id) as ad_id,
-    arg_max(campaign_name, concat(cast(data as varchar), campaign_name)) as campanha
-  from planilha_diaria group by anuncio having sum(impressoes) > 0
-) r on c.anuncio = r.anuncio"""
-_PARTS["relatorio_novo"] = _report(_sheet_metrics(creatives="planilha_nova"))
+from criativos c full join planilha_rolagem r on c.anuncio = r.anuncio"""
+_PARTS["relatorio_novo"] = _report(_sheet_metrics(creatives="planilha_nova", daily="planilha_nomeada"))
 
 _GROUP_TAGS = [t for t in _TAGS if t != "hook"]
 
@@ -392,6 +406,29 @@ _DAILY_OUT = f"""
 select {_SHOW_DAY}, anuncio, ad_id, campanha, {_SHOW_MONEY}, {", ".join(_COUNTS)} from diario"""
 _HOURLY_COLUMNS = "data, hora, anuncio, gasto, valor, checkouts, vendas"
 
+# pings that carry a stage or answers; one of 31 characters as its variant is refused
+_PARTS["recebidos"] = """
+select e.*, tipo = 'etapa' and id % 50 = 10 as recusado
+from (select e.*, cast(json_extract_string(r.props, '$.k') as int) as k
+  from eventos e join events r on r.event_id = e.id) e
+where not (event_type = 'view' and k < 5)"""
+
+# changes of costs: every seventh comes twice, every eleventh names no stored cost, every thirteenth update is an insert
+_PARTS["mudancas"] = """
+select concat(case when numero % 11 = 0 then 'x' else '' end, case when op = 'insert' then 'n' else '' end, id) as id,
+  nome, case when op = 'update' then valor + 10 else valor end as valor, data,
+  case when numero % 13 = 0 and op = 'update' then 'insert' else op end as op, numero % 7 = 0 as dupla,
+  case when op = 'delete' then null when length(trim(nome)) not between 1 and 120 then 'nome'
+    when case when op = 'update' then valor + 10 else valor end < 0 then 'valor' end as quebra
+from (select c.*, cast(id as bigint) as numero, case when o_orderstatus = 'F' then 'delete' when o_orderstatus = 'P' then 'update'
+        when o_orderstatus = 'O' and o_orderpriority = '1-URGENT' then 'insert' end as op from custos c)
+where op is not null"""
+_PARTS["decididas"] = """
+select m.*, case when quebra is not null then quebra when dupla then 'repetida'
+    when m.op = 'insert' and c.id is not null then 'existente'
+    when m.op in ('update', 'delete') and c.id is null then 'ausente' end as motivo
+from mudancas m left join custos c on c.id = m.id"""
+
 _BODIES = {
     "funnel_summary": _summary(_sessions()),
     "funnel_steps": _steps(),
@@ -455,7 +492,7 @@ select case when tipo not in ('etapa', 'respostas') then 'tipo'
     when e not between 1 and 40 then 'etapa' when length(sessao) not between 4 and 64 then 'sessao'
     when tipo <> 'respostas' and length(data) > 24 then 'variante'
     when length(pagina) > 24 then 'pagina' else 'ok' end as motivo, count(*) as linhas
-from (select *, try_cast(nullif(regexp_extract(etapa, '^[0-9]+'), '') as int) as e from planilha)
+from (select *, cast(if(length(regexp_extract(etapa, '^[0-9]+')) > 9, 2147483647, try_cast(regexp_extract(etapa, '^[0-9]+') as bigint)) as int) as e from planilha)
 group by 1""",
     "cost_rejects": """
 select case when length(trim(nome)) not between 1 and 120 then 'nome' when valor < 0 then 'valor'
@@ -555,20 +592,15 @@ select coalesce(c.anuncio, r.anuncio) as anuncio, coalesce(r.ad_id, c.ad_id) as
   {", ".join("c." + t for t in _TAGS)}, coalesce(c.vendas_ajuste, 0) as vendas_ajuste,
   cast(coalesce(c.valor_ajuste, 0) as double) as valor_ajuste,
   case when r.anuncio is not null then '2001-07-31 12:00:00' end as atualizado
-from (select * from criativos where status is not null) c
+from criativos c
 full join (select * from rolagem where impressoes > 0) r on c.anuncio = r.anuncio""",
     "creative_upsert_sheet_mode": f"""
 select coalesce(c.anuncio, r.anuncio) as anuncio, coalesce(c.ad_id, r.ad_id) as ad_id,
-  coalesce(c.campanha, r.campanha) as campanha, coalesce(c.status, 'rodando') as status,
+  coalesce(c.campanha, r.campanha) as campanha, case when c.anuncio is null then 'rodando' else c.status end as status,
   {", ".join("c." + t for t in _TAGS)}, coalesce(c.vendas_ajuste, 0) as vendas_ajuste,
   cast(coalesce(c.valor_ajuste, 0) as double) as valor_ajuste,
   case when r.anuncio is not null then '2001-07-31 12:00:00' end as atualizado
-from (select * from criativos where status is not null) c
-full join (
-  select anuncio, min(ad_id) as ad_id,
-    arg_max(campaign_name, concat(cast(data as varchar), campaign_name)) as campanha
-  from planilha_diaria group by anuncio having sum(impressoes) > 0
-) r on c.anuncio = r.anuncio""",
+from criativos c full join planilha_rolagem r on c.anuncio = r.anuncio""",
     "creative_sheet_refresh": f"""
 select p.ad_id, p.anuncio, p.campanha, p.status, {", ".join("p." + t for t in _TAGS)},
   case when r.impressoes > 0 then r.gasto::double end as gasto,
@@ -596,13 +628,13 @@ select cast(data as varchar) as data, hora, anuncio, {_SHOW_MONEY}, checkouts, v
 from (select {_HOURLY_COLUMNS} from horario union all
   select {_HOURLY_COLUMNS} from horario_anterior where data < date '2001-07-25')""",
     "seed_insert": """
-select anuncio, campanha, status, formato from criativos where campanha like 'Outro/%'
+select anuncio, campanha, status, formato from criativos
 union all
 select anuncio, null, 'novo', null from (
   select distinct coalesce(c.para, n.anuncio) as anuncio
   from (select coalesce(nullif(ad_name, ''), ad_id) as anuncio from linhas) n
   left join consolidar c on n.anuncio = c.de)
-where anuncio not in (select anuncio from criativos where campanha like 'Outro/%')""",
+where anuncio not in (select anuncio from criativos)""",
     "status_backfill": """
 select anuncio, case when lower(trim(status)) = 'rodando' then 'ativo' else status end as status
 from criativos""",
@@ -617,12 +649,31 @@ select ad_id, anuncio, campanha, status, formato, angulo, hook, emocao, estrutur
   null::int as vendas_ajuste, null::double as valor_ajuste, null::varchar as atualizado
 from criativos where estrutura <> ''""",
     "cost_changes": """
-select id, nome, cast(case when o_orderstatus = 'P' then valor + 10 else valor end as double) as valor,
-  cast(data as varchar) as data
-from custos where o_orderstatus <> 'F'
+select c.id, coalesce(u.nome, c.nome) as nome, cast(coalesce(u.valor, c.valor) as double) as valor,
+  cast(coalesce(u.data, c.data) as varchar) as data
+from custos c left join (select * from decididas where motivo is null and op <> 'insert') u on u.id = c.id
+where u.op is distinct from 'delete'
 union all
-select concat('n', id), nome, cast(valor as double), cast(data as varchar)
-from custos where o_orderstatus = 'O' and o_orderpriority = '1-URGENT'""",
+select id, nome, cast(valor as double), cast(data as varchar) from decididas where motivo is null and op = 'insert'""",
+    "cost_change_rejects": """
+select motivo, cast(sum(if(dupla, 2, 1)) as bigint) as mudancas from decididas where motivo is not null group by 1""",
+    "load_job": f"""
+select 'diario' as tabela, cast(data as varchar) as data, null::int as hora, anuncio, gasto::double as gasto,
+  valor::double as valor, checkouts + linhas as checkouts, vendas, null::varchar as texto
+from (select data, anuncio, sum(gasto) as gasto, sum(valor) as valor, cast(sum(checkouts) as bigint) as checkouts,
+    count(*) as linhas, cast(sum(vendas) as bigint) as vendas from carga group by data, anuncio)
+union all
+select 'horario', cast(data as varchar), hora, anuncio, gasto::double, valor::double, checkouts + linhas, vendas, null
+from hora_cheia
+union all
+select 'criativos', null, null, coalesce(c.anuncio, r.anuncio), null, null, null, null,
+  case when r.anuncio is null then c.status else {_KEPT_STATUS} end
+from criativos c full join (select * from rolagem where impressoes > 0) r on c.anuncio = r.anuncio
+union all
+select 'auditoria', null, null, null, null, null, null, null, concat_ws('|', 'true',
+  (select count(*) from linhas where campaign_name like '%Quiz%'
+    and data between date '2001-07-31' - 1095 and date '2001-07-31'),
+  (select count(*) from diario), (select count(*) from rolagem where impressoes > 0), (select count(*) from hora_cheia))""",
     "load_summary": """
 select true as ok,
   (select count(*) from linhas where campaign_name like '%Quiz%'
@@ -635,14 +686,22 @@ select true as ok,
 select id, cast(ts as varchar) as ts, concat('sess-', cast(user_id as varchar)) as sessao, tipo, etapa,
   case when tipo = 'etapa' then concat('v', case user_id % 4 when 3 then '0' else cast(user_id % 4 as varchar) end) end
     as variante,
-  null::varchar as pagina, dados
-from (select e.*, cast(json_extract_string(r.props, '$.k') as int) as k
-  from eventos e join events r on r.event_id = e.id)
-where not (event_type = 'view' and k < 5)""",
+  pagina, dados
+from recebidos where not recusado""",
+    "ingest_rejects": "select 'variante' as motivo, count(*) as linhas from recebidos where recusado having count(*) > 0",
+    "stream_page_funnel": _summary("""
+select concat('sess-', cast(user_id as varchar)) as s, max(if(etapa <= 34, etapa, 0)) as maxi,
+  max(if(etapa = 35, 1, 0)) as comprou
+from recebidos where not recusado and tipo = 'etapa' and pagina = 'tiktok' group by 1"""),
+    "stream_compacted_funnel": _summary(_sessions()),
     "stream_session_state": f"select sessao, maxi, comprou = 1 as comprou from ({_sessions()})",
     "stream_session_funnel": _summary(
         _sessions(f"{_IN_PERIOD} and variante in ('v0', 'v1') and funil = 'latam'")
     ),
+    "backfill_report": """
+select 'historico' as origem, count(*) filter (where motivo is null and motivo2 is null) as mantidas,
+  count(*) filter (where motivo is not null or motivo2 is not null) as puladas, 1::bigint as lotes, count(*) as total
+from planilha_limpa""",
     "backfill_resume": f"select {_EVENT_COLUMNS} from planilha_limpa where motivo is null and motivo2 is null",
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from leadcurve.operators import events as ev
 from leadcurve.operators import funnel as fn
 from leadcurve.operators import insights as ins
 from leadcurve.operators import merges, periods, reports
-from leadcurve.plans.load import load_audit
+from leadcurve.plans.load import AUDIT_KEY, LoadRules, load_ads, load_audit
 from leadcurve.sources import dimensions, schemas
 from leadcurve.sources import driver_tables as drv
 from leadcurve.sources.tables import (
@@ -176,7 +177,7 @@ def event_table_checks(spark, folder):
     typed = drv.event_sheet(spark, folder).selectExpr(
         "sessao",
         "tipo",
-        f"{ev.leading_int('etapa')} as etapa",
+        f"{ev.clamped_leading_int('etapa')} as etapa",
         "if(tipo = 'respostas', null, data) as variante",
         "pagina",
     )
@@ -335,23 +336,26 @@ def costs_in_period(spark, folder):
 # --- table upkeep -----------------------------------------------------------
 @query
 def creative_upsert(spark, folder):
-    stored = drv.creatives(spark, folder).where(F.col("status").isNotNull())
-    return cr.upsert_creatives(stored, _rollup(spark, folder), LOAD_TIME)
+    return cr.upsert_creatives(drv.creatives(spark, folder), _rollup(spark, folder), LOAD_TIME)
 
 
 @query
 def creative_upsert_sheet_mode(spark, folder):
-    stored = drv.creatives(spark, folder).where(F.col("status").isNotNull())
-    rollup = ins.ad_rollup(drv.sheet_daily(spark, folder), drv.AD_DAY)
-    return cr.insert_new_creatives(stored, rollup, LOAD_TIME)
+    # under canonical names, of which one is in no creative row
+    rollup = ins.ad_rollup(ins.with_canonical_name(_sheet_rows(spark, folder), drv.aliases(spark)), drv.AD_DAY)
+    return cr.insert_new_creatives(drv.creatives(spark, folder), rollup, LOAD_TIME)
+
+
+def _sheet_rows(spark, folder):
+    return ins.kept_rows(drv.insights(spark, folder), drv.CAMPAIGN_TEXT, drv.EXCLUDED_CAMPAIGNS, drv.EXCLUDED_ADS)
 
 
 @query
 def creative_sheet_refresh(spark, folder):
-    """The wide sheet: creatives with a status are listed, with last time's hook rate."""
-    listed = drv.creatives(spark, folder).where(F.col("status").isNotNull())
+    """The wide sheet with last time's hook rate; one ad of the facts is not listed."""
+    listed = drv.creatives(spark, folder)
     sheet = read_creative_sheet(listed.withColumn("atualizado", F.lit("antes")).withColumn("hook_rate_pct", F.lit(1.5)))
-    rows = drv.sheet_daily(spark, folder)
+    rows = ins.with_canonical_name(_sheet_rows(spark, folder), drv.aliases(spark))
     return cr.refresh_sheet(sheet, rows, ins.ad_rollup(rows, drv.AD_DAY), LOAD_TIME)
 
 
@@ -378,8 +382,8 @@ def hourly_replace(spark, folder):
 
 @query
 def seed_insert(spark, folder):
-    """Ads seen in the facts are added to the creatives of one campaign group."""
-    stored = drv.creatives(spark, folder).where(F.col("campanha").startswith("Outro/"))
+    """Ads seen in the facts are added to the creatives; one name is in no creative row."""
+    stored = drv.creatives(spark, folder)
     seen = ins.with_canonical_name(drv.insights(spark, folder), drv.aliases(spark))
     seeds = seen.select("anuncio").distinct().withColumn("status", F.lit("novo"))
     return merges.insert_missing(stored, seeds, "anuncio").select("anuncio", "campanha", "status", "formato")
@@ -404,6 +408,23 @@ def creative_sheet_layout(spark, folder):
 @query
 def cost_changes(spark, folder):
     """Costs of finished orders deleted, pending ones raised, open urgent ones added anew."""
+    stored, changes = _cost_changes(spark, folder)
+    return merges.apply_changes(stored, changes, "id")
+
+
+@query
+def cost_change_rejects(spark, folder):
+    """Changes without effect: broken costs, repeated keys, wrong operations."""
+    stored, changes = _cost_changes(spark, folder, valid=False)
+    checked = ev.check_costs(changes).withColumn("motivo", F.expr("if(op = 'delete', null, motivo)"))
+    broken = checked.where("motivo is not null").groupBy("motivo").agg(F.count("*").alias("mudancas"))
+    _, good = _cost_changes(spark, folder)
+    refused = merges.change_rejects(stored, good, "id").groupBy("motivo").agg(F.sum("mudancas").alias("mudancas"))
+    return broken.unionByName(refused).groupBy("motivo").agg(F.sum("mudancas").alias("mudancas"))
+
+
+def _cost_changes(spark, folder, valid=True):
+    """The costs and a batch of changes with planted faults; only valid costs are written."""
     stored = drv.costs(spark, folder)
     orders = drv.table(spark, folder, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"), "o_orderstatus", "o_orderpriority"
@@ -431,7 +452,17 @@ def cost_changes(spark, folder):
             "op",
         )
     )
-    return merges.apply_changes(stored, changes, "id")
+    number = F.expr("cast(regexp_extract(id, '[0-9]+', 0) as bigint)")
+    copy = F.when(number % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    changes = (
+        changes.withColumn("copia", F.explode(copy))  # every seventh change comes twice
+        .withColumn("id", F.when(number % 11 == 0, F.concat(F.lit("x"), "id")).otherwise(F.col("id")))  # of no stored cost
+        .withColumn("op", F.when((number % 13 == 0) & (F.col("op") == "update"), "insert").otherwise(F.col("op")))
+        .drop("copia")
+    )
+    if valid:
+        changes = ev.check_costs(changes).where("op = 'delete' or motivo is null").drop("motivo")
+    return stored, changes
 
 
 @query
@@ -454,6 +485,42 @@ def load_summary(spark, folder):
     )
 
 
+@query
+def load_job(spark, folder):
+    """The whole load, twice, over exported records; hourly ones have only the fields that are asked for."""
+    records = drv.nested_insights(spark, folder)
+    folders = {name: work_folder(spark, name) for name in ("export-dias", "export-horas", "tabelas")}
+    records.write.json(folders["export-dias"])
+    hour = "hourly_stats_aggregated_by_advertiser_time_zone"
+    records.select("date_start", hour, "ad_name", "spend", "actions", "action_values").write.json(folders["export-horas"])
+    rules = LoadRules(drv.CAMPAIGN_TEXT, drv.EXCLUDED_CAMPAIGNS, drv.EXCLUDED_ADS)
+    config, root = dimensions.config(spark), folders["tabelas"]
+    for version in ("v1", "v2"):
+        daily, hourly = (read_insights(spark, folders[f"export-{name}"]) for name in ("dias", "horas"))
+        config = load_ads(
+            daily, hourly, drv.creatives(spark, folder), drv.aliases(spark), config, root, version, drv.AD_DAY, LOAD_TIME, rules
+        )
+    none = "cast(null as {}) as {}".format
+    facts = "gasto, valor, checkouts, vendas"
+    tables = [
+        ("diario", f"criativos_diario/{version}", f"data, {none('int', 'hora')}, anuncio, {facts}, {none('string', 'texto')}"),
+        ("horario", "criativos_hora", f"data, hora, anuncio, {facts}, {none('string', 'texto')}"),
+        ("criativos", f"criativos/{version}", f"{none('date', 'data')}, {none('int', 'hora')}, anuncio, {', '.join(none('decimal(18,2)', c) for c in ('gasto', 'valor'))}, {none('bigint', 'checkouts')}, {none('bigint', 'vendas')}, status as texto"),
+    ]
+    rows = [spark.read.parquet(f"{root}/{path}").selectExpr(f"'{name}' as tabela", *sql_list(columns)) for name, path, columns in tables]
+    fields = "ok", "linhas_meta", "dias_gravados", "criativos", "horas_gravadas"
+    audit = config.where(F.col("chave") == AUDIT_KEY).select(
+        F.concat_ws("|", *[F.get_json_object("valor", f"$.{f}") for f in fields]).alias("texto")
+    )
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return every.unionByName(audit.withColumn("tabela", F.lit("auditoria")), allowMissingColumns=True)
+
+
+def sql_list(columns: str) -> list[str]:
+    """Expressions separated by commas outside brackets."""
+    return re.split(r", (?![^(]*\))", columns)
+
+
 @query
 def ad_daily_combined(spark, folder):
     """The daily facts out of combined rows: the same as from single ones."""
@@ -479,6 +546,39 @@ def stream_ingest(spark, folder):
     return _stored_events(spark, target)
 
 
+@query
+def ingest_rejects(spark, folder):
+    """Pings that the ingest refuses, by reason; a second run adds nothing."""
+    target, rejects, checkpoint = (work_folder(spark, name) for name in ("eventos", "recusados", "posicao"))
+    for _ in range(2):
+        st.ingest(drv.as_pings(_event_files(spark, folder)), target, checkpoint, rejects=rejects).awaitTermination()
+    return spark.read.parquet(rejects).groupBy("motivo").agg(F.count("*").alias("linhas"))
+
+
+@query
+def stream_page_funnel(spark, folder):
+    """Funnel of one page group out of streamed pings."""
+    target, checkpoint = work_folder(spark, "eventos"), work_folder(spark, "posicao")
+    st.ingest(drv.as_pings(_event_files(spark, folder)), target, checkpoint).awaitTermination()
+    found = fn.funnel(_stored_events(spark, target), dimensions.pages(spark), funnel="brasil", source="tiktok")
+    return fn.percentages(found).drop("etapas")
+
+
+@query
+def stream_compacted_funnel(spark, folder):
+    """Funnel out of compacted session-days, with a batch that came after the compaction."""
+    parts, compact = work_folder(spark, "sessoes"), work_folder(spark, "sessoes-compactas")
+    checkpoint = work_folder(spark, "posicao")
+    events = drv.as_events(_event_files(spark, folder))
+    st.track_sessions(events.where("id % 3 != 0"), parts, checkpoint).awaitTermination()
+    st.compact_session_days(spark.read.parquet(parts), compact)
+    late = work_folder(spark, "sessoes-novas")
+    st.track_sessions(events.where("id % 3 = 0"), late, work_folder(spark, "posicao")).awaitTermination()
+    columns = "dia", "variante", "pagina", "sessao", "maxi", "comprou"
+    partials = spark.read.parquet(compact).select(*columns).unionByName(spark.read.parquet(late).select(*columns))
+    return fn.percentages(fn.funnel_totals(st.tracked_sessions(partials))).drop("etapas")
+
+
 @query
 def stream_session_state(spark, folder):
     target, checkpoint = work_folder(spark, "sessoes"), work_folder(spark, "posicao")
@@ -518,3 +618,13 @@ def backfill_resume(spark, folder):
         st.backfill(stream, target, checkpoint).awaitTermination()
     st.backfill(st.file_stream(spark, source, rows.schema), target, checkpoint).awaitTermination()
     return _stored_events(spark, target)
+
+
+@query
+def backfill_report(spark, folder):
+    """Kept and skipped history rows over two runs; the second finds nothing new."""
+    target, rejects, checkpoint = (work_folder(spark, name) for name in ("eventos", "recusados", "posicao"))
+    for _ in range(2):
+        sheet = drv.as_event_sheet(_event_files(spark, folder))
+        st.backfill(sheet, target, checkpoint, rejects=rejects).awaitTermination()
+    return st.batch_report(spark.read.parquet(target), spark.read.parquet(rejects))

@@ -88,8 +88,10 @@ def as_pings(raw: DataFrame) -> DataFrame:
         "case when event_type = 'error' then 'respostas' end as action",
         "concat('sess-', cast(user_id as string)) as sessao",
         f"case when event_type = 'view' and {_K} < 5 then '' else cast({_STAGE} as string) end as etapa",
-        "case user_id % 4 when 3 then '' else cast(user_id % 4 as string) end as v",
+        "case when event_id % 50 = 10 then repeat('v', 30) when user_id % 4 = 3 then '' "
+        "else cast(user_id % 4 as string) end as v",
         "case when event_type = 'error' then props end as data",
+        f"{_PAGE} as pagina",
     )
 
 
@@ -97,13 +99,18 @@ def as_event_sheet(raw: DataFrame) -> DataFrame:
     """Driver events as text rows with planted faults."""
     return raw.selectExpr(
         "event_id as id",
-        "case when event_id % 50 = 3 then 'bad' else cast(ts as string) end as ts",
+        "case when event_id % 50 = 3 then 'bad' "
+        "when event_id % 50 = 15 then date_format(ts, 'yyyy/MM/dd HH:mm:ss') "
+        "when event_id % 50 = 16 then date_format(ts, 'EEE MMM dd yyyy HH:mm:ss') "
+        "when event_id % 50 = 17 then concat(date_format(ts, 'EEE MMM dd yyyy HH:mm:ss'), ' GMT-0300 (x)') "
+        "else cast(ts as string) end as ts",
         "case event_id % 50 when 0 then 'abc' when 5 then concat('  u', cast(user_id as string), '-abc ') "
         "when 6 then repeat('s', 65) else concat('sess-', cast(user_id as string)) end as sessao",
         f"case event_id % 50 when 1 then 'outro' when 7 then '' else {_TYPE} end as tipo",
         "case event_id % 50 when 2 then 'x' when 4 then '12abc' when 8 then '41' when 9 then '' "
-        "else cast(1 + event_id % 35 as string) end as etapa",
+        "else case when event_id % 50 = 14 and event_type = 'error' then '99999999999' else cast(1 + event_id % 35 as string) end end as etapa",
         "case when event_id % 50 = 10 then repeat('v', 30) when event_id % 50 = 11 then '' "
+        "when event_type = 'error' and event_id % 3 = 1 then '{\"k\":1,\"k\":2}' "
         "when event_type = 'error' then props else concat('v', cast(user_id % 4 as string)) end as data",
         "case event_id % 50 when 12 then '' when 13 then repeat('p', 25) else 'v2' end as pagina",
     )

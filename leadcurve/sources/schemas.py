@@ -9,7 +9,7 @@ EVENT_SHEET = "id bigint, ts string, sessao string, tipo string, etapa string, d
 # parameters of one ping request
 PING = (
     "id bigint, recebido timestamp_ntz, action string, sessao string, etapa string, "
-    "v string, data string"
+    "v string, data string, pagina string"
 )
 PAGES = "codigo string, funil string, fonte string, rotulo string"
 ALIASES = "anuncio string, canonico string"

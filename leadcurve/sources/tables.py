@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leadcurve.operators.merges import to_layout
 from leadcurve.operators.periods import Period, in_date_period
@@ -32,9 +31,25 @@ def read_insights(spark: SparkSession, path: str) -> DataFrame:
     """Nested ad-insight records from JSON lines.
 
     The schema is declared: nothing is inferred, numbers are kept as text,
-    and a field the export lacks is null.
+    and a field the export lacks is null. Lines that are no JSON are left
+    out; ``malformed_insights`` has them.
     """
-    return spark.read.schema(schemas.INSIGHTS).json(path)
+    return _insight_lines(spark, path).where(f"record.{_MALFORMED} is null").select("record.*").drop(_MALFORMED)
+
+
+def malformed_insights(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of an ad-insight export that ``read_insights`` leaves out, as ``linha``."""
+    return _insight_lines(spark, path).where(f"record.{_MALFORMED} is not null").select("linha")
+
+
+_MALFORMED = "_malformed"
+
+
+def _insight_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines with something in them, and each as a record that also says if it is no JSON."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _MALFORMED}
+    record = F.from_json("value", f"{schemas.INSIGHTS}, {_MALFORMED} string", options)
+    return spark.read.text(path).where("trim(value) != ''").select(F.col("value").alias("linha"), record.alias("record"))
 
 
 def read_creative_sheet(sheet: DataFrame) -> DataFrame:
@@ -57,6 +72,7 @@ def write_by_month(df: DataFrame, path: str, *order: str, month: str = "mes") ->
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
         .partitionBy(month)
         .parquet(path)
     )
@@ -68,7 +84,14 @@ def write_by_day(df: DataFrame, path: str, day: str = "data") -> None:
     Rows are rebalanced on the day: small days share tasks, a heavy day is
     split over several.
     """
-    df.hint("rebalance", day).write.mode("overwrite").partitionBy(day).parquet(path)
+    writer = df.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy(day).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def replace_days(df: DataFrame, path: str, period: Period, day: str = "data") -> None:
@@ -82,10 +105,16 @@ def replace_days(df: DataFrame, path: str, period: Period, day: str = "data") ->
     if not (period.start and period.end):
         raise ValueError("the period needs both bounds")
     spark = df.sparkSession
-    inside = in_date_period(period, day)
     staging = work_folder(spark, "staged")
-    write_by_day(df.where(inside), staging, day)
-    staged = spark.read.schema(df.schema).parquet(staging)
+    try:
+        write_by_day(df.where(in_date_period(period, day)), staging, day)
+        _take_over(spark.read.schema(df.schema).parquet(staging), path, period, day)
+    finally:
+        drop_folder(spark, staging)
+
+
+def _take_over(staged: DataFrame, path: str, period: Period, day: str) -> None:
+    spark, inside = staged.sparkSession, in_date_period(period, day)
     (
         staged.hint("rebalance", day)
         .write.mode("overwrite")
@@ -93,8 +122,7 @@ def replace_days(df: DataFrame, path: str, period: Period, day: str = "data") ->
         .partitionBy(day)
         .parquet(path)
     )
-    stored = spark.read.schema(df.schema).parquet(path).where(inside).select(day).distinct()
-    nothing = spark.createDataFrame([], T.StructType([f for f in df.schema if f.name != day]))
+    stored = spark.read.schema(staged.schema).parquet(path).where(inside).select(day).distinct()
     # at most one row per day of the period
     for row in stored.join(staged.select(day).distinct(), day, "left_anti").collect():
-        nothing.write.mode("overwrite").parquet(f"{path}/{day}={row[0]}")
+        drop_folder(spark, f"{path}/{day}={row[0]}")

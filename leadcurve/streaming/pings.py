@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leadcurve.operators.events import accepted, clean_events, ping_to_row
+from leadcurve.operators.events import accepted, clean_events, ping_to_row, rejected
 from leadcurve.operators.funnel import of_page_group, of_variants, session_rollup, stage_pings
 from leadcurve.operators.periods import EVERYTHING, Period, local_date, require_utc, within_dates
 
@@ -33,19 +33,33 @@ def file_stream(
     )
 
 
+def _rewrite(rows: DataFrame):
+    """A writer that replaces all of its folder, whatever the session's overwrite mode is."""
+    return rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+
+
 def _add_batches(
-    stream: DataFrame, target: str, checkpoint: str, origin: str, step: Callable[[DataFrame], DataFrame]
+    stream: DataFrame,
+    target: str,
+    checkpoint: str,
+    origin: str,
+    step: Callable[[DataFrame], DataFrame],
+    refused: tuple[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> StreamingQuery:
     """Writes ``step`` of every micro-batch to a directory of that batch, by local day.
 
     A replayed batch overwrites its own directory, so each row lands once.
     Nothing stored before is touched. Streams of other origins may write
-    under the same target.
+    under the same target. ``refused`` names a folder for the rows that the
+    batch does not keep, and how to get them; it is laid out alike.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        rows = step(batch).hint("rebalance", "dia")
-        rows.write.mode("overwrite").partitionBy("dia").parquet(f"{target}/origem={origin}/lote={batch_id}")
+        place = f"origem={origin}/lote={batch_id}"
+        _rewrite(step(batch).hint("rebalance", "dia")).partitionBy("dia").parquet(f"{target}/{place}")
+        if refused:
+            folder, rows = refused
+            _rewrite(rows(batch)).parquet(f"{folder}/{place}")
 
     return (
         stream.writeStream.foreachBatch(add)
@@ -59,25 +73,73 @@ def _by_day(events: DataFrame) -> DataFrame:
     return require_utc(events).withColumn("dia", F.expr(local_date("ts")))
 
 
-def ingest(pings: DataFrame, target: str, checkpoint: str, origin: str = "pings") -> StreamingQuery:
-    """Adds ping requests to the event table; malformed ones are refused."""
+def _add_checked(stream, target, checkpoint, origin, rejects, checked) -> StreamingQuery:
+    refused = (rejects, lambda batch: rejected(checked(batch))) if rejects else None
+    return _add_batches(stream, target, checkpoint, origin, lambda batch: _by_day(accepted(checked(batch))), refused)
 
-    def step(batch: DataFrame) -> DataFrame:
-        return _by_day(accepted(clean_events(ping_to_row(batch), table_checks=True)))
 
-    return _add_batches(pings, target, checkpoint, origin, step)
+def ingest(
+    pings: DataFrame, target: str, checkpoint: str, origin: str = "pings", rejects: str | None = None
+) -> StreamingQuery:
+    """Adds ping requests to the event table; rows that break its limits are refused.
+
+    A variant or page that is too long is refused, not cut. With ``rejects``
+    the refused rows go to that folder with their ``motivo``.
+    """
 
+    def checked(batch: DataFrame) -> DataFrame:
+        return clean_events(ping_to_row(batch), table_checks=True, cut_variant=False)
 
-def backfill(sheet_rows: DataFrame, target: str, checkpoint: str, origin: str = "historico") -> StreamingQuery:
+    return _add_checked(pings, target, checkpoint, origin, rejects, checked)
+
+
+def backfill(
+    sheet_rows: DataFrame,
+    target: str,
+    checkpoint: str,
+    origin: str = "historico",
+    rejects: str | None = None,
+    zone: str = "UTC",
+) -> StreamingQuery:
     """Adds cleaned history rows to the event table, each exactly once over all runs.
 
-    To start over, take a new checkpoint and a new origin (or empty the old one).
+    With ``rejects`` the rows that are skipped go to that folder with their
+    ``motivo``. ``zone`` is that of time text without an offset. To start
+    over, take a new checkpoint and a new origin (or empty the old one).
+    """
+
+    def checked(batch: DataFrame) -> DataFrame:
+        return clean_events(batch, table_checks=True, zone=zone)
+
+    return _add_checked(sheet_rows, target, checkpoint, origin, rejects, checked)
+
+
+def batch_report(stored: DataFrame, rejects: DataFrame) -> DataFrame:
+    """Per origin: rows kept and skipped, batches, and rows read in all.
+
+    Both tables are read with their directories ``origem`` and ``lote``.
     """
+    one = "origem", "lote"
+    rows = stored.select(*one, F.lit(1).alias("mantidas"), F.lit(0).alias("puladas")).unionAll(
+        rejects.select(*one, F.lit(0), F.lit(1))
+    )
+    per_batch = rows.groupBy(*one).agg(F.sum("mantidas").alias("mantidas"), F.sum("puladas").alias("puladas"))
+    return per_batch.groupBy("origem").agg(
+        F.sum("mantidas").alias("mantidas"),
+        F.sum("puladas").alias("puladas"),
+        F.count("*").alias("lotes"),
+        F.expr("sum(mantidas + puladas) as total"),
+    )
 
-    def step(batch: DataFrame) -> DataFrame:
-        return _by_day(accepted(clean_events(batch, table_checks=True)))
 
-    return _add_batches(sheet_rows, target, checkpoint, origin, step)
+def compact_session_days(partials: DataFrame, path: str) -> None:
+    """Writes many partial results as one table by local day, which takes their place.
+
+    ``path`` is a new folder. Later partial results are added beside it and
+    read together with it; a batch that was compacted and is replayed changes
+    nothing, as maximum and boolean-or do not care about repeats.
+    """
+    _rewrite(merge_session_days(partials).hint("rebalance", "dia")).partitionBy("dia").parquet(path)
 
 
 # --- session state ----------------------------------------------------------

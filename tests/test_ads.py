@@ -7,6 +7,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
+
 from leadcurve.operators import creatives as cr
 from leadcurve.operators import insights as ins
 from leadcurve.operators import periods, reports
@@ -362,3 +364,21 @@ def test_facts_sum_to_the_filtered_rows(spark):
     sums = [F.sum(c).alias(c) for c in (*ins.AMOUNTS, *ins.COUNTS)]
     raw = drv.loaded_rows(spark, drv.insights(spark, folder)).agg(*sums).first()
     assert drv.ad_daily(spark, folder).agg(*sums).first() == raw
+
+
+def test_daily_facts_sort_no_raw_rows(spark):
+    """Raw rows are summed by hash; only their result is sorted to compare texts."""
+    from leadcurve.sources import driver_tables as drv
+
+    plan = drv.ad_daily(spark, SF)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    aggregates = [line for line in plan if "Aggregate" in line]
+    assert "HashAggregate" in aggregates[-1] and "partial_sum" in aggregates[-1]
+    assert "SortAggregate" not in aggregates[-1] and "SortAggregate" not in aggregates[-2]
+
+
+def test_creative_upkeep_reads_each_table_once(spark):
+    from leadcurve.plans.queries import QUERIES
+
+    plan = QUERIES["creative_upsert"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 1
+    assert plan.count("l_suppkey") and sum("Relation" in line and "l_suppkey" in line for line in plan.splitlines()) == 1

@@ -1,8 +1,16 @@
 """Cleaning and validation of pings and costs."""
 
+import datetime as dt
 from decimal import Decimal
 
+import pytest
+from conftest import SF
+from pyspark.sql import functions as F
+
 from leadcurve.operators import events as ev
+from leadcurve.operators import funnel as fn
+from leadcurve.operators import periods
+from leadcurve.sources import driver_tables as drv
 from leadcurve.sources import schemas
 
 
@@ -103,22 +111,44 @@ def test_accepted_equals_valid(table):
 
 
 def test_pings(table):
-    import datetime as dt
-
     at = dt.datetime(2024, 1, 1)
     pings = table(
         schemas.PING,
-        (1, at, None, "abcd", "3", "1", None),
-        (2, at, None, "abcd", "3", "", None),
-        (3, at, "respostas", "abcd", None, "1", '{"a":1}'),
-        (4, at, None, "abcd", "", None, None),        # neither stage nor answers
-        (5, at, "other", "abcd", None, None, None),
+        (1, at, None, "abcd", "3", "1", None, None),
+        (2, at, None, "abcd", "3", "", None, None),
+        (3, at, "respostas", "abcd", None, "1", '{"a":1}', "tiktok"),
+        (4, at, None, "abcd", "", None, None, None),        # neither stage nor answers
+        (5, at, "other", "abcd", None, None, None, None),
     )
     rows = {r.id: r for r in ev.ping_to_row(pings).collect()}
     assert set(rows) == {1, 2, 3}
     assert (rows[1].tipo, rows[1].data) == ("etapa", "v1")
     assert rows[2].data == "v0"
     assert (rows[3].tipo, rows[3].data, rows[3].etapa) == ("respostas", '{"a":1}', "")
+    assert (rows[1].pagina, rows[3].pagina) == (None, "tiktok")
+    assert ev.ping_to_row(pings.drop("pagina")).first().pagina is None
+
+
+def test_times_by_their_type(spark, table):
+    """The session's zone, Tokyo here, plays no part."""
+    raw = table(schemas.EVENT_SHEET, row(1))
+    instant = raw.withColumn("ts", F.expr("timestamp'2024-01-01 00:00:00Z'"))
+    got = ev.clean_events(instant)
+    assert dict(got.dtypes)["ts"] == "timestamp_ntz" and str(got.first().ts) == "2024-01-01 00:00:00"
+    with pytest.raises(TypeError):
+        ev.clean_events(raw.withColumn("ts", F.lit(5)))
+    for call in (fn.sessions_by_period, fn.pings_by_period):
+        with pytest.raises(TypeError):
+            call(instant, periods.presets(dt.date(2024, 1, 30)))
+
+
+def test_closed_presets_read_their_hull(spark):
+    events = drv.events(spark, SF)
+    named = {k: p for k, p in periods.presets(dt.date(2024, 1, 30)).items() if k in ("7d", "ontem")}
+    plan = fn.pings_by_period(events, named)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-24T03:00)" in plan
+    assert periods.hull(named) == periods.Period(dt.date(2024, 1, 24), dt.date(2024, 1, 30))
+    assert periods.hull(periods.presets(dt.date(2024, 1, 30))) == periods.EVERYTHING
 
 
 def test_costs(table):

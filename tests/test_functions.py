@@ -38,6 +38,41 @@ def test_count_or_zero(spark, given, expected):
 def test_money_or_zero(spark):
     assert value(spark, numbers.money_or_zero("'12.30'")) == Decimal("12.30")
     assert value(spark, numbers.money_or_zero("'x'")) == 0
+    assert value(spark, numbers.money_or_zero("'NaN'")) == 0
+    assert value(spark, numbers.money_or_zero("'12345678901.50'")) == Decimal("12345678901.50")
+    with pytest.raises(Exception, match="does not fit"):
+        value(spark, numbers.money_or_zero("'1e30'"))
+
+
+@pytest.mark.parametrize(
+    "given, expected",
+    [
+        ("2024/01/05 10:00:00", "2024-01-05 10:00:00"),
+        ("2024/1/5", "2024-01-05 00:00:00"),
+        ("Fri Jan 05 2024 10:00:00", "2024-01-05 10:00:00"),
+        ("Fri Jan 05 2024 10:00:00 GMT-0300 (local)", "2024-01-05 13:00:00"),
+        ("Fri Jan 05 2024 10:00:00 GMT", "2024-01-05 10:00:00"),
+        ("2024-01-05T10:00:00-03:00", "2024-01-05 13:00:00"),
+        ("Fri Xxx 05 2024 10:00:00", None),
+    ],
+)
+def test_time_text(spark, given, expected):
+    assert value(spark, f"cast({text.utc_timestamp(repr(given))} as string)") == expected
+
+
+def test_time_text_of_a_zone(spark):
+    of_zone = text.utc_timestamp("'2024-01-05 10:00:00'", "America/Sao_Paulo")
+    assert value(spark, f"cast({of_zone} as string)") == "2024-01-05 13:00:00"
+    with_offset = text.utc_timestamp("'2024-01-05 10:00:00+00:00'", "America/Sao_Paulo")
+    assert value(spark, f"cast({with_offset} as string)") == "2024-01-05 10:00:00"
+
+
+@pytest.mark.parametrize(
+    "given, kept", [('{"a":1,"a":2}', True), ('{"a":1,"a":2} x', False), ("{'a':1}", False), ('{"it\'s":1,"it\'s":2}', True), ("null", False), ("vv", False), ("1,2", False)]
+)
+def test_json_text(spark, given, kept):
+    literal = "'" + given.replace("'", "\\'") + "'"
+    assert value(spark, text.json_text_or_null(literal)) == (given if kept else None)
 
 
 def test_ratio_without_denominator(spark):

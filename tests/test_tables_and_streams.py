@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import pathlib
 from decimal import Decimal
 
 import pytest
@@ -42,13 +43,48 @@ def test_merges(spark):
         [(1, None, "delete"), (2, "B", "update"), (9, "n", "insert")], "id int, x string, op string"
     )
     assert ids(merges.apply_changes(table, changes, "id")) == {2: "B", 3: "c", 9: "n"}
+    assert merges.change_rejects(table, changes, "id").collect() == []
 
 
-def test_replace_from(spark):
-    old = spark.createDataFrame([(D(2024, 1, 1), 1), (D(2024, 1, 5), 2)], "data date, x int")
-    new = spark.createDataFrame([(D(2024, 1, 6), 3)], "data date, x int")
-    got = merges.replace_from(old, new, D(2024, 1, 5)).collect()
-    assert {(r.data.day, r.x) for r in got} == {(1, 1), (6, 3)}
+def test_insert_missing_takes_the_smallest(spark):
+    table = spark.createDataFrame([(1, "a")], "id int, x string")
+    more = spark.createDataFrame([(4, "E"), (4, "D"), (4, None)], "id int, x string")
+    assert {(r.id, r.x) for r in merges.insert_missing(table, more, "id").collect()} == {(1, "a"), (4, None)}
+
+
+def test_changes_without_effect(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, x string")
+    changes = spark.createDataFrame(
+        [(1, "A", "insert"), (2, "B", "update"), (2, "BB", "update"), (7, "G", "update"), (8, None, "delete"),
+         (9, "n", "insert"), (9, "n", "insert"), (3, "c", "rename")],
+        "id int, x string, op string",
+    )
+    got = merges.apply_changes(table, changes, "id")
+    assert sorted((r.id, r.x) for r in got.collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    refused = {(r.id, r.mudancas, r.motivo) for r in merges.change_rejects(table, changes, "id").collect()}
+    assert refused == {(1, 1, "existente"), (2, 2, "repetida"), (7, 1, "ausente"), (8, 1, "ausente"), (9, 2, "repetida"), (3, 1, "operacao")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FullOuter") == 1 and "LeftAnti" not in plan
+
+
+def test_writers_replace_whole_tables_in_any_mode(spark, tmp_path):
+    path = str(tmp_path / "daily")
+    month = "data date, anuncio string"
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        write_by_month(spark.createDataFrame([(D(2024, 1, 1), "a"), (D(2024, 2, 1), "b")], month), path, "data", "anuncio")
+        write_by_month(spark.createDataFrame([(D(2024, 2, 2), "c")], month), path, "data", "anuncio")
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert [r.anuncio for r in spark.read.parquet(path).collect()] == ["c"]
+
+
+def test_replace_days_leaves_no_staging(spark, tmp_path):
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir")) / "leadcurve"
+    before = {p.name for p in root.glob("staged-*")}
+    new = spark.createDataFrame([(D(2024, 1, 5), 1, "a", 5)], HOURS)
+    replace_days(new, str(tmp_path / "hours"), periods.between("2024-01-04", "2024-01-10"))
+    assert {p.name for p in root.glob("staged-*")} <= before
 
 
 def test_replace_days(spark, tmp_path):
@@ -151,7 +187,7 @@ def test_load_job(spark, table, tmp_path):
             daily, hourly, creatives, dimensions.aliases(spark, [("alias", "main")]), config, root, version,
             D(2024, 5, 10), when, LoadRules("Quiz", ["gone"], ["9"]),
         )
-        facts = spark.read.parquet(f"{root}/criativos_diario").collect()
+        facts = spark.read.parquet(f"{root}/criativos_diario/{version}").collect()
         assert sorted((r.data.day, r.anuncio, r.vendas, r.gasto) for r in facts) == [
             (1, "past", 1, Decimal("2.50")), (10, "main", 2, Decimal("5.00")),
         ]
@@ -180,6 +216,47 @@ def test_failed_load_is_noted(spark, table, tmp_path):
     assert audit["ok"] is False and audit["erro"]
 
 
+def test_load_of_hours_as_they_are_exported(spark, table, tmp_path):
+    """Hourly records have no campaign and no ids; a run without any hour is fine too."""
+    from leadcurve.sources import schemas
+    from leadcurve.sources.tables import malformed_insights, read_insights
+
+    path = tmp_path / "hours.json"
+    lines = [
+        json.dumps({"date_start": "2024-05-10", "ad_name": name, "spend": "1.50", "actions": [{"action_type": "purchase", "value": "2"}],
+                    "hourly_stats_aggregated_by_advertiser_time_zone": "07:00:00 - 07:59:59"})
+        for name in ("main", "other")
+    ]
+    path.write_text("\n".join([lines[0], '{"date_start": "2024-05-10", "ad_na', lines[1]]))
+    assert [r.linha for r in malformed_insights(spark, str(path)).collect()] == ['{"date_start": "2024-05-10", "ad_na']
+    hourly, root = read_insights(spark, str(path)), str(tmp_path / "tables")
+    assert hourly.count() == 2
+    daily = spark.createDataFrame([record("2024-05-10", "1", "main")], schemas.INSIGHTS)
+    creatives = table(schemas.CREATIVES)
+    work = pathlib.Path(spark.conf.get("spark.checkpoint.dir")) / "leadcurve"
+    before = set(work.glob("registros-*"))
+
+    def run(hours, version):
+        config = load_ads(
+            daily, hours, creatives, dimensions.aliases(spark, []), dimensions.config(spark), root, version,
+            D(2024, 5, 10), dt.datetime(2024, 5, 10, 9), LoadRules("Quiz"),
+        )
+        return json.loads({r.chave: r.valor for r in config.collect()}[AUDIT_KEY])
+
+    assert run(hourly, "v1")["horas_gravadas"] == 2
+    assert sorted(r.anuncio for r in spark.read.parquet(f"{root}/criativos_hora").collect()) == ["main", "other"]
+    audit = run(hourly.where("false"), "v2")
+    assert audit["ok"] is True and audit["horas_gravadas"] == 0 and audit["dias_gravados"] == 1
+    assert set(work.glob("registros-*")) == before
+
+    broken = load_ads(
+        spark.createDataFrame([("x",)], "date_start string"), hourly, creatives, dimensions.aliases(spark, []),
+        dimensions.config(spark), root, "v3", D(2024, 5, 10), dt.datetime(2024, 5, 10, 9),
+    )
+    assert json.loads({r.chave: r.valor for r in broken.collect()}[AUDIT_KEY])["ok"] is False
+    assert spark.read.parquet(f"{root}/criativos_diario/v2").count() == 1       # what was there stays
+
+
 # --- streams ----------------------------------------------------------------
 @pytest.fixture
 def split_events(spark, tmp_path):
@@ -258,6 +335,27 @@ def test_backfill_goes_on_and_starts_over(spark, tmp_path):
     assert run("another position", str(tmp_path / "fresh")) == whole
 
 
+def test_ingest_refuses_long_variants_and_keeps_pages(spark, tmp_path):
+    from leadcurve.sources import schemas
+
+    source, target, rejects = (str(tmp_path / n) for n in ("pings", "events", "refused"))
+    at = dt.datetime(2024, 1, 5, 10)
+    sent = [
+        (1, at, None, "sess-1", "3", "x" * 23, None, "tiktok"), (2, at, None, "sess-2", "3", "x" * 24, None, "tiktok"),
+        (3, at, None, "sess-3", "3", "1", None, "p" * 25), (4, at, "respostas", "sess-4", "99999999999", "", '{"a":1,"a":2}', None),
+        (5, at, "respostas", "sess-5", "7", "", '{"a":1,"a":2}', None),
+    ]
+    spark.createDataFrame(sent, schemas.PING).write.parquet(source)
+    for _ in range(2):
+        stream = st.file_stream(spark, source, spark.read.parquet(source).schema)
+        st.ingest(stream, target, str(tmp_path / "position"), rejects=rejects).awaitTermination()
+    kept = {r.id: r for r in spark.read.parquet(target).collect()}
+    assert set(kept) == {1, 5} and kept[1].pagina == "tiktok" and kept[5].dados == '{"a":1,"a":2}'
+    assert {r.id: r.motivo for r in spark.read.parquet(rejects).collect()} == {2: "variante", 3: "pagina", 4: "etapa"}
+    report = st.batch_report(spark.read.parquet(target), spark.read.parquet(rejects)).first()
+    assert tuple(report) == ("pings", 2, 3, 1, 5)
+
+
 # --- functions of the dashboard ---------------------------------------------
 def test_dashboard_functions(spark):
     board = Dashboard(
