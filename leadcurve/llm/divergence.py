@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadcurve.llm.blocks import IS_SPACE, Block, blocks, sorted_sets, windows
-from leadcurve.llm.work import Work, ship
+from leadcurve.llm.work import Work, ship, tidy
 
 SYMBOLS = b"#*$%&|<>"
 #: Classes of characters: small, capital, other script or accented, digit, blank, line feed, punctuation, symbol, rest.
@@ -135,7 +135,7 @@ def language_references(docs: DataFrame, share: float = COMMON_SHARE) -> list[tu
     """
     work = Work(docs.sparkSession, "references")
     ship(docs.sparkSession)
-    parts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null").mapInArrow(_count_corpus, "lang string, kind int, key bigint, n bigint")
+    parts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null").mapInArrow(tidy(_count_corpus), "lang string, kind int, key bigint, n bigint")
     counts = work.keep(parts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "counts")
     totals = counts.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
     common = counts.where("kind = 1").join(totals, "lang").where(F.col("n") >= share * F.col("total")).select("lang", "kind", "key", "n")
@@ -221,4 +221,4 @@ def judge(
                 arrays += [pa.array(a) for a in (failed, far[0], far[1], ~(failed | odd))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *FEATURES, "base_failed", "class_distance", "word_distance", "kept"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from leadcurve.llm.blocks import Block, blocks, scramble, sorted_sets, windows
 from leadcurve.llm.components import components
 from leadcurve.llm.marks import marked_rows
-from leadcurve.llm.work import Work, ship
+from leadcurve.llm.work import Work, ship, tidy
 
 WORDS = 5
 #: The similarity from which documents link, as a fraction: 3 / 4.
@@ -148,8 +148,8 @@ def _frequencies(docs: DataFrame, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "key", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([squares], pa.int64()), pa.array([total], pa.int64())], ["bucket", "key", "n"])
 
-    dealt = docs.mapInArrow(deal, "bucket int, c0 binary").repartition("bucket")
-    return dealt.mapInArrow(count, "bucket int, key bigint, n bigint")
+    dealt = docs.mapInArrow(tidy(deal), "bucket int, c0 binary").repartition("bucket")
+    return dealt.mapInArrow(tidy(count), "bucket int, key bigint, n bigint")
 
 
 def _postings(docs: DataFrame, bits: int, frequent: np.ndarray, counts: np.ndarray, least: int) -> DataFrame:
@@ -177,7 +177,7 @@ def _postings(docs: DataFrame, bits: int, frequent: np.ndarray, counts: np.ndarr
                 out = _dealt(bucket, key, keys[owner], n[owner].astype(wide), place.astype(wide))
                 yield out.append_column("width", pa.array(np.full(out.num_rows, np.dtype(wide).itemsize, np.int32)))
 
-    return docs.mapInArrow(deal, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary, width int").repartition("bucket")
+    return docs.mapInArrow(tidy(deal), "bucket int, c0 binary, c1 binary, c2 binary, c3 binary, width int").repartition("bucket")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -364,10 +364,10 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, work: Work, n
     """Pairs (a, b) of sets that are similar, counted on the whole sets."""
     named = pairs.selectExpr("a as node").union(pairs.selectExpr("b as node")).distinct()
     first = nodes.join(named, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = work.keep(_texts_of(docs, first).mapInArrow(_sets, "node bigint, members binary"), f"{name}-sets")
+    sets = work.keep(_texts_of(docs, first).mapInArrow(tidy(_sets), "node bigint, members binary"), f"{name}-sets")
     with_x = pairs.join(sets.selectExpr("node as a", "members as x"), "a")
     with_y = with_x.join(sets.selectExpr("node as b", "members as y"), "b").select("a", "b", "x", "y")
-    links = work.keep(with_y.mapInArrow(_similar, "a bigint, b bigint"), f"{name}-links")
+    links = work.keep(with_y.mapInArrow(tidy(_similar), "a bigint, b bigint"), f"{name}-links")
     work.drop(f"{name}-sets")
     return links
 
@@ -430,7 +430,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     touched = work.keep(placed.join(first, "root").selectExpr("doc_id as own_id", "node as own_node", "root", "doc_id <=> first_id as stays").distinct(), "touched")
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     marked = marked_rows(docs.select(row, F.expr("cast(row.doc_id as bigint) as doc_id"), F.expr("cast(row.text as string) as text")), touched.selectExpr("own_id as doc_id"))
-    keyed = marked.where("marked").mapInArrow(_with_node, T.StructType([marked.schema["row"], marked.schema["doc_id"], marked.schema["text"], T.StructField("node", T.LongType())]))
+    keyed = marked.where("marked").mapInArrow(tidy(_with_node), T.StructType([marked.schema["row"], marked.schema["doc_id"], marked.schema["text"], T.StructField("node", T.LongType())]))
     decided = keyed.join(touched, F.expr("doc_id <=> own_id and node = own_node"), "left").where("root is null or stays")
     once = decided.where("root is not null").withColumn("turn", F.expr("row_number() over (partition by root order by node, xxhash64(text), to_json(row))")).where("turn = 1")
     return marked.where("not marked").select("row.*").unionAll(decided.where("root is null").select("row.*")).unionAll(once.select("row.*"))
@@ -451,7 +451,7 @@ def _placed(docs: DataFrame, work: Work) -> DataFrame:
     bits = max(4, min(24, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
     docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
     texts = docs.select("text").where("text is not null")
-    rows = work.keep(docs.mapInArrow(_profile, "doc_id bigint, node bigint, n bigint"), "rows")
+    rows = work.keep(docs.mapInArrow(tidy(_profile), "doc_id bigint, node bigint, n bigint"), "rows")
     nodes = rows.where("n > 0")
 
     frequencies = work.keep(_frequencies(texts, bits), "frequencies")
@@ -463,12 +463,12 @@ def _placed(docs: DataFrame, work: Work) -> DataFrame:
     boundary = choose_boundary({r.n: r.sets for r in sizes.collect()}, squares / max(total, 1))
 
     small = nodes.where(f"n <= {boundary}").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    subsets = work.keep(_texts_of(docs, small).mapInArrow(_subsets(boundary), "key bigint, node bigint, side int").distinct(), "subsets")
+    subsets = work.keep(_texts_of(docs, small).mapInArrow(tidy(_subsets(boundary)), "key bigint, node bigint, side int").distinct(), "subsets")
     links = work.keep(_small_links(subsets), "small-links")
 
     least = -(-SHARED * (boundary + 1) // OF)
     postings = _postings(texts, bits, frequent, counts, least)
-    met, tried, turn = work.keep(postings.mapInArrow(_stars(boundary), MET), "met-0"), None, 0
+    met, tried, turn = work.keep(postings.mapInArrow(tidy(_stars(boundary)), MET), "met-0"), None, 0
     while True:
         fresh = met.where("a is not null").select("a", "b").distinct()
         fresh = work.keep(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
@@ -480,7 +480,7 @@ def _placed(docs: DataFrame, work: Work) -> DataFrame:
             break
         turn += 1
         lists = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("bucket", "key")
-        met = work.keep(lists.mapInArrow(_across(boundary, turn), MET), f"met-{turn}")
+        met = work.keep(lists.mapInArrow(tidy(_across(boundary, turn)), MET), f"met-{turn}")
         work.drop(f"met-{turn - 1}")
 
     return work.keep(rows.join(roots, "node", "left").selectExpr("doc_id", "node", "n", "coalesce(root, node) as root"), "placed")

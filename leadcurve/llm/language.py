@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadcurve.llm.blocks import sorted_sets
-from leadcurve.llm.work import ship
+from leadcurve.llm.work import ship, tidy
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
@@ -25,7 +25,7 @@ LANDMARKS_PER_LANG = 32
 MAX_LETTERS = 200
 RIDGE = 1e-3
 BATCH = 256
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 SCHEMA = "doc_id bigint, lang_pred string, score double"
 
 
@@ -172,19 +172,20 @@ def learn(docs: DataFrame, **options) -> Model:
 
 def _predicted(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     """Predictions for a column of texts, some at a time."""
-    texts = [t or "" for t in column.to_pylist()]
     langs: list[str] = []
     scores = [np.zeros(0)]
-    at = 0
-    while at < len(texts):
-        to, chars = at + 1, len(texts[at])
-        while to < len(texts) and to - at < BATCH and chars + len(texts[to]) <= BATCH_CHARS:
-            chars += len(texts[to])
-            to += 1
-        found, score = model.predict(texts[at:to])
-        langs += found
-        scores.append(score)
-        at = to
+    for start in range(0, len(column), BATCH):
+        texts = [t or "" for t in column.slice(start, BATCH).to_pylist()]
+        at = 0
+        while at < len(texts):
+            to, chars = at + 1, len(texts[at])
+            while to < len(texts) and chars + len(texts[to]) <= BATCH_CHARS:
+                chars += len(texts[to])
+                to += 1
+            found, score = model.predict(texts[at:to])
+            langs += found
+            scores.append(score)
+            at = to
     return langs, np.concatenate(scores)
 
 
@@ -209,7 +210,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores = _predicted(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA)
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
@@ -231,4 +232,4 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float) -> DataFram
             keep = np.array([found != UNDETERMINED for found in langs], bool) & (scores >= min_score)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

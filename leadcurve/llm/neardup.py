@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadcurve.llm.components import components
-from leadcurve.llm.work import Work, ship
+from leadcurve.llm.work import Work, ship, tidy
 
 THRESHOLD = 0.9
 #: Centroids are fitted on so many vectors at most, those with the lowest hashes.
@@ -169,12 +169,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, reach: flo
     drawn = distinct.where(F.expr(f"pmod(vid, 1000003) < {share * 1000003}")).orderBy("vid").limit(SAMPLE).select("vector").collect()
     centres = spherical_kmeans(unit_rows(pa.array([r.vector for r in drawn], pa.list_(pa.float64())), size), cells) if drawn else np.zeros((1, size))
     shared = spark.sparkContext.broadcast(centres)
-    assigned = work.keep(distinct.select("vid", "copies", "vector").mapInArrow(_assign(shared, size, threshold, reach), "vid bigint, copies bigint, vector array<double>, own int, cells array<int>"), "assigned")
+    assigned = work.keep(distinct.select("vid", "copies", "vector").mapInArrow(tidy(_assign(shared, size, threshold, reach)), "vid bigint, copies bigint, vector array<double>, own int, cells array<int>"), "assigned")
     parts = work.keep(assigned.groupBy("own").count().selectExpr("own as cell", f"cast(ceil(count / {BLOCK}D) as int) as parts"), "parts")
     owned = assigned.join(parts, F.expr("own = cell")).selectExpr("cell", "cast(pmod(xxhash64(vid), parts) as int) as part", "0 as passing", "vid", "copies", "vector")
     passing = assigned.selectExpr("explode(cells) as cell", "vid", "copies", "vector").join(parts, "cell").selectExpr("cell", "explode(sequence(0, parts - 1)) as part", "1 as passing", "vid", "copies", "vector")
     dealt = owned.unionByName(passing).repartition("cell", "part").sortWithinPartitions("cell", "part", "passing")
-    found = work.keep(dealt.mapInArrow(_compare(size, threshold), "vid bigint, n_links bigint, a bigint, b bigint"), "found")
+    found = work.keep(dealt.mapInArrow(tidy(_compare(size, threshold)), "vid bigint, n_links bigint, a bigint, b bigint"), "found")
     counts = found.where("vid is not null").groupBy("vid").agg(F.max("n_links").alias("n_links"))
     roots = components(found.where("a is not null").select("a", "b"), work, "links")
     grouped = distinct.select("vid", "k2", "vec_id").join(roots, F.expr("vid = node"), "left").selectExpr("vid", "k2", "vec_id", "coalesce(root, vid) as root")

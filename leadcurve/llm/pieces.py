@@ -6,17 +6,21 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leadcurve.llm.work import ship
+from leadcurve.llm.work import ship, tidy
 
 MARK = "▁"
 #: A marked word: a run of markers and what follows up to the next marker.
 MARKED_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: Entries of a task's table; a full table is emptied and filled again.
-TABLE_SIZE = 400_000
+TABLE_SIZE = 150_000
+#: Rows are passed on when they hold so many tokens.
+OUT_TOKENS = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -57,6 +61,27 @@ class WordTable:
         return [self.rows[w] for w in words]
 
 
+_KINDS = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+
+
+def _add(out: dict[str, list], rows: list[tuple[list[int], str, str]], end: int) -> None:
+    """Appends one document, given its words' rows, to the columns asked for."""
+    out["n_tokens"].append(sum(len(r[0]) for r in rows) + 1)
+    if "ids" in out:
+        out["ids"].append(np.fromiter(chain.from_iterable([*(r[0] for r in rows), [end]]), np.int32))
+    if "ids_sha256" in out:
+        out["ids_sha256"].append(_sha256(" ".join([*(r[1] for r in rows), str(end)])))
+    decoded = " ".join([r[2] for r in rows])  # a word's own marker became the space
+    if "decoded" in out:
+        out["decoded"].append(decoded)
+    if "decoded_sha256" in out:
+        out["decoded_sha256"].append(_sha256(decoded))
+
+
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def encode(docs: DataFrame, model: str, want: tuple[str, ...] = ("ids", "decoded", "ids_sha256", "decoded_sha256")) -> DataFrame:
     """Every whole text as the library encodes it, with an end id only, and decoded again.
 
@@ -79,22 +104,14 @@ def encode(docs: DataFrame, model: str, want: tuple[str, ...] = ("ids", "decoded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(model)
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("n_tokens", *want)}
-            for text in batch.column("text"):
+            first, out, tokens = 0, {c: [] for c in ("n_tokens", *want)}, 0
+            for at, text in enumerate(batch.column("text")):
                 rows = table.look_up(text.as_py() or "")
-                out["n_tokens"].append(sum(len(r[0]) for r in rows) + 1)
-                if "ids" in out:
-                    out["ids"].append([i for r in rows for i in r[0]] + [table.end])
-                if "ids_sha256" in out:
-                    decimals = " ".join([*(r[1] for r in rows), str(table.end)])
-                    out["ids_sha256"].append(hashlib.sha256(decimals.encode()).hexdigest())
-                decoded = " ".join([r[2] for r in rows])  # a word's own marker became the space
-                if "decoded" in out:
-                    out["decoded"].append(decoded)
-                if "decoded_sha256" in out:
-                    out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-            kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-            columns = [pa.array(out[c], kinds.get(c, pa.string())) for c in out]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *out])
-
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, schema)
+                _add(out, rows, table.end)
+                tokens += out["n_tokens"][-1]
+                if tokens > OUT_TOKENS or at == batch.num_rows - 1:
+                    columns = [pa.array(out[c], _KINDS.get(c, pa.string())) for c in out]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, at + 1 - first), *columns], ["doc_id", *out])
+                    first, out, tokens = at + 1, {c: [] for c in out}, 0
+
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(tidy(run), schema)

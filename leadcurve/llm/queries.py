@@ -79,38 +79,3 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_sentencepiece": op10_sentencepiece,
 }
-
-MIXING_SQL = """
-with sized as (
-    select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-           ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '') || '|' || coalesce(text, '')), 1, 15))::bigint as hash
-    from documents
-), sources as (
-    select source, sum(size)::bigint as s, 2.0::double * sum(size) as cap,
-           [5.0::double, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as w
-    from sized group by source
-), tried as (
-    -- the level at which the sources before this one in the order of cap / w are full
-    select a.source,
-           (select 1.5::double * sum(s) - coalesce(sum(cap) filter (where (cap / w, coalesce('=' || source, 'null')) < (a.cap / a.w, coalesce('=' || a.source, 'null'))), 0) from sources)
-           / (select sum(w) filter (where (cap / w, coalesce('=' || source, 'null')) >= (a.cap / a.w, coalesce('=' || a.source, 'null'))) from sources) as level,
-           a.cap / a.w as turn
-    from sources a
-), targets as (
-    select source, s, least(cap, w * coalesce((select max(level) from tried where level <= turn), 1e300)) as target from sources
-), plans as (
-    select *, case when s > 0 then floor(target / s) else 0 end::bigint as every,
-           target - (case when s > 0 then floor(target / s) else 0 end) * s as rest
-    from targets
-), steps as (
-    select source, hash, sum(size) as here, sum(sum(size)) over (partition by source order by hash) as upto
-    from sized group by source, hash
-)
-select d.doc_id, d.size, p.s as source_size, p.target,
-       (d.size * (p.every + case when p.rest > 0 and (h.upto <= p.rest or h.upto - h.here < p.rest and h.upto - p.rest <= p.rest - (h.upto - h.here)) then 1 else 0 end))::bigint as taken
-from sized d
-join plans p on d.source is not distinct from p.source
-join steps h on d.source is not distinct from h.source and d.hash = h.hash
-"""
-
-ORACLE_SQL = {"op3_mixing": MIXING_SQL}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadcurve.llm.blocks import IS_SPACE, Block, blocks, scramble
-from leadcurve.llm.work import Work, ship
+from leadcurve.llm.work import Work, ship, tidy
 
 BUCKETS = 10_000
 SMOOTHING = 1.0
@@ -70,7 +70,7 @@ def fit(docs: DataFrame, targets: list[int], buckets: int = BUCKETS) -> np.ndarr
                 counts[1] += np.bincount(found[wanted[block.first : block.first + block.count][text]], minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), *map(pa.array, counts)], ["bucket", "raw", "target"])
 
-    sums = docs.select("doc_id", "text").mapInArrow(count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
+    sums = docs.select("doc_id", "text").mapInArrow(tidy(count), "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for bucket, r, t in sums:
         raw[bucket], target[bucket] = r, t
@@ -106,7 +106,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, length: int = LENGTH, seed: str =
                 )
 
     draw = F.expr(f"(pmod(xxhash64('{seed}', doc_id, text), {1 << 52}L) + 0.5D) / {1 << 52}D").alias("draw")
-    return docs.select("doc_id", "text", draw).mapInArrow(run, "doc_id bigint, n_grams bigint, log_weight double, key bigint")
+    return docs.select("doc_id", "text", draw).mapInArrow(tidy(run), "doc_id bigint, n_grams bigint, log_weight double, key bigint")
 
 
 def kth_largest(keys: DataFrame, k: int) -> int | None:

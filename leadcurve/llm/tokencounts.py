@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadcurve.llm.work import ship
+from leadcurve.llm.work import ship, tidy
 
 RULES = ("first", "most")
 SCHEMA = (
@@ -103,7 +103,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, fields: tuple[s
                 yield _rows(parts)
 
     columns = [F.col("doc_id").cast("bigint").alias("doc_id"), *[F.col(c).cast("string").alias(f"field{i}") for i, c in enumerate(names)]]
-    return docs.select(*columns).mapInArrow(run, SCHEMA)
+    return docs.select(*columns).mapInArrow(tidy(run), SCHEMA)
 
 
 def _sections(doc_id, values, names, encoding, length, rule):

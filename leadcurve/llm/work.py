@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from leadcurve.sources.tables import work_folder
@@ -47,3 +52,24 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(package.rglob("*.py")):
             archive.write(file, file.relative_to(package.parent))
     context.addPyFile(str(target))
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over Arrow batches that gives freed memory back to the system when it ends.
+
+    Python workers live on after a task, beside an executor whose memory
+    limit covers them; what an allocator keeps would add up over operators.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied

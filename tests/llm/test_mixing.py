@@ -2,11 +2,10 @@ import hashlib
 import random
 
 import pytest
-from compare import duck, duck_rows, spark_rows
 from paths import SF
 from helpers import frame, words
 
-from leadcurve.llm import mixing, queries
+from leadcurve.llm import mixing
 
 
 def plain_targets(sizes, weights=(5, 2, 1)):
@@ -87,8 +86,3 @@ def test_documents_as_often_as_taken(spark):
     counts = {r.doc_id: r["count"] for r in copies.groupBy("doc_id").count().collect()}
     assert counts == {i: n for i, n in taken.items() if n}
     assert {tuple(r) for r in copies.collect()} <= set(rows)
-
-
-def test_sql(spark):
-    df = queries.QUERIES["op3_mixing"](spark, SF)
-    assert spark_rows(df) == duck_rows(duck(SF), queries.ORACLE_SQL["op3_mixing"])

@@ -8,7 +8,7 @@ from test_mixing import plain_mix
 
 import __spark_entry__ as contract
 import corpus_pipeline as cp
-from leadcurve.llm import language, pii, queries
+from leadcurve.llm import language, oracle, pii, queries
 
 
 def test_plain_version(spark, tmp_path):
@@ -57,7 +57,7 @@ def test_registered():
     names = contract.queries()
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert set(queries.QUERIES) <= set(names) and "pipeline" in names
-    assert set(queries.ORACLE_SQL) <= set(contract.oracle_sql())
+    assert set(oracle.ORACLE_SQL) <= set(queries.QUERIES) and set(oracle.ORACLE_SQL) <= set(contract.oracle_sql())
 
 
 def test_words_are_those_of_bytes_split():
