@@ -68,3 +68,30 @@ def test_odd_vectors(spark):
     assert nd.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     repeated = nd.near_duplicates(spark.createDataFrame([(1, [1.0]), (1, [1.0]), (None, [1.0]), (None, None)], SCHEMA)).collect()
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in repeated), key=repr) == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (None, 0, None, True)], key=repr)
+
+
+def test_low_rank_vectors_in_many_dimensions(spark):
+    """Partners differ within the few dimensions that the vectors have; both ends count a link."""
+    rng = np.random.default_rng(5)
+    basis = np.linalg.qr(rng.normal(size=(384, 12)))[0].T
+    base = rng.normal(size=(600, 12))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    across = rng.normal(size=base.shape)
+    across -= (across * base).sum(1, keepdims=True) * base
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    cosine = rng.uniform(0.905, 0.95, (600, 1))
+    vectors = np.concatenate((base, cosine * base + np.sqrt(1 - cosine**2) * across)) @ basis
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), per_cell=20).collect()
+    degree, component = plain(rows)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (degree[i], component[i]) for i in degree}
+
+
+def test_cells_in_groups(spark, monkeypatch):
+    """Groups of one cell and of several, and cells in parts, count every link once for each end."""
+    rows = clustered(4, 500, 24, 0.3)
+    degree, component = plain(rows)
+    for block in (3, 20, 1500):
+        monkeypatch.setattr(nd, "BLOCK", block)
+        got = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), per_cell=25).collect()
+        assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (degree[i], component[i]) for i in degree}
