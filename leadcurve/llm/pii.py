@@ -31,6 +31,15 @@ SYLLABLES = {
 }
 
 SECRET_WORDS = r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API_KEY)"
+#: What stands between such a word and its value; what may enclose a value, and end a sentence or a bracket after one that is not enclosed.
+SECRET_IS = rf"{SECRET_WORDS}\x5C?[\x22\x27]? ?[=:] ?"
+QUOTE = r"\x5C?[\x22\x27]"
+TAIL = r".,;)\]}>\x22\x27\x5C"
+#: To the closing quote on the line, or to the next blank. After a colon, fewer than 8 characters need a digit or a sign to be no plain word.
+SECRET_VALUE = (
+    rf"(?:(?<q>{QUOTE})(?![^\r\n]{{0,3}}?(?<!\x5C)\k<q>)[^\r\n]{{4,}}?(?<!\x5C)\k<q>"
+    rf"|(?:(?!{QUOTE})|(?<p>{QUOTE})(?![^\r\n]*?(?<!\x5C)\k<p>))(?=\S*[^\s_=*#~+/:{TAIL}-])(?:(?=\S{{8}})|(?<=[=] ?)(?=\S{{4}})|(?=\S{{4}})(?=\S*[0-9@#$%&*+^~]))\S++)"
+)
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
@@ -65,7 +74,7 @@ PATTERN = "|".join(
         r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
         _starting(
             "PpTtSsAa",
-            r"(?<![A-Za-z0-9])" + SECRET_WORDS + r"\x22? ?[=:] ?[\x22\x27]?[A-Za-z0-9+/_-]{8,512}+",
+            r"(?<![A-Za-z0-9])" + SECRET_IS + SECRET_VALUE,
             r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
         ),
         _starting(
@@ -76,11 +85,11 @@ PATTERN = "|".join(
     )
 )
 #: A text without any of these holds nothing of the above.
-HINT = "|".join(("[0-9@]", _starting("PpTtSsAa", SECRET_WORDS), _starting(r"\p{Lu}", rf"(?<!\p{{L}})(?:{_TITLE}\.? |{_KNOWN} )\p{{Lu}}")))
+HINT = "|".join(("[0-9@]", _starting("PpTtSsAa", SECRET_WORDS, "AKIA"), _starting(r"\p{Lu}", rf"(?<!\p{{L}})(?:{_TITLE}\.? |{_KNOWN} )\p{{Lu}}")))
 
 _TYPE = rf"""case
+    when m rlike r'^(?:{SECRET_IS}|AKIA[0-9A-Z]{{16}}$)' then 'secret'
     when m like '%@%' then 'email'
-    when m rlike r'^(?:{SECRET_WORDS}|AKIA[0-9A-Z]{{16}}$)' then 'secret'
     when m rlike r'^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' then 'ip'
     when m rlike r'^[A-Z]{{2}}[0-9]{{2}}' then 'iban'
     when m rlike r'^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then 'ssn'
@@ -90,7 +99,12 @@ _TYPE = rf"""case
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '')"
 _TITLE_OF = rf"regexp_extract(m, r'^{_TITLE}(?=[. ])', 0)"
-_BODY = r"regexp_extract(m, r'[A-Za-z0-9+/_-]{8,512}$', 0)"
+#: A secret without what leads to it and encloses it.
+_LEAD = rf"regexp_extract(m, r'^{SECRET_IS}(?:{QUOTE})?', 0)"
+_VALUE = rf"regexp_replace(m, r'^{SECRET_IS}', '')"
+_BODY = rf"""case when {_LEAD} = '' then m
+    when {_VALUE} rlike r'(?s)^({QUOTE}).*\1$' then substring({_VALUE}, case when left({_VALUE}, 1) = chr(92) then 3 else 2 end, length({_VALUE}) - case when left({_VALUE}, 1) = chr(92) then 4 else 2 end)
+    else regexp_extract({_VALUE}, r'(?s)^(?:{QUOTE})?(.*[^{TAIL}])', 1) end"""
 
 
 def _gender() -> str:
@@ -139,6 +153,16 @@ def _letters(source: str, keep: str, hashed: str = None) -> str:
     )
 
 
+def _secret() -> str:
+    """Every digit for a digit, letter for a letter and other sign for a sign; what parts a value stays, and the start of an access key. Long after others a longer one, as short ones may all be taken."""
+    number = "cast(conv(substring(sha2(concat_ws('|', seed, i), 256), 1, 12), 16, 10) as bigint)"
+    made = _letters("canonical", "i < 4 and canonical rlike '^AKIA[0-9A-Z]{16}$' or c rlike r'[\\s./:=_+,;()\\[\\]{}<>\\x22\\x27\\x5C-]'", number)
+    made = made.replace(" else c end)", rf" when c rlike r'\p{{Lu}}' then char(65 + {number} % 26) when c rlike r'\p{{L}}' then char(97 + {number} % 26) when c rlike r'\p{{N}}' then cast({number} % 10 as string) else substring('!#$%&*?@^~', cast({number} % 10 as int) + 1, 1) end)")
+    longer = f"case when cast(attempt as int) > 8 then substring(sha2(concat(seed, '|longer'), 256), 1, cast(attempt as int) - 4) else '' end"
+    # the seed is made once, however long the value
+    return f"get(transform(array(sha2(concat_ws('|', secret, key, attempt), 256)), seed -> concat({made}, {longer})), 0)"
+
+
 def _luhn(number: str) -> str:
     """Sum of a number's digits, every second one from the right doubled."""
     digit = f"cast(substring({number}, length({number}) - i, 1) as int)"
@@ -176,7 +200,7 @@ def _candidates(pending: DataFrame, attempt: int, secret: str) -> DataFrame:
             f"""case kind when 'email' then {email} when 'ip' then {ip} when 'phone' then {phone} when 'ssn' then {ssn}
             when 'card' then {_letters('canonical', 'i = 0')}
             when 'iban' then {_letters('canonical', 'i < 2')}
-            when 'secret' then {_letters('canonical', "i < 4 and canonical like 'AKIA%'")} {givens} {surnames} end"""
+            when 'secret' then {_secret()} {givens} {surnames} end"""
         ).alias("raw"),
     )
     # the last digit of a card and the check digits of an IBAN are right if they were
@@ -234,7 +258,9 @@ _NAMED = (
 def _replaced() -> str:
     """What stands for x.m, given the entities it names (x.keys) and surrogate_of."""
     filled, named = (e.replace("<mention>", "x.m").replace("<new>", "transform(x.keys, k -> element_at(surrogate_of, k))") for e in (_FILLED, _NAMED))
-    return f"case when get(x.keys, 0) like 'ip|%' then element_at(surrogate_of, get(x.keys, 0)) when get(x.keys, 0) rlike '^(given|surname)' then {named} else {filled} end"
+    lead, body = (e.replace("(m,", "(x.m,").replace("then m\n", "then x.m\n") for e in (_LEAD, _BODY))
+    secret = f"concat({lead}, element_at(surrogate_of, get(x.keys, 0)), substring(x.m, length({lead}) + length({body}) + 1))"
+    return f"case when get(x.keys, 0) like 'secret|%' then {secret} when get(x.keys, 0) like 'ip|%' then element_at(surrogate_of, get(x.keys, 0)) when get(x.keys, 0) rlike '^(given|surname)' then {named} else {filled} end"
 
 
 def replace_entities(docs: DataFrame, secret: str = KEY) -> DataFrame:
@@ -245,7 +271,11 @@ def replace_entities(docs: DataFrame, secret: str = KEY) -> DataFrame:
     with a known given name. A surrogate has the format of what it replaces:
     digits for digits, letters for letters, the same separators and case;
     addresses of a domain keep one domain, private networks stay private,
-    check digits stay right, a name keeps its gender and script. An entity is
+    check digits stay right, a name keeps its gender and script. A secret is
+    all that stands between its quotes, or up to the next blank without the
+    marks that end a sentence, of any length and any characters; values of
+    fewer than 4 characters, and after a colon words of fewer than 8 letters,
+    are taken for text. An entity is
     the same in all its spellings (a phone number with or without separators)
     and has the same surrogate in every document. ``surrogates`` says how
     distinctness is kept.

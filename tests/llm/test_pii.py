@@ -103,3 +103,19 @@ def test_driver_documents(spark):
         assert all(m not in new for m in planted[i])
         if not planted[i] and "token" not in old[i]:
             assert new == old[i]
+
+
+def test_whole_secrets(spark):
+    """Long, dotted and symbol-bearing values go whole; what encloses and follows them stays."""
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    secrets = [("token=", jwt, " end"), ("token=", "aB3" * 3000, ""), ("secret=", "abcdefgh$1XyZ!rest", " x"), ("password: ", "P@ssw0rd-2024", ", then"), ("password: ", "hunter2", "."), ('"api_key": "', "k.1$ two words", '", "n": 1'), ("password='", "пароль№Ключ", "'"), ("", "AKIA" + "QWERTYUIOPASDFGH", " no figure"), ('{\\"token\\": \\"', "q1.w2.e3", '\\"}')]
+    rows = [(i, a + b + c, None, None) for i, (a, b, c) in enumerate(secrets)] + [(100, 'the token: then a word, "token":"the","pos":"DT" and Password: ********', None, None), (101, f"again token={jwt}", None, None)]
+    got = texts(pii.replace_entities(frame(spark, rows)))
+    for i, (before, value, after) in enumerate(secrets):
+        assert got[i].startswith(before) and got[i].endswith(after), got[i]
+        new = got[i][len(before) : len(got[i]) - len(after)]
+        assert len(new) == len(value) and new != value
+        for part in re.findall(r"[^\W_]{5,}", value.removeprefix("AKIA")):
+            assert part not in new
+    assert got[2][7 + 8] != " " and "$1XyZ" not in got[2] and got[100] == rows[-2][1]
+    assert got[101] == f"again token={got[0][6:-4]}"
