@@ -120,12 +120,46 @@ def block_matches(docs: DataFrame, counted: DataFrame, templates=TEMPLATES, thre
     return counted_pairs.selectExpr("doc_id", "text_key", "cast(block as bigint) as block", "template", "label", "shared / n as containment").distinct()
 
 
+def wrapped_matches(docs: DataFrame, lines: DataFrame, order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Notices over several lines that no line alone holds, rows as of ``block_matches`` (``lines``); block is the line they begin on.
+
+    A text's words and line ends (with blank lines and comment marks one
+    each) are cut into overlapping pieces twice as long as the widest window.
+    Pieces that hold enough of a template's words are searched by windows of
+    half as many again as the template has words, and 4.
+    """
+    rows = template_rows(order, templates, threshold)
+    widths = [math.ceil(1.5 * len(re.findall(WORD, text.translate(str.maketrans(CAPITALS, SMALL))))) + 4 for _, text in templates]
+    step = max(widths)
+    looked_for = sorted({w for r in rows for w in r[4]})
+    listed = local_table(docs.sparkSession, "template int, label string, words array<string>, need int, width int", [(*r[:4], w) for r, w in zip(rows, widths, strict=True)])
+    wanted = "array(" + ", ".join(f"named_struct('words', {_literal(r[2])}, 'need', {r[3]})" for r in rows) + ")"
+    breaks = "length({0}) - length(replace({0}, chr(10), ''))".format
+    tokens = f"regexp_extract_all(translate(text, '{CAPITALS}', '{SMALL}'), r'{WORD}|\\n{BETWEEN}*+', 0)"
+    texts = docs.where(F.col("text").contains("\n") & F.col("text").rlike(_any_of(looked_for))).selectExpr("doc_id", "xxhash64(text) as text_key", f"{tokens} as tokens")
+    pieces = f"transform(sequence(0, greatest(size(tokens) - 1, 0), {step}), q -> named_struct('q', q, 'piece', slice(tokens, q + 1, {2 * step})))"
+    enough = f"exists(transform(array(array_intersect({_literal(order)}, x.piece)), held -> exists({wanted}, t -> size(held) >= t.need and size(array_intersect(held, t.words)) >= t.need)), y -> y)"
+    hits = texts.selectExpr("doc_id", "text_key", "tokens", f"filter({pieces}, x -> {enough}) as hits").where("size(hits) > 0")
+    counted = f"aggregate(slice(tokens, 1, x.q), 0, (n, t) -> n + {breaks('t')})"
+    hits = hits.selectExpr("doc_id", "text_key", f"explode(transform(hits, x -> named_struct('line', {counted}, 'piece', x.piece))) as x").selectExpr("doc_id", "text_key", "x.line as line", "x.piece as piece")
+    tried = hits.join(F.broadcast(listed), F.expr("size(array_intersect(piece, words)) >= need"))
+    # the last of the best windows begins with the notice's first word
+    windows = "array_max(transform(sequence(0, size(piece) - 1), p -> named_struct('shared', size(array_intersect(slice(piece, p + 1, width), words)), 'p', p)))"
+    best = tried.selectExpr("*", f"{windows} as best").where("best.shared >= need")
+    within = f"aggregate(slice(piece, {{}}), 0, (n, t) -> n + {breaks('t')})".format
+    found = best.selectExpr("doc_id", "text_key", f"cast(line + {within('1, best.p')} as bigint) as block", f"{within('best.p + 1, width')} as more", "template", "label", "best.shared / size(words) as containment")
+    found = found.groupBy("doc_id", "text_key", "block", "template", "label").agg(F.max("containment").alias("containment"), F.max("more").alias("more"))
+    alone = lines.selectExpr("doc_id as own_id", "text_key as own_key", "template as own", "block as at")
+    return found.join(alone, F.expr("text_key = own_key and template = own and doc_id <=> own_id and at between block and block + more"), "left_anti").drop("more")
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Licenses of every whole text, one row per document.
 
     Columns: doc_id, n_words, places (start word and label of every phrase),
     base_labels and labels (distinct, sorted), matches (block, label,
-    containment of every block that meets a template), score: the highest
+    containment of every line, or notice wrapped over lines, that meets a
+    template; block is its first line, from 0), score: the highest
     containment of a match, 1 for phrases without one, 0 for neither.
 
     A null or empty text has no words. Rows alike in doc_id and text share
@@ -141,7 +175,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         .selectExpr("doc_id", "text_key", "cast(size(words) as bigint) as n_words", f"array_intersect(words, {_literal(vocabulary)}) as held", f"case when has_phrase then {_places()} end as places")
     )
     counted = work.keep(counted, "counted")
-    matches = block_matches(docs, counted, templates, threshold)
+    lines = work.keep(block_matches(docs, counted, templates, threshold), "lines")
+    order = frequency_order(counted, vocabulary)
+    matches = lines.unionByName(wrapped_matches(docs, lines, order, templates, threshold))
     own = matches.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("block", "label", "containment"))).alias("matches"))
     own = own.withColumnRenamed("doc_id", "own_id").withColumnRenamed("text_key", "own_key")
     joined = counted.join(own, counted.doc_id.eqNullSafe(own.own_id) & (counted.text_key == own.own_key), "left")

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from helpers import CAPITALS, frame
 from paths import SF_CHECKED
@@ -61,3 +62,21 @@ def test_prefix_keeps_what_can_match():
     rows = li.template_rows(sorted({w for _, t in li.TEMPLATES for w in li.words_of(t)}), li.TEMPLATES, 0.9)
     for _, _, words, need, prefix in rows:
         assert len(words) - len(prefix) == need - 1
+
+
+def test_wrapped_notices(spark):
+    """Every template wrapped at any width, with comment marks, indents and blank lines, is found where it begins."""
+    rows, want = [], {}
+    for number, (label, template) in enumerate(li.TEMPLATES):
+        for k, (width, mark) in enumerate([(72, ""), (40, "# "), (24, " * "), (30, "\n// ")]):
+            body = [mark + line for line in textwrap.wrap(template, width)]
+            i = 10 * number + k
+            if len(body) > 1:
+                rows.append((i, "\n".join(["Some words before.", "", *body, "", "And some after it."]), None, None))
+                want[i] = (label, 2 if mark != "\n// " else 3)
+    rows += [(900, "word " * 3000 + "\n" + "\n".join(textwrap.wrap(li.TEMPLATES[10][1], 70)), None, None), (901, li.TEMPLATES[10][1].replace(" ", "\nnothing of the kind stands here\n"), None, None)]
+    got = {r.doc_id: r for r in li.scan(frame(spark, rows)).collect()}
+    for i, (label, line) in want.items():
+        assert label in got[i].labels and got[i].score >= 0.9, rows[i]
+        assert (line, label) in {(m.block, m.label) for m in got[i].matches}, (i, got[i].matches)
+    assert got[900].labels == ["mit"] and [m.block for m in got[900].matches] == [1] and got[901].labels == []
