@@ -24,6 +24,11 @@ LANDMARKS_PER_LANG = 32
 #: Letters that n-grams tell apart; all others are one more letter.
 MAX_LETTERS = 200
 RIDGE = 1e-3
+#: Of held-out texts all but this share must count as in a learned language, and how much more of a text may be unknown than of those.
+STRANGE_SHARE = 0.01
+STRANGE_MARGIN = 0.1
+#: Fewer held-out texts than this say nothing; then this part of a text may be unknown.
+STRANGE_LEAST, STRANGE_DEFAULT = 50, 0.9
 BATCH = 256
 BATCH_CHARS = 500_000
 SCHEMA = "doc_id bigint, lang_pred string, score double"
@@ -42,8 +47,8 @@ def _letter_table(letters: str) -> np.ndarray:
     return table
 
 
-def ngram_sets(texts: list[str], letters: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct n-grams of every text as ascending codes, their bounds, and whether a text has a letter.
+def ngrams(texts: list[str], letters: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All n-grams of every text as codes, their bounds, and whether a text has a letter.
 
     Letters count in lower case; a run of anything else is one blank, as is
     the start of a text. Every order of ``ORDERS`` has a range of codes of
@@ -72,8 +77,13 @@ def ngram_sets(texts: list[str], letters: str) -> tuple[np.ndarray, np.ndarray,
         offset += size**order
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    values, bounds = sorted_sets(np.concatenate(parts)[order], np.searchsorted(owner[order], np.arange(len(texts) + 1)))
-    return values, bounds, has_letter
+    return np.concatenate(parts)[order], np.searchsorted(owner[order], np.arange(len(texts) + 1)), has_letter
+
+
+def ngram_sets(texts: list[str], letters: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of every text as ascending codes, their bounds, and whether a text has a letter."""
+    values, bounds, has_letter = ngrams(texts, letters)
+    return *sorted_sets(values, bounds), has_letter
 
 
 @dataclass
@@ -87,26 +97,44 @@ class Model:
     sizes: np.ndarray
     projection: np.ndarray
     intercept: np.ndarray
+    #: The share of unknown n-grams up to which a text is in a learned language.
+    stray: float = STRANGE_DEFAULT
 
     def kernels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Presence kernel of every text with every landmark, by one matrix product; and whether a text has a letter."""
-        values, bounds, has_letter = ngram_sets(texts, self.letters)
-        text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        values, bounds, has_letter = ngrams(texts, self.letters)
+        return self._kernels(values, bounds), has_letter
+
+    def unknown(self, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many of every text's n-grams of two letters or more no landmark has, and how many there are."""
+        longer = values >= len(self.letters) + 2
+        sums = np.zeros((2, len(values) + 1), np.int64)
+        np.cumsum(longer & (self.features[values] < 0), out=sums[0, 1:])
+        np.cumsum(longer, out=sums[1, 1:])
+        none, all_ = sums[:, bounds[1:]] - sums[:, bounds[:-1]]
+        return none, all_
+
+    def _kernels(self, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        values, bounds = sorted_sets(values, bounds)
+        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         feature = self.features[values]
         known = feature >= 0
-        present = np.zeros((len(texts), len(self.presence)), np.float32)
+        present = np.zeros((len(bounds) - 1, len(self.presence)), np.float32)
         present[text[known], feature[known]] = 1
         scale = np.sqrt(np.maximum(np.diff(bounds), 1)[:, None] * self.sizes[None, :])
-        return (present @ self.presence) / scale, has_letter
+        return (present @ self.presence) / scale
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        kernels, has_letter = self.kernels(texts)
-        margins = kernels @ self.projection + self.intercept
+        values, bounds, has_letter = ngrams(texts, self.letters)
+        none, of = self.unknown(values, bounds)
+        # two standard deviations more, as a short text has few n-grams
+        known = has_letter & (none <= self.stray * of + 2 * np.sqrt(self.stray * (1 - self.stray) * of))
+        margins = self._kernels(values, bounds) @ self.projection + self.intercept
         best = margins.argmax(1)
         score = np.clip((1 + margins[np.arange(len(texts)), best]) / 2, 0, 1)
-        return [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best, has_letter, strict=True)], np.where(has_letter, score, 0.0)
+        return [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best, known, strict=True)], np.where(known, score, 0.0)
 
 
 def fit(sample: list[tuple[str, str]], landmarks_per_lang: int = LANDMARKS_PER_LANG, ridge: float = RIDGE) -> Model:
@@ -141,6 +169,20 @@ def fit(sample: list[tuple[str, str]], landmarks_per_lang: int = LANDMARKS_PER_L
     x, y = mapped - centre, target - middle
     weights = np.linalg.solve((x * w[:, None]).T @ x + ridge * np.eye(x.shape[1]), (x * w[:, None]).T @ y)
     model.projection, model.intercept = root @ weights, middle - centre @ weights
+    # texts that are no landmarks are held out from what counts as known
+    seen: Counter = Counter()
+    held: dict[str, list[str]] = {}
+    for lang, text in sample:
+        seen[lang] += 1
+        if seen[lang] > landmarks_per_lang:
+            held.setdefault(lang, []).append(text)
+    if sum(map(len, held.values())) >= STRANGE_LEAST:
+        shares = []
+        for own in held.values():
+            counts = [model.unknown(*ngrams(own[i : i + BATCH], alphabet)[:2]) for i in range(0, len(own), BATCH)]
+            none, of = (np.concatenate(x) for x in zip(*counts, strict=True))
+            shares.append(np.quantile(none / np.maximum(of, 1), 1 - STRANGE_SHARE))
+        model.stray = min(float(max(shares)) + STRANGE_MARGIN, 0.9)
     return model
 
 
@@ -198,7 +240,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     one for the languages' regressions. The language with the highest value
     wins, the first by name of equals; score is that value taken from -1..1
     to 0..1. A null text, or one without a letter, is ``und`` with score 0,
-    as is every text if nothing was learned. Repeated rows give repeated
+    as is one with more n-grams that no landmark has than held-out labelled
+    texts allow (another script or language, encoded data, random letters),
+    and every text if nothing was learned. Repeated rows give repeated
     rows; only doc_id and text are read.
     """
     spark = docs.sparkSession

@@ -1,6 +1,9 @@
+import base64
+
 import numpy as np
 from helpers import frame
 from paths import SF, SF_CHECKED
+from pyspark.sql import functions as F
 
 from leadcurve.llm import language, queries
 
@@ -63,3 +66,20 @@ def test_very_long_text(spark):
     docs = frame(spark, rows)
     found = {r.doc_id: r.lang_pred for r in language.identify(docs, language.learn(docs)).collect()}
     assert found == {0: "en", 1: "de", 7: "en", 8: "de"}
+
+
+def test_strange_texts_go(spark):
+    """Unlearned scripts, gibberish and encoded data go with any number of languages; clean texts stay."""
+    docs = spark.read.parquet(f"{SF_CHECKED}/documents.parquet")
+    rng = np.random.default_rng(1)
+    strange = ["Это предложение написано на русском языке", "これは日本語の文章です。残ってはいけません。", "語", rng.bytes(300).hex(), base64.b64encode(rng.bytes(300)).decode()]
+    strange += [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(k)) for k in (10, 200)]
+    rows = frame(spark, [(-1 - i, t, "en", "s") for i, t in enumerate(strange)])
+    for learned in (docs, docs.where("lang in ('en', 'de')"), docs.withColumn("lang", F.expr("concat(lang, doc_id % 2)"))):
+        model = language.learn(learned)
+        kept = language.keep_identified(docs.select("doc_id", "text", "lang", "source").unionByName(rows), model, 0.25)
+        ids = {r.doc_id for r in kept.select("doc_id").collect()}
+        assert not [strange[-1 - i][:40] for i in ids if i < 0]
+        own = {r.doc_id for r in docs.where("text rlike '[A-Za-z]'").join(learned.where("lang is not null").select("doc_id").distinct(), "doc_id").select("doc_id").collect()}
+        if len(model.langs) <= 4:
+            assert len(own - ids) <= 0.005 * len(own)
