@@ -57,9 +57,12 @@ class Block:
         self.first, self.data, self.starts = first, data, starts
         self.count = len(starts) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end of every word, and the number of words before each text (one more entry than texts)."""
-        solid = ~IS_SPACE[self.data]
+    def words(self, parts: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of every word, and the number of words before each text (one more entry than texts).
+
+        ``parts`` says of each byte whether it parts words.
+        """
+        solid = ~parts[self.data]
         before = np.empty(len(solid), bool)
         before[:1] = False
         before[1:] = solid[:-1]

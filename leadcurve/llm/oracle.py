@@ -116,9 +116,30 @@ select d.doc_id, len(d.w)::bigint as n_words,
 from texts d
 """
 
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+SEARCH_SQL = f"""
+with texts as (select row_number() over () as doc, doc_id, regexp_extract_all({_LOWER("text")}, '{_TERM}') as w from documents),
+queries as (
+    select item, item_id, unnest(list_distinct(regexp_extract_all({_LOWER("text")}, '{_TERM}'))) as term
+    from (select row_number() over () as item, * from benchmark)
+), counts as (select count(*)::bigint as docs, sum(len(w))::bigint as words from texts where len(w) > 0),
+held as (
+    select doc, term, count(*)::bigint as tf from (select doc, unnest(w) as term from texts) where term in (select term from queries) group by doc, term
+), weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from held, counts group by term, docs),
+measured as (select doc, doc_id, 10 + (90 * len(w)::bigint * docs) // words as m from texts, counts where len(w) > 0),
+scored as (
+    select q.item, q.item_id, m.doc_id, h.doc, sum(w.w * ((1000000000 * h.tf) // (1000 * h.tf + 8 * m.m)))::bigint as score
+    from queries q join held h on h.term = q.term join weights w on w.term = q.term join measured m on m.doc = h.doc
+    group by q.item, q.item_id, m.doc_id, h.doc
+), ranked as (select *, row_number() over (partition by item order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""
+
 ORACLE_SQL = {
     "op3_mixing": MIXING_SQL,
     "op6_jaccard": JACCARD_SQL,
     "op8_embeddings": EMBEDDINGS_SQL,
     "op9_licenses": LICENSES_SQL,
+    "op11_search": SEARCH_SQL,
 }

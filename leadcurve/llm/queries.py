@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadcurve.llm import divergence, jaccard, language, licenses, mixing, neardup, pieces, pii, resampling, tokencounts, whitening
+from leadcurve.llm import divergence, jaccard, language, licenses, mixing, neardup, pieces, pii, resampling, search, tokencounts, whitening
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ("ids_sha256", "decoded_sha256"))
 
 
+def op11_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
@@ -82,5 +86,6 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_licenses": op9_licenses,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_search": op11_search,
     "op13_whitening": op13_whitening,
 }

@@ -1,0 +1,106 @@
+"""Search by trees against scoring every pair."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from helpers import CAPITALS, frame, near_copies
+
+from leadcurve.llm import search
+
+DOCS, ITEMS = "doc_id bigint, text string", "item_id bigint, text string"
+
+
+def plain(docs, items, k=10):
+    held = [(i, Counter(search.TERM.findall((t or "").translate(CAPITALS)))) for i, t in docs]
+    held = [(i, c, sum(c.values())) for i, c in held if c]
+    n, total = len(held), sum(x[2] for x in held)
+    df = Counter(t for _, c, _ in held for t in c)
+    out = []
+    for item, text in items:
+        terms = set(search.TERM.findall((text or "").translate(CAPITALS)))
+        weights = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) for t in terms}
+        scored = []
+        for i, c, length in held:
+            m = 10 + 90 * length * n // total
+            scored.append((-sum(w * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t, w in weights.items() if t in c), i is not None, i))
+        scored = sorted(s for s in scored if s[0] < 0)[:k]
+        out += [(item, rank, i, -s) for rank, (s, _, i) in enumerate(scored, 1)]
+    return sorted(out, key=repr)
+
+
+def found(spark, docs, items, k=10):
+    df = search.search(frame(spark, docs, DOCS), frame(spark, items, ITEMS), k)
+    assert df.dtypes == [("item_id", "bigint"), ("rank", "int"), ("doc_id", "bigint"), ("score", "bigint")]
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.fixture
+def small_trees(monkeypatch):
+    """Many nodes, blocks and gatherings out of few rows."""
+    for name, value in {"LEAF": 3, "BRANCH": 4, "FAN": 2, "GATHER": 40, "ITEMS": 7}.items():
+        monkeypatch.setattr(search, name, value)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_pair(spark, seed, small_trees):
+    rng = random.Random(seed)
+    texts = near_copies(seed, groups=20, copies=8)
+    docs = list(texts.items())
+    items = [(i, " ".join(rng.choice(docs)[1].split()[: rng.randint(1, 30)])) for i in range(20)]
+    assert found(spark, docs, items) == plain(docs, items)
+    assert found(spark, docs, items, 3) == plain(docs, items, 3)
+
+
+def test_ties_and_copies(spark, small_trees):
+    docs = [(i, "the same few words") for i in range(300, 0, -1)] + [(5, "the same few words")] * 4 + [(900 + i, f"other {i}") for i in range(30)]
+    items = [(1, "few words"), (2, "other"), (2, "other"), (3, "7")]
+    result = found(spark, docs, items)
+    assert result == plain(docs, items)
+    assert [r[2] for r in result if r[0] == 1].count(5) == 5
+
+
+def test_strange_texts(spark):
+    docs = [(1, None), (2, ""), (3, "  ..,"), (None, "Año_2024: ÄRGER ärger"), (4, "aÑo 2024"), (5, "x " * 60_000 + "2024"), (6, "K k"), (7, "İ i")]
+    items = [(1, "AÑO año 2024"), (None, "ÄRGER"), (2, None), (3, "..."), (4, "nowhere"), (5, "x"), (6, "k k İ")]
+    assert found(spark, docs, items) == plain(docs, items)
+
+
+def test_empty_tables(spark):
+    assert found(spark, [], [(1, "a")]) == []
+    assert found(spark, [(1, "a")], []) == []
+    assert found(spark, [(1, None)], [(1, "a")]) == []
+
+
+def test_extra_columns(spark):
+    docs = frame(spark, [(1, "a b", "q", 3), (2, "a", None, None)], f"{DOCS}, item string, rank int")
+    items = frame(spark, [(7, "a", 1)], f"{ITEMS}, doc_id int")
+    assert [(r.item_id, r["rank"], r.doc_id) for r in search.search(docs, items).orderBy("rank").collect()] == [(7, 1, 2), (7, 2, 1)]
+
+
+def test_products_of_many_terms_stay_whole():
+    rng = np.random.default_rng(1)
+    c, w = rng.integers(900_000, 1_000_000, (2, search.EXACT + 5)), rng.integers(20_000, 28_000, (search.EXACT + 5, 1))
+    exact = [[sum(int(a) * int(b) for a, b in zip(row, w[:, 0], strict=True))] for row in c]
+    assert search._product(c.astype(float), w.astype(float)).tolist() == exact
+
+
+def test_bounds_leave_out_most_pairs(spark, monkeypatch):
+    """Pairs scored after the first look, of rows whose items have documents of their own."""
+    docs = [(i, f"common words of all topic{i // 4} detail{i // 4} part{i % 4}") for i in range(2000)]
+    items = search.item_block([(i, search.terms_of(f"common topic{i} detail{i}")) for i in range(40)])
+    gathered = search.Gathered(items)
+    batch = frame(spark, docs, DOCS).toArrow().combine_chunks().to_batches()[0]
+    rows = [r for b in gathered.add(batch) for r in b.to_pylist()]
+    rows += gathered.leaves().to_pylist()
+    df = np.bincount([t for r in rows for t in r["terms"]], minlength=len(items.vocabulary))
+    trees = search.Trees(items, 2000, sum(r["words"] for r in rows), np.array([search.weight(2000, int(d)) for d in df], float), np.zeros(40))
+    branch = [search.Leaf(r, trees) for r in rows if r["doc_ids"]]
+    maxima, levels, best = np.stack([x.maxima(len(df)) for x in branch]), trees.levels(), search.Best(trees.floor, 4)
+    search.first_look(branch, maxima, levels, best)
+    scored = []
+    monkeypatch.setattr(search.Leaf, "scores", lambda self, w, f=search.Leaf.scores: scored.append(w.shape[1]) or f(self, w))
+    search.descend(branch, maxima, levels, items.parents, best)
+    assert sum(scored) < 0.1 * 40 * len(branch)
