@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadcurve.llm import divergence, jaccard, language, licenses, mixing, neardup, pieces, pii, resampling, search, tokencounts, whitening
+from leadcurve.llm import divergence, extraction, jaccard, language, licenses, mixing, neardup, pieces, pii, resampling, search, tokencounts, whitening
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op11_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract(table(spark, folder, "pages"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
@@ -87,5 +91,6 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_search": op11_search,
+    "op12_extraction": op12_extraction,
     "op13_whitening": op13_whitening,
 }
