@@ -22,8 +22,8 @@ def test_plain_version(spark, tmp_path):
     model = language.learn(docs)
     texts = {}
     for i, text, *_ in rows:
-        (lang,), (score,) = model.predict([text or ""])
-        if lang != "und" and score >= cp.MIN_LANGUAGE_SCORE:
+        _, _, (known,) = model.predict([text or ""])
+        if known:
             texts[i] = text
     stay = set(components(texts, alike(texts)).values())
     kept = docs.where(docs.doc_id.isin(sorted(stay)))
@@ -55,7 +55,7 @@ def test_empty_table(spark):
 
 def test_registered():
     names = contract.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) <= set(names) and "pipeline" in names
     assert set(oracle.ORACLE_SQL) <= set(queries.QUERIES) and set(oracle.ORACLE_SQL) <= set(contract.oracle_sql())
 
