@@ -1,4 +1,4 @@
-"""License scans: phrases, and an exact containment join of text blocks with license templates."""
+"""License scans: phrases, and an exact containment join of texts with license templates."""
 
 from __future__ import annotations
 
@@ -41,6 +41,8 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 THRESHOLD = 0.9
+#: A notice may be spread over so many times the template's words, wherever lines end.
+SPREAD = 4
 
 
 def words_of(template: str) -> list[str]:
@@ -93,92 +95,78 @@ def template_rows(order: list[str], templates, threshold: float) -> list[tuple]:
     return rows
 
 
-def block_matches(docs: DataFrame, counted: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Every text block (line) that holds ``threshold`` of a template's distinct words, with the containment.
+def _needs(templates, threshold: float) -> list[tuple[list[str], int]]:
+    return [(words, math.ceil(threshold * len(words) - 1e-9)) for words in (words_of(text) for _, text in templates)]
 
-    Rows: doc_id, text_key, block (line number from 0), template, label, containment.
-    ``counted`` has a column held: the templates' words in each document.
-    Words are put in one order by document frequency, rarest first. Documents
-    with no template's first words drop out at the scan. The blocks of the
-    others, as their words in that order, are joined with the templates'
-    prefixes; a pair stays if the words from the match on, in block and
-    template, suffice (length and place), and is then counted in full.
+
+def spans(templates) -> list[int]:
+    """Words that a notice of each template may be spread over."""
+    return [SPREAD * len(re.findall(WORD, text.translate(str.maketrans(CAPITALS, SMALL)))) for _, text in templates]
+
+
+def block_matches(counted: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Every block of text that holds ``threshold`` of a template's distinct words, with the containment.
+
+    Rows: doc_id, text_key, at, label, containment. A block is a run of words,
+    over any lines, as long as the template's times ``SPREAD``, that begins
+    with one of its words; of blocks that overlap the first is named, with
+    the highest containment among them. ``counted`` has held, the templates'
+    words in each document, and spots, their places.
+
+    Words are put in one order by document frequency, rarest first.
+    Documents, as their words in that order, are joined with the templates'
+    prefixes; a pair stays if the words from the match on, in document and
+    template, suffice (length and place). Its blocks are then counted in full.
     """
     vocabulary = sorted({w for _, text in templates for w in words_of(text)})
     order = frequency_order(counted, vocabulary)
     rows = template_rows(order, templates, threshold)
     looked_for = sorted({w for r in rows for w in r[4]})
-    spark = docs.sparkSession
-    listed = local_table(spark, "template int, label string, words array<string>, need int, prefix array<string>", [r[:5] for r in rows])
-    prefixes = listed.selectExpr("template", "label", "words", "need", "posexplode(prefix) as (place, token)")
-    lines = docs.where(F.col("text").rlike(_any_of(looked_for))).selectExpr("doc_id", "xxhash64(text) as text_key", "posexplode(split(text, '\\n', -1)) as (block, line)")
+    listed = local_table(counted.sparkSession, "template int, label string, words array<string>, need int, prefix array<string>, span int", [(*r[:5], n) for r, n in zip(rows, spans(templates), strict=True)])
+    prefixes = listed.selectExpr("template", "label", "words", "need", "span", "posexplode(prefix) as (place, token)")
     # array_intersect keeps the order of its first argument: the global one
-    held = lines.selectExpr("doc_id", "text_key", "block", f"array_intersect({_literal(order)}, {_words('line')}) as held").where("size(held) > 0")
+    held = counted.where("size(spots) > 0").selectExpr("doc_id", "text_key", "spots", f"array_intersect({_literal(order)}, held) as held")
     tokens = held.selectExpr("*", "posexplode(held) as (at, token)").where(F.col("token").isin(looked_for))
     met = tokens.join(F.broadcast(prefixes), "token").where("least(size(words) - place, size(held) - at) + least(place, at) >= need")
-    counted_pairs = met.selectExpr("doc_id", "text_key", "block", "template", "label", "need", "size(array_intersect(held, words)) as shared", "size(words) as n").where("shared >= need")
-    return counted_pairs.selectExpr("doc_id", "text_key", "cast(block as bigint) as block", "template", "label", "shared / n as containment").distinct()
-
-
-def wrapped_matches(docs: DataFrame, lines: DataFrame, order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Notices over several lines that no line alone holds, rows as of ``block_matches`` (``lines``); block is the line they begin on.
-
-    A text's words and line ends (with blank lines and comment marks one
-    each) are cut into overlapping pieces twice as long as the widest window.
-    Pieces that hold enough of a template's words are searched by windows of
-    half as many again as the template has words, and 4.
-    """
-    rows = template_rows(order, templates, threshold)
-    widths = [math.ceil(1.5 * len(re.findall(WORD, text.translate(str.maketrans(CAPITALS, SMALL))))) + 4 for _, text in templates]
-    step = max(widths)
-    looked_for = sorted({w for r in rows for w in r[4]})
-    listed = local_table(docs.sparkSession, "template int, label string, words array<string>, need int, width int", [(*r[:4], w) for r, w in zip(rows, widths, strict=True)])
-    wanted = "array(" + ", ".join(f"named_struct('words', {_literal(r[2])}, 'need', {r[3]})" for r in rows) + ")"
-    breaks = "length({0}) - length(replace({0}, chr(10), ''))".format
-    tokens = f"regexp_extract_all(translate(text, '{CAPITALS}', '{SMALL}'), r'{WORD}|\\n{BETWEEN}*+', 0)"
-    texts = docs.where(F.col("text").contains("\n") & F.col("text").rlike(_any_of(looked_for))).selectExpr("doc_id", "xxhash64(text) as text_key", f"{tokens} as tokens")
-    pieces = f"transform(sequence(0, greatest(size(tokens) - 1, 0), {step}), q -> named_struct('q', q, 'piece', slice(tokens, q + 1, {2 * step})))"
-    enough = f"exists(transform(array(array_intersect({_literal(order)}, x.piece)), held -> exists({wanted}, t -> size(held) >= t.need and size(array_intersect(held, t.words)) >= t.need)), y -> y)"
-    hits = texts.selectExpr("doc_id", "text_key", "tokens", f"filter({pieces}, x -> {enough}) as hits").where("size(hits) > 0")
-    counted = f"aggregate(slice(tokens, 1, x.q), 0, (n, t) -> n + {breaks('t')})"
-    hits = hits.selectExpr("doc_id", "text_key", f"explode(transform(hits, x -> named_struct('line', {counted}, 'piece', x.piece))) as x").selectExpr("doc_id", "text_key", "x.line as line", "x.piece as piece")
-    tried = hits.join(F.broadcast(listed), F.expr("size(array_intersect(piece, words)) >= need"))
-    # the last of the best windows begins with the notice's first word
-    windows = "array_max(transform(sequence(0, size(piece) - 1), p -> named_struct('shared', size(array_intersect(slice(piece, p + 1, width), words)), 'p', p)))"
-    best = tried.selectExpr("*", f"{windows} as best").where("best.shared >= need")
-    within = f"aggregate(slice(piece, {{}}), 0, (n, t) -> n + {breaks('t')})".format
-    found = best.selectExpr("doc_id", "text_key", f"cast(line + {within('1, best.p')} as bigint) as block", f"{within('best.p + 1, width')} as more", "template", "label", "best.shared / size(words) as containment")
-    found = found.groupBy("doc_id", "text_key", "block", "template", "label").agg(F.max("containment").alias("containment"), F.max("more").alias("more"))
-    alone = lines.selectExpr("doc_id as own_id", "text_key as own_key", "template as own", "block as at")
-    return found.join(alone, F.expr("text_key = own_key and template = own and doc_id <=> own_id and at between block and block + more"), "left_anti").drop("more")
+    # a pair is counted at its first common word only
+    first = met.where("token = get(filter(held, w -> array_contains(words, w)), 0)")
+    own = first.selectExpr("doc_id", "text_key", "label", "words", "need", "span", "filter(spots, x -> array_contains(words, x.word)) as own").where("size(own) >= need")
+    inside = "filter(slice(own, k + 1, span), y -> y.at < x.at + span)"
+    hits = f"filter(transform(own, (x, k) -> named_struct('at', x.at, 'shared', size(array_distinct(transform({inside}, y -> y.word))))), x -> x.shared >= need)"
+    starts = "filter(transform(hits, (x, k) -> case when k = 0 or x.at - get(hits, k - 1).at >= span then named_struct('at', x.at, 'shared', array_max(transform(filter(slice(hits, k + 1, span), y -> y.at < x.at + span), y -> y.shared))) end), x -> x is not null)"
+    found = own.selectExpr("doc_id", "text_key", "label", "words", "span", f"{hits} as hits").selectExpr("doc_id", "text_key", "label", "words", f"explode({starts}) as x")
+    return found.selectExpr("doc_id", "text_key", "cast(x.at as bigint) as at", "label", "x.shared / size(words) as containment").distinct()
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Licenses of every whole text, one row per document.
 
     Columns: doc_id, n_words, places (start word and label of every phrase),
-    base_labels and labels (distinct, sorted), matches (block, label,
-    containment of every line, or notice wrapped over lines, that meets a
-    template; block is its first line, from 0), score: the highest
-    containment of a match, 1 for phrases without one, 0 for neither.
-
-    A null or empty text has no words. Rows alike in doc_id and text share
-    their matches; a null doc_id is an id like others. Only doc_id and text
-    are read. Templates are few and go to every task.
+    base_labels and labels (distinct, sorted), matches (start word, label,
+    containment of every block that meets a template, see
+    ``block_matches``), score: the highest containment of a match, 1 for
+    phrases without one, 0 for neither.
+
+    Each text is read and cut into words once; places of templates' words are
+    kept only for texts that hold enough of one. A null or empty text has no
+    words. Rows alike in doc_id and text share their matches; a null doc_id
+    is an id like others. Only doc_id and text are read. Templates are few
+    and go to every task.
     """
     work = Work(docs.sparkSession, "licenses")
     docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
     vocabulary = sorted({w for _, text in templates for w in words_of(text)})
     phrase = _any_of([f"{BETWEEN}+".join(p.split()) for p in PHRASES])
+    enough = " or ".join(f"size(array_intersect(held, {_literal(words)})) >= {need}" for words, need in _needs(templates, threshold))
+    spots = f"filter(transform(words, (w, i) -> named_struct('at', i, 'word', w)), x -> array_contains({_literal(vocabulary)}, x.word))"
     counted = (
         docs.selectExpr("doc_id", "xxhash64(text) as text_key", f"{_words('text')} as words", f"coalesce(text rlike r'{phrase}', false) as has_phrase")
-        .selectExpr("doc_id", "text_key", "cast(size(words) as bigint) as n_words", f"array_intersect(words, {_literal(vocabulary)}) as held", f"case when has_phrase then {_places()} end as places")
+        .selectExpr("*", f"array_intersect(words, {_literal(vocabulary)}) as held")
+        .selectExpr("doc_id", "text_key", "cast(size(words) as bigint) as n_words", "held", f"case when has_phrase then {_places()} end as places", f"case when {enough} then {spots} end as spots")
     )
     counted = work.keep(counted, "counted")
-    lines = work.keep(block_matches(docs, counted, templates, threshold), "lines")
-    order = frequency_order(counted, vocabulary)
-    matches = lines.unionByName(wrapped_matches(docs, lines, order, templates, threshold))
-    own = matches.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("block", "label", "containment"))).alias("matches"))
+    matches = block_matches(counted, templates, threshold)
+    own = matches.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("at", "label", "containment"))).alias("matches"))
     own = own.withColumnRenamed("doc_id", "own_id").withColumnRenamed("text_key", "own_key")
     joined = counted.join(own, counted.doc_id.eqNullSafe(own.own_id) & (counted.text_key == own.own_key), "left")
     return joined.selectExpr(

@@ -57,7 +57,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS
 
 
 def _thresholds(sized: DataFrame, work: Work, weights, share, epochs) -> DataFrame:
-    """One row per source: src, source_size, target, every (full copies), cut (highest hash taken once more)."""
+    """One row per source: src, source_size, target, every (full copies), cut (highest hash taken once more), and shared, part.
+
+    ``shared`` is the hash that several rows have of which ``part`` are taken once more, null if there is none.
+    """
     sizes = sized.groupBy("source", "src").agg(F.sum("size").alias("source_size"))
     targets = work.keep(source_targets(sizes, weights, share, epochs), "targets")
     every = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -72,8 +75,33 @@ def _thresholds(sized: DataFrame, work: Work, weights, share, epochs) -> DataFra
         state = work.keep(_refined(sized, state, known), f"level-{known}")
         if state.where("spread").isEmpty():
             break
-    cut = F.expr("case when rest <= 0 then -1 when below + inside - rest <= rest - below then low else low - 1 end")
-    return targets.join(state.select("src", "every", cut.alias("cut")), "src").select("src", "source_size", "target", "every", "cut")
+    # as many of the boundary's rows as come nearest to the rest; half a row counts as one
+    part = "case when rest <= 0 then 0 when inside <= 0 then members else least(greatest(cast(floor((rest - below) / (inside / members) + 0.5) as bigint), 0), members) end"
+    cuts = state.selectExpr("src", "every", "rest", "low", "members", f"{part} as part").selectExpr(
+        "src", "every",
+        "case when rest <= 0 then -1 when part = members then low else low - 1 end as cut",
+        "case when part > 0 and part < members then low end as shared",
+        "part",
+    )
+    return work.keep(targets.join(cuts, "src").select("src", "source_size", "target", "every", "cut", "shared", "part"), "limits")
+
+
+def _with_times(rows: DataFrame, limits: DataFrame, work: Work) -> DataFrame:
+    """The rows (src, hash and others) joined with their source's limits, and times.
+
+    Rows that share the boundary hash are alike; where only a part of them is
+    taken they are counted by task, and each task is told how many of its
+    own to take, so none of them has to be brought together.
+    """
+    joined = rows.join(limits, "src").withColumn("times", F.expr(TIMES))
+    if limits.where("shared is not null").isEmpty():
+        return joined
+    alike = work.keep(joined.where("hash <=> shared").withColumn("number", F.monotonically_increasing_id()), "alike")
+    task, within = "shiftright(number, 33)", f"number & {(1 << 33) - 1}L"
+    counts = alike.groupBy("src", F.expr(f"{task} as task")).agg(F.expr("count(*) as here"), F.expr("max(part) as part"))
+    shares = counts.selectExpr("src as own_src", "task", "part - (sum(here) over (partition by src order by task) - here) as left")
+    taken = alike.join(shares, F.expr(f"src = own_src and {task} = task")).withColumn("times", F.expr(f"every + cast({within} < left as bigint)"))
+    return joined.where("not (hash <=> shared)").unionAll(taken.select(joined.columns))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS, seed=SEED) -> DataFrame:
@@ -84,31 +112,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS, seed=SEED)
     threshold. The threshold is found by histograms: sizes summed by source
     and hash bucket; the bucket in which the budget ends is the boundary, and
     only its rows are dealt into finer buckets, until it holds one hash
-    value. That value is taken if this comes at least as near the target.
-
-    The hash covers doc_id and text. Rows alike in both are taken or left
-    together; all other rows part, also those with a null id or source. Null
-    or empty texts have size 0 and cost nothing. An empty table gives no
-    rows. Other columns are not read.
+    value. Of its rows, one or several alike, as many are taken as come
+    nearest to the target.
+
+    The hash covers doc_id and text, so only rows alike in both share it;
+    which of them are taken is left open. All other rows part, also those
+    with a null id or source. Null or empty texts have size 0 and cost
+    nothing. An empty table gives no rows. Other columns are not read.
+    Windows without a partition run over the sources, one row each, which a
+    corpus has few of.
     """
     work = Work(docs.sparkSession, "mix")
     sized = work.keep(docs.selectExpr("doc_id", "source", SOURCE, SIZE, _hash(seed)), "sized")
     limits = _thresholds(sized, work, weights, share, epochs)
-    return sized.join(limits, "src").selectExpr("doc_id", "source", "size", "source_size", "target", f"{TIMES} as times")
+    return _with_times(sized, limits, work).select("doc_id", "source", "size", "source_size", "target", "times")
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS, seed=SEED) -> DataFrame:
     """The documents as often as ``mix`` takes them, with the columns they came with."""
     work = Work(docs.sparkSession, "mixed")
     sized = work.keep(docs.selectExpr("source", SOURCE, SIZE, _hash(seed)), "sized")
-    limits = work.keep(_thresholds(sized, work, weights, share, epochs), "limits")
+    limits = _thresholds(sized, work, weights, share, epochs)
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    return (
-        docs.select(row, F.expr(SOURCE), F.expr(_hash(seed)))
-        .join(limits, "src")
-        .select("row", F.explode(F.expr(f"array_repeat(true, cast({TIMES} as int))")))
-        .select("row.*")
-    )
+    rows = _with_times(docs.select(row, F.expr(SOURCE), F.expr(_hash(seed))), limits, work)
+    return rows.select("row", F.explode(F.expr("array_repeat(true, cast(times as int))"))).select("row.*")
 
 
 def _refined(sized: DataFrame, state: DataFrame, known: int) -> DataFrame:
@@ -118,14 +145,14 @@ def _refined(sized: DataFrame, state: DataFrame, known: int) -> DataFrame:
         sized.join(state.select("src", "prefix"), "src")
         .where(F.shiftright("hash", upper) == F.col("prefix"))
         .groupBy("src", F.shiftright("hash", known).alias("bucket"))
-        .agg(F.sum("size").alias("inside"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+        .agg(F.sum("size").alias("inside"), F.count("*").alias("members"), F.min("hash").alias("low"), F.max("hash").alias("high"))
     )
     totals = buckets.join(state.select("src", "every", "rest", "below"), "src").selectExpr(
-        "src", "every", "rest", "bucket", "inside", "low", "high",
+        "src", "every", "rest", "bucket", "inside", "members", "low", "high",
         "below + sum(inside) over (partition by src order by bucket) as upto",
         "row_number() over (partition by src order by bucket desc) as back",
     )
     # rounding may put the rest at the very end: the last bucket is the boundary then
     hit = totals.where("upto > rest or back = 1")
-    first = hit.groupBy("src").agg(F.min_by(F.struct("every", "rest", "bucket", "inside", "low", "high", "upto"), "bucket").alias("b"))
-    return first.selectExpr("src", "b.every as every", "b.rest as rest", "b.bucket as prefix", "b.upto - b.inside as below", "b.inside as inside", "b.low as low", "b.low < b.high and b.rest > 0 as spread")
+    first = hit.groupBy("src").agg(F.min_by(F.struct("every", "rest", "bucket", "inside", "members", "low", "high", "upto"), "bucket").alias("b"))
+    return first.selectExpr("src", "b.every as every", "b.rest as rest", "b.bucket as prefix", "b.upto - b.inside as below", "b.inside as inside", "b.members as members", "b.low as low", "b.low < b.high and b.rest > 0 as spread")

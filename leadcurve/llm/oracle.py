@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadcurve.llm.licenses import TEMPLATES
+from leadcurve.llm.licenses import SPREAD, TEMPLATES
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
 
@@ -29,12 +29,13 @@ with sized as (
            target - (case when s > 0 then floor(target / s) else 0 end) * s as rest
     from targets
 ), steps as (
-    select source, hash, sum(size) as here, sum(sum(size)) over (partition by source order by hash) as upto
+    select source, hash, sum(size) as here, count(*) as members, sum(sum(size)) over (partition by source order by hash) as upto
     from sized group by source, hash
-)
+), numbered as (select *, row_number() over (partition by source, hash) as number from sized)
 select d.doc_id, d.size, p.s as source_size, p.target,
-       (d.size * (p.every + case when p.rest > 0 and (h.upto <= p.rest or h.upto - h.here < p.rest and h.upto - p.rest <= p.rest - (h.upto - h.here)) then 1 else 0 end))::bigint as taken
-from sized d
+       (d.size * (p.every + case when p.rest <= 0 then 0 when h.upto <= p.rest then 1
+           when h.upto - h.here < p.rest and number <= floor((p.rest - (h.upto - h.here)) / (h.here / h.members) + 0.5) then 1 else 0 end))::bigint as taken
+from numbered d
 join plans p on d.source is not distinct from p.source
 join steps h on d.source is not distinct from h.source and d.hash = h.hash
 """
@@ -87,8 +88,9 @@ _NOTICES = ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)
 
 LICENSES_SQL = f"""
 with notices as (
-    select label, list_distinct(regexp_extract_all({_LOWER("notice")}, '{_WORD}')) as t from (values {_NOTICES}) as n(label, notice)
-), texts as (select doc_id, regexp_extract_all({_LOWER("text")}, '{_WORD}') as w from documents),
+    select row_number() over () as notice, label, w, list_distinct(w) as t, {SPREAD} * len(w) as span
+    from (select label, regexp_extract_all({_LOWER("notice")}, '{_WORD}') as w from (values {_NOTICES}) as n(label, notice))
+), wanted as (select notice, unnest(t) as word from notices), texts as (select doc_id, regexp_extract_all({_LOWER("text")}, '{_WORD}') as w from documents),
 words as (select doc_id, unnest(w) as w0, generate_subscripts(w, 1) - 1 as place from texts),
 ahead as (
     select *, lead(w0, 1) over o as w1, lead(w0, 2) over o as w2, lead(w0, 3) over o as w3
@@ -99,12 +101,15 @@ ahead as (
         when w0 = 'mit' and w1 = 'license' then 'mit' end as label
     from ahead
 ), found as (select * from places where label is not null),
-blocks as (
-    select doc_id, list_distinct(regexp_extract_all({_LOWER("line")}, '{_WORD}')) as w
-    from (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
+spots as (select doc_id, notice, place, w0 as word from words join wanted on word = w0),
+enough as (select doc_id, notice from spots join notices using (notice) group by doc_id, notice, len(t) having count(distinct word) >= 0.9 * len(t)),
+near as (
+    select a.doc_id, a.notice, a.place, count(distinct b.word) as shared
+    from enough e join spots a on a.doc_id = e.doc_id and a.notice = e.notice join notices n on n.notice = a.notice
+    join spots b on b.doc_id = a.doc_id and b.notice = a.notice and b.place >= a.place and b.place < a.place + n.span
+    group by a.doc_id, a.notice, a.place
 ), matches as (
-    select doc_id, label, len(list_intersect(w, t))::double / len(t)::double as c
-    from blocks, notices where len(list_intersect(w, t)) >= 0.9 * len(t)
+    select doc_id, label, shared::double / len(t)::double as c from near join notices using (notice) where shared >= 0.9 * len(t)
 ), every as (select doc_id, label from found union select doc_id, label from matches)
 select d.doc_id, len(d.w)::bigint as n_words,
     (select count(*) from found f where f.doc_id = d.doc_id) as n_base,

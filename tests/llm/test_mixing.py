@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 
 import pytest
@@ -34,16 +35,16 @@ def plain_mix(rows):
     for source, size in sizes.items():
         own = [(int(hashlib.md5(f"mix-1|{'' if i is None else i}|{t or ''}".encode()).hexdigest()[:15], 16), i, t) for i, t, _, s in rows if s == source]
         every = int(targets[source] // size) if size else 0
-        rest, upto, chosen = targets[source] - every * size, 0, set()
+        rest, upto, more = targets[source] - every * size, 0, {}
         for value in sorted({h for h, _, _ in own}):
-            here = sum(len(words(t)) for h, _, t in own if h == value)
-            if rest <= 0 or upto + here > rest and upto + here - rest > rest - upto:
+            alike = [len(words(t)) for h, _, t in own if h == value]
+            if rest <= 0 or upto >= rest:
                 break
-            chosen.add(value)
-            upto += here
-            if upto >= rest:
-                break
-        taken += [(i, len(words(t)), size, round(targets[source], 6), len(words(t)) * (every + (h in chosen))) for h, i, t in own]
+            more[value] = min(len(alike), math.floor((rest - upto) / alike[0] + 0.5)) if alike[0] else len(alike)
+            upto += sum(alike)
+        for h, i, t in own:
+            taken.append((i, len(words(t)), size, round(targets[source], 6), len(words(t)) * (every + (more.get(h, 0) > 0))))
+            more[h] = more.get(h, 0) - 1
     return sorted(taken, key=repr)
 
 
@@ -86,3 +87,16 @@ def test_documents_as_often_as_taken(spark):
     counts = {r.doc_id: r["count"] for r in copies.groupBy("doc_id").count().collect()}
     assert counts == {i: n for i, n in taken.items() if n}
     assert {tuple(r) for r in copies.collect()} <= set(rows)
+
+
+@pytest.mark.parametrize("copies", [3, 10, 400])
+def test_rows_alike_at_the_boundary(spark, copies):
+    """A source of alike rows comes as near its target as one of their size allows."""
+    rows = [(1, "a b c d e f g", None, "hot")] * copies + [(i, "x " * 7, None, "cold") for i in range(2, 2 + copies)]
+    docs = frame(spark, rows).repartition(5)
+    found = mixing.mix(docs)
+    assert result(found) == plain_mix(rows)
+    hot = [r for r in found.collect() if r.source == "hot"]
+    assert len(hot) == copies and abs(sum(r.size * r.times for r in hot) - hot[0].target) <= 3.5
+    counts = {r.source: r["count"] for r in mixing.mixed_documents(docs).groupBy("source").count().collect()}
+    assert counts.get("hot", 0) == sum(r.times for r in hot)
