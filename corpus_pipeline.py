@@ -9,13 +9,10 @@ from pyspark.sql import functions as F
 from leadcurve.llm import jaccard, language, mixing, pieces, pii
 from leadcurve.llm.work import Work
 
-#: Below this a text is like no learned language (score 0.5: as like as unlike the best one).
-MIN_LANGUAGE_SCORE = 0.25
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language learned from their own labels; lang becomes the identified one, the others go."""
-    return language.keep_identified(docs, language.learn(docs), MIN_LANGUAGE_SCORE)
+    return language.keep_identified(docs, language.learn(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
