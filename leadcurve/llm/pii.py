@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from leadcurve.llm.marks import marked_rows
 from leadcurve.llm.work import Work
 
 KEY = "surrogates-1"
-MAX_ROUNDS = 64
+#: After so many attempts an entity's format is taken to be full, and every further one is wider.
+WIDEN = 5
 
-#: Titles by gender, given names by gender and script, and syllables of surnames.
+#: Titles by gender, given names that surrogates are made of by gender and script, and syllables of surnames.
 TITLES = {
     "m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Don", "Господин"),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Mme", "Madame", "Doña", "Госпожа"),
@@ -25,6 +28,19 @@ GIVEN = {
     ("m", "cyrillic"): ("Андрей", "Борис", "Виктор", "Иван", "Олег", "Павел", "Пётр", "Сергей"),
     ("x", "cyrillic"): ("Женя", "Саша", "Валя", "Шура"),
 }
+#: Further given names that are looked for, none of them a common word.
+LOOKED_FOR = {
+    "f": (
+        "Amanda", "Andrea", "Angela", "Barbara", "Beatriz", "Brenda", "Brigitte", "Camille", "Carmen", "Carolyn", "Catherine", "Christina", "Claudia", "Cynthia", "Deborah", "Dorothy", "Elizabeth", "Emily",
+        "Françoise", "Gabriela", "Heidi", "Ingrid", "Isabel", "Jennifer", "Jessica", "Katharina", "Kimberly", "Linda", "Lisa", "Lucía", "Margaret", "Marie", "Melissa", "Michelle", "Monika", "Nancy", "Nathalie",
+        "Nicole", "Pamela", "Patricia", "Petra", "Pilar", "Rachel", "Rebecca", "Rosa", "Sabine", "Sandra", "Sharon", "Stephanie", "Sylvie", "Teresa", "Ursula", "Valérie", "Verónica", "Virginia",
+    ),
+    "m": (
+        "Alejandro", "Alexander", "Andrew", "Anthony", "Antonio", "Benjamin", "Brian", "Charles", "Christopher", "Dennis", "Diego", "Donald", "Edward", "Eric", "Fernando", "Francisco", "François", "Friedrich",
+        "Gary", "George", "Gregory", "Günter", "Heinrich", "Henry", "Jacob", "Jason", "Javier", "Jean", "Jeffrey", "Jonathan", "José", "Joseph", "Joshua", "Juan", "Jürgen", "Kenneth", "Kevin", "Klaus", "Laurent",
+        "Luis", "Manuel", "Matthew", "Michael", "Miguel", "Nicholas", "Patrick", "Pedro", "Philippe", "Pierre", "Richard", "Ronald", "Ryan", "Samuel", "Sebastian", "Stefan", "Stephen", "Steven", "Timothy", "Walter", "William", "Wolfgang",
+    ),
+}
 SYLLABLES = {
     "latin": ("ba", "bel", "car", "dan", "der", "fen", "gal", "har", "kel", "lor", "mar", "nov", "per", "ral", "sen", "tor"),
     "cyrillic": ("ба", "вел", "гор", "дан", "зар", "кол", "лор", "мар", "нов", "пер", "ряб", "сел", "тар", "фед", "хол", "чер"),
@@ -48,7 +64,13 @@ def _choice(words) -> str:
 
 
 def _given(gender: str) -> list[str]:
-    return [n for (g, _), names in GIVEN.items() if g == gender for n in names]
+    return [n for (g, _), names in GIVEN.items() if g == gender for n in names] + list(LOOKED_FOR.get(gender, ()))
+
+
+def _by_initial(words) -> str:
+    """One of the words, those with the same first letter tried together."""
+    initials = sorted({w[0] for w in words})
+    return _choice(f"{c}{_choice(sorted((w[1:] for w in words if w[0] == c), key=lambda w: (-len(w), w)))}" for c in initials)
 
 
 _TITLE = _choice(t for titles in TITLES.values() for t in titles)
@@ -59,17 +81,23 @@ def _starting(first: str, *patterns: str) -> str:
     return f"(?=[{first}])(?:{'|'.join(patterns)})"
 
 
-_KNOWN = _choice(_given("f") + _given("m"))
+_KNOWN = rf"{_by_initial(_given("f") + _given("m"))}(?!\p{{L}})"
+HEX = "[0-9A-Fa-f]{1,4}"
+#: Global, local and private addresses of version 6, in full or with one gap.
+IPV6 = rf"(?<![0-9A-Za-z:.])(?:[23][0-9A-Fa-f]{{3}}|[fF][c-eC-E][0-9A-Fa-f]{{2}})(?:(?::{HEX}){{7}}|(?::{HEX}){{0,5}}::{HEX}(?::{HEX}){{0,4}})(?![0-9A-Za-z:]|\.[0-9])"
 #: What is taken for personal data. All are linear in the text: no part can start inside what it matched.
 PATTERN = "|".join(
     (
         _starting(
-            "0-9+(",
+            "0-9+(fF",
             rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
             r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
             r"(?<![0-9+])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
-            r"\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,6}(?![0-9])",
-            r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+            r"(?<![0-9+])3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])",
+            # seven digits at least: less is a figure with its sign
+            r"\+(?=(?:[ .()-]{0,3}[0-9]){7})[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,6}(?![0-9])",
+            r"(?<![0-9A-Za-z+.-])(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+            IPV6,
         ),
         r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
         _starting(
@@ -91,6 +119,7 @@ _TYPE = rf"""case
     when m rlike r'^(?:{SECRET_IS}|AKIA[0-9A-Z]{{16}}$)' then 'secret'
     when m like '%@%' then 'email'
     when m rlike r'^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' then 'ip'
+    when m rlike r'^[0-9A-Fa-f]+:' then 'ipv6'
     when m rlike r'^[A-Z]{{2}}[0-9]{{2}}' then 'iban'
     when m rlike r'^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then 'ssn'
     when m rlike r'^[0-9]' and length(regexp_replace(m, '[^0-9]', '')) > 12 then 'card'
@@ -120,10 +149,11 @@ _KEYS = rf"""case {_TYPE}
     when 'email' then array(concat('email|', lower(m)))
     when 'secret' then array(concat('secret|', {_BODY}))
     when 'ip' then array(concat('ip|', m))
+    when 'ipv6' then array(concat('ipv6|', lower(m)))
     when 'iban' then array(concat('iban|', replace(m, ' ', '')))
     when 'ssn' then array(concat('ssn|', {_DIGITS}))
     when 'card' then array(concat('card|', {_DIGITS}))
-    when 'phone' then array(concat('phone|', case when length({_DIGITS}) = 11 and m like '+1%' then substring({_DIGITS}, 2) when m like '+%' then concat('+', {_DIGITS}) else {_DIGITS} end))
+    when 'phone' then array(concat('phone|', case when length({_DIGITS}) = 11 and (m like '+1%' or m like '1%') then substring({_DIGITS}, 2) when m like '+%' then concat('+', {_DIGITS}) else {_DIGITS} end))
     else transform(regexp_extract_all(regexp_replace(m, r'^{_TITLE}[.]? ', ''), r'{NAME}', 0), (t, i) -> concat(
         case when i = 0 and not ({_TITLE_OF} <> '' and size(regexp_extract_all(regexp_replace(m, r'^{_TITLE}[.]? ', ''), r'{NAME}', 0)) = 1) then concat('given_', {_gender()}) else case when t rlike 'а$' then 'surname_f' else 'surname' end end,
         case when t rlike r'\p{{IsCyrillic}}' then '_cyrillic|' else '_latin|' end, lower(t)))
@@ -177,18 +207,26 @@ def _mod97(text: str) -> str:
 def _candidates(pending: DataFrame, attempt: int, secret: str) -> DataFrame:
     """Pending entities with the surrogate of one attempt."""
     df = pending.withColumns({"secret": F.lit(secret), "attempt": F.lit(str(attempt))})
-    # an email's domain has surrogates of its own, the same for all its addresses; the top level stays
-    domain = "substring_index(canonical, '@', -1)"
-    in_domain = f"cast(conv(substring(sha2(concat_ws('|', secret, 'domain', {domain}, i), 256), 1, 12), 16, 10) as bigint)"
-    email = f"concat({_letters("substring_index(canonical, '@', 1)", 'false')}, '@', {_letters(f"substring({domain}, 1, length({domain}) - length(substring_index({domain}, '.', -1)))", 'false', in_domain)}, substring_index({domain}, '.', -1))"
+    # where a format is full, more of its own characters follow
+    extra = max(attempt - WIDEN, 0)
+    digits = f"substring(conv(substring(sha2(concat_ws('|', secret, key, attempt, 'more'), 256), 1, 15), 16, 10), 2, {min(extra, 12)})"
+    letters = f"translate(substring(sha2(concat_ws('|', secret, key, attempt, 'more'), 256), 1, {extra}), '0123456789', 'ghijklmnop')"
+    # an email's domain has the surrogate of that domain, the same for all its addresses; the top level stays
+    email = f"concat({_letters("substring_index(canonical, '@', 1)", 'false')}, {letters}, '@', domain)"
+    domain = f"concat({_letters("substring(canonical, 1, length(canonical) - length(substring_index(canonical, '.', -1)) - 1)", 'false')}, {letters}, '.', substring_index(canonical, '.', -1))"
     octet = f"case when {attempt} > 8 or length(o) = 3 then 100 + {_hash('i')} % 156 when length(o) = 2 then 10 + {_hash('i')} % 90 else 1 + {_hash('i')} % 9 end"
     private = "canonical rlike '^(10|127)[.]' and i = 0 or canonical rlike '^192[.]168[.]' and i < 2 or canonical rlike '^172[.](1[6-9]|2[0-9]|3[01])[.]' and i < 2"
-    ip = f"array_join(transform(split(canonical, '[.]'), (o, i) -> case when {private} then o else cast({octet} as string) end), '.')"
+    # a full private network goes on in others, and should all addresses be taken, in further places
+    kept_octet = f"({private})" if attempt <= 16 else "false"
+    ip = f"concat(array_join(transform(split(canonical, '[.]'), (o, i) -> case when {kept_octet} then o else cast({octet} as string) end), '.'){''.join(f", '.', cast({_hash(str(90 + k))} % 256 as string)" for k in range(max(attempt - 32, 0)))})"
+    six = _letters("canonical", "i < 4").replace("then char(97 + ", "then char(97 + ").replace("case when canonical rlike '^[0-9a-fA-F]+$' then 6 else 26 end", "6")
+    six = f"concat({six}, {f"case when length(regexp_replace(canonical, '[^:]', '')) < 7 then ':' else '' end, left({letters.replace('ghijklmnop', 'abcdefabcd')}, 4)" if extra else "''"})"
     first = f"when i in (0, 3) then cast(2 + {_hash('i')} % 8 as string)"
-    phone = _letters("canonical", "i < 3 and canonical like '+%'").replace("when c rlike '[0-9]'", f"{first.replace('when i', 'when length(canonical) = 10 and i')} when c rlike '[0-9]'", 1)
+    country = "i < 3 and canonical like '+%'" if attempt <= WIDEN else "i < 1 and canonical like '+%'"
+    phone = _letters("canonical", country).replace("when c rlike '[0-9]'", f"{first.replace('when i', 'when length(canonical) = 10 and i')} when c rlike '[0-9]'", 1)
     ssn = _letters("canonical", "false").replace("when c rlike '[0-9]'", f"when i in (0, 4, 8) then cast(1 + {_hash('i')} % 8 as string) when c rlike '[0-9]'", 1)
     givens = " ".join(
-        f"when 'given_{g}_{script}' then concat({_pick(names, '0')}{''.join(f", '-', {_pick(names, str(k))}" for k in range(1, min(attempt, 5) + 1))})" for (g, script), names in GIVEN.items()
+        f"when 'given_{g}_{script}' then concat({_pick(names, '0')}{''.join(f", '-', {_pick(names, str(k))}" for k in range(1, min(attempt, 12) + 1))})" for (g, script), names in GIVEN.items()
     )
     ends = {("surname_f", "cyrillic"): "ова", ("surname", "cyrillic"): "ов"}
     surnames = " ".join(
@@ -197,9 +235,10 @@ def _candidates(pending: DataFrame, attempt: int, secret: str) -> DataFrame:
     made = df.select(
         "*",
         F.expr(
-            f"""case kind when 'email' then {email} when 'ip' then {ip} when 'phone' then {phone} when 'ssn' then {ssn}
-            when 'card' then {_letters('canonical', 'i = 0')}
-            when 'iban' then {_letters('canonical', 'i < 2')}
+            f"""case kind when 'email' then {email} when 'domain' then {domain} when 'ip' then {ip} when 'ipv6' then {six}
+            when 'phone' then concat({phone}, {digits}) when 'ssn' then concat({ssn}, {digits})
+            when 'card' then concat({_letters('canonical', 'i = 0')}, {digits})
+            when 'iban' then concat({_letters('canonical', 'i < 2')}, {digits})
             when 'secret' then {_secret()} {givens} {surnames} end"""
         ).alias("raw"),
     )
@@ -209,11 +248,27 @@ def _candidates(pending: DataFrame, attempt: int, secret: str) -> DataFrame:
     shifted = "concat(substring(raw, 5), substring(raw, 1, 2), '00')"
     iban = f"concat(substring(raw, 1, 2), lpad(cast(98 - {_mod97(shifted)} as string), 2, '0'), substring(raw, 5))"
     right = f"{_mod97('concat(substring(canonical, 5), substring(canonical, 1, 4))')} = 1"
-    return made.selectExpr("key", "kind", "canonical", f"case when kind = 'card' then {card} when kind = 'iban' and {right} then {iban} else raw end as surrogate").withColumn(
+    return made.selectExpr("key", "canonical", "kind", f"case when kind = 'card' then {card} when kind = 'iban' and {right} then {iban} else raw end as surrogate").withColumn(
         "form", F.expr("concat(split_part(kind, '_', 1), '|', lower(surrogate))")
     )
 
 
+def _assigned(known: DataFrame, work: Work, secret: str, name: str) -> DataFrame:
+    """key, canonical and surrogate of entities (key, kind, canonical, domain)."""
+    taken = known.selectExpr("concat(split_part(kind, '_', 1), '|', lower(canonical)) as form").distinct()
+    done, pending = None, known
+    for attempt in itertools.count():
+        tried = work.keep(_candidates(pending, attempt, secret), f"{name}-tried-{attempt}")
+        free = tried.join(taken, "form", "left_anti")
+        if done is not None:
+            free = free.join(done.select("form"), "form", "left_anti")
+        won = work.keep(free.groupBy("form").agg(F.min_by(F.struct("key", "canonical", "surrogate"), "key").alias("best")).selectExpr("form", "best.key as key", "best.canonical as canonical", "best.surrogate as surrogate"), f"{name}-won-{attempt}")
+        done = won if done is None else done.unionByName(won)
+        pending = work.keep(pending.join(won.select("key"), "key", "left_anti"), f"{name}-pending-{attempt}")
+        if pending.isEmpty():
+            return done.select("key", "canonical", "surrogate")
+
+
 def surrogates(entities: DataFrame, work: Work, secret: str = KEY) -> DataFrame:
     """key and surrogate of every distinct entity (column key, "type|canonical form").
 
@@ -222,23 +277,23 @@ def surrogates(entities: DataFrame, work: Work, secret: str = KEY) -> DataFrame:
     texts, if another entity has been given it, or if several entities come
     to it at once; of these the first by key gets it. The refused ones try
     again until none is left, so no two entities share a surrogate and none
-    gets a value that was in the texts. Raises if a format has no free values
-    left after 64 attempts.
+    gets a value that was in the texts. A format may have no free values
+    left (26 domains of one letter that are all in use): from the sixth
+    attempt on candidates are longer, more so with every attempt, so
+    the attempts end. Domains of email addresses are entities too, and come
+    first.
     """
-    known = work.keep(entities.selectExpr("key", "split_part(key, '|', 1) as kind", "substring(key, locate('|', key) + 1) as canonical"), "entities")
-    taken = known.selectExpr("concat(split_part(kind, '_', 1), '|', lower(canonical)) as form").distinct()
-    done, pending = None, known
-    for attempt in range(MAX_ROUNDS):
-        tried = work.keep(_candidates(pending, attempt, secret), f"tried-{attempt}")
-        free = tried.join(taken, "form", "left_anti")
-        if done is not None:
-            free = free.join(done.select("form"), "form", "left_anti")
-        won = work.keep(free.groupBy("form").agg(F.min_by(F.struct("key", "surrogate"), "key").alias("best")).selectExpr("form", "best.key as key", "best.surrogate as surrogate"), f"won-{attempt}")
-        done = won if done is None else done.unionByName(won)
-        pending = work.keep(pending.join(won.select("key"), "key", "left_anti"), f"pending-{attempt}")
-        if pending.isEmpty():
-            return done.select("key", "surrogate")
-    raise ValueError(f"no free surrogates after {MAX_ROUNDS} attempts")
+    parts = entities.selectExpr("key", "split_part(key, '|', 1) as kind", "substring(key, locate('|', key) + 1) as canonical", "cast(null as string) as domain")
+    known = work.keep(parts, "entities")
+    of = "substring_index(canonical, '@', -1)"
+    mails = known.where("kind = 'email'")
+    domains = work.keep(mails.selectExpr(f"{of} as canonical").distinct().selectExpr("concat('domain|', canonical) as key", "'domain' as kind", "canonical", "cast(null as string) as domain"), "domains")
+    if domains.isEmpty():
+        return _assigned(known, work, secret, "entity").select("key", "surrogate")
+    names = _assigned(domains, work, secret, "domain").selectExpr("canonical as own", "surrogate as domain")
+    placed = mails.drop("domain").join(names, F.expr(f"{of} = own")).select("key", "kind", "canonical", "domain")
+    known = work.keep(known.where("kind <> 'email'").unionByName(placed), "placed")
+    return _assigned(known, work, secret, "entity").select("key", "surrogate")
 
 
 #: A mention with its letters and digits, from the last backwards, taken from its surrogate; separators and case stay.
@@ -260,15 +315,19 @@ def _replaced() -> str:
     filled, named = (e.replace("<mention>", "x.m").replace("<new>", "transform(x.keys, k -> element_at(surrogate_of, k))") for e in (_FILLED, _NAMED))
     lead, body = (e.replace("(m,", "(x.m,").replace("then m\n", "then x.m\n") for e in (_LEAD, _BODY))
     secret = f"concat({lead}, element_at(surrogate_of, get(x.keys, 0)), substring(x.m, length({lead}) + length({body}) + 1))"
-    return f"case when get(x.keys, 0) like 'secret|%' then {secret} when get(x.keys, 0) like 'ip|%' then element_at(surrogate_of, get(x.keys, 0)) when get(x.keys, 0) rlike '^(given|surname)' then {named} else {filled} end"
+    whole = "element_at(surrogate_of, get(x.keys, 0))"
+    # a wider surrogate does not fit the mention's letters and digits one by one
+    wider = f"length(regexp_replace({whole}, '[^A-Za-z0-9]', '')) > length(regexp_replace(x.m, '[^A-Za-z0-9]', ''))"
+    return f"case when get(x.keys, 0) like 'secret|%' then {secret} when get(x.keys, 0) rlike '^ip(v6)?[|]' or get(x.keys, 0) not rlike '^(given|surname)' and {wider} then {whole} when get(x.keys, 0) rlike '^(given|surname)' then {named} else {filled} end"
 
 
 def replace_entities(docs: DataFrame, secret: str = KEY) -> DataFrame:
     """Every document with its columns, its text with surrogates for personal data, and n_replaced, kinds_replaced.
 
-    Taken for personal data: email and IPv4 addresses, phone, card, social
+    Taken for personal data: email and internet addresses, phone, card, social
     security and IBAN numbers, keys and passwords, and names after a title or
-    with a known given name. A surrogate has the format of what it replaces:
+    with one of the given names of ``GIVEN`` and ``LOOKED_FOR`` (fixed lists;
+    other names stay). A surrogate has the format of what it replaces:
     digits for digits, letters for letters, the same separators and case;
     addresses of a domain keep one domain, private networks stay private,
     check digits stay right, a name keeps its gender and script. A secret is

@@ -119,3 +119,60 @@ def test_whole_secrets(spark):
             assert part not in new
     assert got[2][7 + 8] != " " and "$1XyZ" not in got[2] and got[100] == rows[-2][1]
     assert got[101] == f"again token={got[0][6:-4]}"
+
+
+def test_figures_are_no_phone_numbers(spark):
+    rows = [(n, f"the score rose by +{n} points", None, None) for n in range(120, 130)] + [(1, "grew by +250 percent, then +1500 units (+3.5 - 4) and +12 34 at 10:20:30", None, None)]
+    assert texts(pii.replace_entities(frame(spark, rows))) == {i: t for i, t, _, _ in rows}
+
+
+def test_full_formats_get_wider(spark):
+    """One-letter domains and addresses that use up their format stay distinct, and none stays in clear."""
+    domains = [f"{c}.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(i, f"x{i}y@{d}", None, None) for i, d in enumerate(domains)] + [(100 + i, f"{c}@q.org and again {c.upper()}@Q.org", None, None) for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    rows += [(300 + i, f"call +1234{i:03d} now", None, None) for i in range(1000)]
+    got = texts(pii.replace_entities(frame(spark, rows)))
+    new = [got[i].split("@")[1] for i in range(26)]
+    assert len(set(new)) == 26 and not set(new) & set(domains) and all(d.endswith(".com") for d in new)
+    pairs = [re.fullmatch(r"(\w+)@(\w+\.org) and again (\w+)@(\w+\.org)", got[100 + i], re.I) for i in range(26)]
+    assert all(p and (p[1] + p[2]).lower() == (p[3] + p[4]).lower() for p in pairs)
+    assert len({p[1].lower() for p in pairs}) == 26 and len({p[2].lower() for p in pairs}) == 1
+    assert not {f"{p[1]}@{p[2]}".lower() for p in pairs} & {f"{c}@q.org" for c in "abcdefghijklmnopqrstuvwxyz"}
+    phones = [re.fullmatch(r"call (\+[0-9]+) now", got[300 + i])[1] for i in range(1000)]
+    assert len(set(phones)) == 1000 and not set(phones) & {f"+1234{i:03d}" for i in range(1000)}
+
+
+def test_plain_replacement(spark):
+    """Every mention of an entity becomes that entity's surrogate and nothing else changes, collisions included."""
+    mails = [f"{a}{b}@{d}.net" for a in "ab" for b in "xyz" for d in ("m", "n", "mm")]
+    rows = [(i, f"{mails[i % len(mails)]}, {mails[(7 * i) % len(mails)].upper()}; 10.0.{i % 3}.{i % 7} -- {mails[i % len(mails)]}", None, None) for i in range(60)]
+    docs = frame(spark, rows)
+    keys = {f"email|{m}" for m in mails} | {f"ip|10.0.{a}.{b}" for a in range(3) for b in range(7)}
+    made = {r.key: r.surrogate for r in pii.surrogates(spark.createDataFrame([(k,) for k in sorted(keys)], "key string"), Work(spark, "plain")).collect()}
+    assert len(set(made.values())) == len(made) == len(keys) and not {f"{k.split('|')[0]}|{v}" for k, v in made.items()} & keys
+
+    def put(m):
+        old = m[0]
+        new = made[f"email|{old.lower()}" if "@" in old else f"ip|{old}"]
+        return new.upper() if old.isupper() and len(new) == len(old) else new
+
+    found = texts(pii.replace_entities(docs))
+    assert found == {i: re.sub(rf"{EMAIL}|[0-9]+(?:\.[0-9]+){{3}}", put, t, flags=re.I) for i, t, _, _ in rows}
+
+
+def test_further_forms(spark):
+    rows = [
+        (1, "Michael Johnson and William Brown met", None, None),
+        (2, "call 1-800-555-1234 or (800) 555-1234", None, None),
+        (3, "amex 3782-822463-10005", None, None),
+        (4, "at 2001:db8::ff00:42:8329, fe80::1 and 2001:0db8:85a3:0000:0000:8a2e:0370:7334; std::vector, dead::beef, 10:20:30", None, None),
+        (5, "Williamson met Jeannie Smith; Michaela too", None, None),
+    ]
+    got = texts(pii.replace_entities(frame(spark, rows)))
+    assert not re.search("Michael|Johnson|William|Brown", got[1]) and got[1].endswith(" met")
+    one, two = re.fullmatch(r"call 1-([0-9]{3}-[0-9]{3}-[0-9]{4}) or \(([0-9]{3})\) ([0-9]{3}-[0-9]{4})", got[2]).groups()[0], "-".join(re.fullmatch(r".*\(([0-9]{3})\) (.*)", got[2]).groups())
+    assert one == two != "800-555-1234"
+    assert re.fullmatch(r"amex 3[0-9]{3}-[0-9]{6}-[0-9]{5}", got[3]) and "822463" not in got[3] and luhn(re.sub(r"\D", "", got[3]))
+    assert re.fullmatch(r"at 2001:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4}, fe80::[0-9a-f] and 2001:(?:[0-9a-f]{4}:){6}[0-9a-f]{4}; std::vector, dead::beef, 10:20:30", got[4]), got[4]
+    assert "ff00:42" not in got[4] and "8a2e:0370" not in got[4]
+    assert got[5] == rows[4][1]
