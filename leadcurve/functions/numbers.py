@@ -36,6 +36,13 @@ def money_or_zero(text: str) -> str:
     return f"(case when {amount} is not null then {amount} when {finite} then {too_large} else cast(0 as decimal(18,2)) end)"
 
 
+def too_large(text: str, amount: bool = False) -> str:
+    """Whether a text is a finite number beyond a long, or beyond decimal(18,2) for an amount. Short plain ones are not tried."""
+    limit = "1e16D" if amount else "9.223372036854775e18D"
+    number = f"abs(try_cast({text} as double))"
+    return f"coalesce((length({text}) > 15 or {text} rlike '[eE]') and {number} >= {limit} and {number} < double('infinity'), false)"
+
+
 def leading_int(text: str) -> str:
     """Integer made of the leading digits of a text (``'12abc'`` gives 12), else null."""
     return rf"try_cast(nullif(regexp_extract({text}, r'^\s*([+-]?[0-9]+)', 1), '') as int)"

@@ -19,7 +19,7 @@ from leadcurve.constants import (
 )
 from leadcurve.functions import actions as act
 from leadcurve.functions.money import sum_money
-from leadcurve.functions.numbers import count_or_zero, leading_int, money_or_zero
+from leadcurve.functions.numbers import count_or_zero, leading_int, money_or_zero, too_large
 from leadcurve.functions.text import empty_to_null, or_else
 from leadcurve.operators.periods import Period, trailing, within_dates
 
@@ -34,22 +34,25 @@ def parse_insights(nested: DataFrame) -> DataFrame:
 
     A field the export left out is null and counts as 0.
     """
-    three_seconds = act.total_count("video_3_sec_watched_actions")
+    folded = nested.selectExpr(
+        "*",
+        # plays listed among the actions add to the 3-second field
+        f"{act.fold('actions', {'v3s': VIDEO_VIEW, 'lpv': LANDING_VIEW}, {'checkouts': CHECKOUT_ACTIONS, 'vendas': PURCHASE_ACTIONS})} as _acoes",
+    )
     measures = {
         "gasto": money_or_zero("spend"),
         "impressoes": count_or_zero("impressions"),
         "clicks": count_or_zero("clicks"),
-        # plays listed among the actions add to the 3-second field
-        "v3s": f"{three_seconds} + {act.total_of('actions', VIDEO_VIEW)}",
+        "v3s": f"{act.total_count('video_3_sec_watched_actions')} + _acoes.v3s",
         "v2s": act.total_count("video_continuous_2_sec_watched_actions"),
         "thruplay": act.total_count("video_thruplay_watched_actions"),
         "p25": act.total_count("video_p25_watched_actions"),
-        "lpv": act.total_of("actions", LANDING_VIEW),
-        "checkouts": act.largest_of("actions", CHECKOUT_ACTIONS),
-        "vendas": act.largest_of("actions", PURCHASE_ACTIONS),
+        "lpv": "_acoes.lpv",
+        "checkouts": "_acoes.checkouts",
+        "vendas": "_acoes.vendas",
         "valor": act.largest_amount_of("action_values", PURCHASE_ACTIONS),
     }
-    return nested.selectExpr(
+    return folded.selectExpr(
         "try_cast(date_start as date) as data",
         "hourly_stats_aggregated_by_advertiser_time_zone as hora_texto",
         "ad_id",
@@ -60,6 +63,22 @@ def parse_insights(nested: DataFrame) -> DataFrame:
     )
 
 
+_COUNTED = ("actions", "video_3_sec_watched_actions", "video_continuous_2_sec_watched_actions", "video_thruplay_watched_actions", "video_p25_watched_actions")
+
+
+def check_insights(nested: DataFrame) -> DataFrame:
+    """Adds ``motivo``: the first field with a number that its column cannot hold, null if all fit.
+
+    Such a record is refused as a whole and the others stay, so that no
+    count becomes 0 and no load ends because of it.
+    """
+    present = set(nested.columns)
+    checks = [("spend", too_large("spend", amount=True)), *[(c, too_large(c)) for c in ("impressions", "clicks")]]
+    checks += [*[(c, act.holds_too_large(c)) for c in _COUNTED], ("action_values", act.holds_too_large("action_values", amounts=True))]
+    tests = " ".join(f"when {test} then '{name}'" for name, test in checks if name in present)
+    return nested.selectExpr("*", f"case {tests} end as motivo")
+
+
 def _absent_from(key: str, ids: Sequence[str]) -> Column:
     """Key not among the ids; a null key stays."""
     return F.coalesce(~F.col(key).isin(list(ids)), F.lit(True))

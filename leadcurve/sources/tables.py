@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leadcurve.operators.merges import to_layout
@@ -27,14 +27,19 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/leadcurve/{name}-{uuid.uuid4().hex}"
 
 
-def read_insights(spark: SparkSession, path: str) -> DataFrame:
+def read_insights(spark: SparkSession, path: str, seen: Observation | None = None) -> DataFrame:
     """Nested ad-insight records from JSON lines.
 
     The schema is declared: nothing is inferred, numbers are kept as text,
     and a field the export lacks is null. Lines that are no JSON are left
-    out; ``malformed_insights`` has them.
+    out; ``malformed_insights`` has them. ``seen`` learns how many lines
+    there were (``lidas``) and how many of them were left out
+    (``malformadas``), from whatever job reads the records.
     """
-    return _insight_lines(spark, path).where(f"record.{_MALFORMED} is null").select("record.*").drop(_MALFORMED)
+    lines = _insight_lines(spark, path)
+    if seen is not None:
+        lines = lines.observe(seen, F.expr("count(*) as lidas"), F.expr(f"count_if(record.{_MALFORMED} is not null) as malformadas"))
+    return lines.where(f"record.{_MALFORMED} is null").select("record.*").drop(_MALFORMED)
 
 
 def malformed_insights(spark: SparkSession, path: str) -> DataFrame:
