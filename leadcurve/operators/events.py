@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from leadcurve.functions.text import (
     utc_of_instant,
     utc_timestamp,
 )
+from leadcurve.operators.periods import Period, within_local_period
 
 
 def ping_to_row(pings: DataFrame) -> DataFrame:
@@ -120,6 +123,36 @@ TABLE_CHECKS = [
 ]
 
 
+def raw_bounds(raw: DataFrame, period: Period) -> str | None:
+    """A condition on the raw time column that every row of a local period meets, if its type allows one.
+
+    It compares the column as it is stored, so it reaches the scan and the
+    files' statistics. Text is ordered like its time only where it begins
+    with a date as ISO has it or with slashes; the latter and other
+    spellings are let through (by year, or whole). A day is added on both
+    sides, as text may name any zone.
+    """
+    kind = dict(raw.dtypes)["ts"]
+    low, high = (day and day + dt.timedelta(days=shift) for day, shift in ((period.start, -2), (period.end, 3)))
+    if not low and not high:
+        return None
+    if kind == "timestamp_ntz":
+        return " and ".join(f"ts {sign} timestamp_ntz'{day} 00:00:00'" for sign, day in ((">=", low), ("<", high)) if day)
+    if kind == "timestamp":
+        return " and ".join(f"ts {sign} timestamp'{day} 00:00:00Z'" for sign, day in ((">=", low), ("<", high)) if day)
+    if kind != "string":
+        return None
+    dashed = " and ".join([f"ts >= '{low}'" if low else "ts >= '0'", f"ts < '{high}'" if high else "ts < ':'"])
+    slashed = " and ".join([f"ts >= '{low.year:04d}/'" if low else "ts >= '0'", f"ts < '{high.year:04d}0'" if high else "ts < ':'"])
+    return f"({dashed} or {slashed} or ts < '0' or ts >= ':')"
+
+
+def events_of_period(raw: DataFrame, period: Period, **options) -> DataFrame:
+    """The valid events of a local period, cleaned; rows that cannot belong to it are left out at the scan."""
+    bounds = raw_bounds(raw, period)
+    return within_local_period(accepted(clean_events(raw.where(bounds) if bounds else raw, **options)), period)
+
+
 def check_events(events: DataFrame) -> DataFrame:
     """Adds ``motivo`` to typed pings: the first limit of the event table they break."""
     return events.selectExpr("*", f"{_first_failing(TABLE_CHECKS)} as motivo")

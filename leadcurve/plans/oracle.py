@@ -404,6 +404,13 @@ _KEPT_STATUS = """case when trim(lower(coalesce(c.status, ''))) in ('', 'ativo',
     then if(r.recente, 'ativo', 'testado') else trim(lower(c.status)) end"""
 _DAILY_OUT = f"""
 select {_SHOW_DAY}, anuncio, ad_id, campanha, {_SHOW_MONEY}, {", ".join(_COUNTS)} from diario"""
+_INGESTED = """
+select id, cast(ts as varchar) as ts, concat('sess-', cast(user_id as varchar)) as sessao, tipo, etapa,
+  case when tipo = 'etapa' then concat('v', case user_id % 4 when 3 then '0' else cast(user_id % 4 as varchar) end) end
+    as variante,
+  pagina, dados
+from recebidos where not recusado"""
+
 _HOURLY_COLUMNS = "data, hora, anuncio, gasto, valor, checkouts, vendas"
 
 # pings that carry a stage or answers; one of 31 characters as its variant is refused
@@ -674,6 +681,22 @@ select 'auditoria', null, null, null, null, null, null, null, concat_ws('|', 'tr
   (select count(*) from linhas where campaign_name like '%Quiz%'
     and data between date '2001-07-31' - 1095 and date '2001-07-31'),
   (select count(*) from diario), (select count(*) from rolagem where impressoes > 0), (select count(*) from hora_cheia))""",
+    "load_incremental": """
+select 'v1' as versao, (select count(distinct data) from diario) as dias_regravados, (select count(*) from diario) as dias_gravados,
+  0::bigint as linhas_malformadas, 0::bigint as linhas_recusadas
+union all select 'v2', 0, (select count(*) from diario), 0, 0
+union all select 'v3',
+  (select count(distinct data) from carga where ad_id <> '5' and data in (select data from carga where ad_id = '5')),
+  (select count(*) from (select distinct data, anuncio from carga where ad_id <> '5')),
+  (select count(*) from linhas where ad_id = '7'), (select count(*) from linhas where ad_id = '8')""",
+    "hourly_snapshot": f"""
+select 'depois' as leitura, cast(data as varchar) as data, hora, anuncio, {_SHOW_MONEY}, checkouts, vendas
+from (select {_HOURLY_COLUMNS} from horario union all
+  select {_HOURLY_COLUMNS} from horario_anterior where data < date '2001-07-25')
+union all
+select 'antes', cast(data as varchar), hora, anuncio, {_SHOW_MONEY}, checkouts, vendas from horario_anterior""",
+    "hourly_key_rejects": f"""
+select {_SHOW_DAY}, hora, anuncio, 2::bigint as linhas, 0 as dias_na_tabela from horario where hora % 6 = 0""",
     "load_summary": """
 select true as ok,
   (select count(*) from linhas where campaign_name like '%Quiz%'
@@ -682,18 +705,22 @@ select true as ok,
   (select count(*) from rolagem where impressoes > 0) as criativos,
   (select count(*) from horario) as horas_gravadas,
   '2001-07-31' as ate, '2001-07-31 12:00:00' as quando""",
-    "stream_ingest": """
-select id, cast(ts as varchar) as ts, concat('sess-', cast(user_id as varchar)) as sessao, tipo, etapa,
-  case when tipo = 'etapa' then concat('v', case user_id % 4 when 3 then '0' else cast(user_id % 4 as varchar) end) end
-    as variante,
-  pagina, dados
-from recebidos where not recusado""",
+    "stream_ingest": _INGESTED,
+    "stream_compacted_events": _INGESTED,
     "ingest_rejects": "select 'variante' as motivo, count(*) as linhas from recebidos where recusado having count(*) > 0",
     "stream_page_funnel": _summary("""
 select concat('sess-', cast(user_id as varchar)) as s, max(if(etapa <= 34, etapa, 0)) as maxi,
   max(if(etapa = 35, 1, 0)) as comprou
 from recebidos where not recusado and tipo = 'etapa' and pagina = 'tiktok' group by 1"""),
     "stream_compacted_funnel": _summary(_sessions()),
+    "stream_state_store": _summary(_sessions()),
+    "variants_sketch": f"""
+select variante, true as perto, cast(min(dia) as varchar) as ini, cast(max(dia) as varchar) as fim
+from pings where variante <> '' and {_IN_PERIOD} and funil = 'brasil' and fonte = 'meta'
+group by variante""",
+    "events_clean_period": f"""
+select {_EVENT_COLUMNS} from planilha_limpa where motivo is null and
+  cast((ts at time zone 'UTC') at time zone 'America/Sao_Paulo' as date) between date '2024-01-05' and date '2024-01-20'""",
     "stream_session_state": f"select sessao, maxi, comprou = 1 as comprou from ({_sessions()})",
     "stream_session_funnel": _summary(
         _sessions(f"{_IN_PERIOD} and variante in ('v0', 'v1') and funil = 'latam'")
@@ -705,4 +732,6 @@ from planilha_limpa""",
     "backfill_resume": f"select {_EVENT_COLUMNS} from planilha_limpa where motivo is null and motivo2 is null",
 }
 
+_BODIES["funnel_presets_of_days"] = _BODIES["funnel_by_preset"]
+
 ORACLE_SQL = {name: _sql(body) for name, body in _BODIES.items()}

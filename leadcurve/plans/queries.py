@@ -14,9 +14,10 @@ from leadcurve.operators import events as ev
 from leadcurve.operators import funnel as fn
 from leadcurve.operators import insights as ins
 from leadcurve.operators import merges, periods, reports
-from leadcurve.plans.load import AUDIT_KEY, LoadRules, load_ads, load_audit
-from leadcurve.sources import dimensions, schemas
+from leadcurve.plans.load import AUDIT_KEY, DAILY, HOURLY, HOURLY_KEY, LoadRules, load_audit, refresh_ads
+from leadcurve.sources import dimensions, schemas, snapshots
 from leadcurve.sources import driver_tables as drv
+from leadcurve.sources.local import local_table
 from leadcurve.sources.tables import (
     read_creative_sheet,
     read_insights,
@@ -485,37 +486,91 @@ def load_summary(spark, folder):
     )
 
 
+HOUR_FIELD = "hourly_stats_aggregated_by_advertiser_time_zone"
+AD_RULES = LoadRules(drv.CAMPAIGN_TEXT, drv.EXCLUDED_CAMPAIGNS, drv.EXCLUDED_ADS)
+
+
+def _exports(spark, records: DataFrame) -> tuple[str, str]:
+    """Records as JSON lines, daily and hourly; hourly ones have only the fields that are asked for."""
+    days, hours = work_folder(spark, "export-dias"), work_folder(spark, "export-horas")
+    records.write.json(days)
+    records.select("date_start", HOUR_FIELD, "ad_name", "spend", "actions", "action_values").write.json(hours)
+    return days, hours
+
+
+def _refresh(spark, folder, root, exports, version) -> snapshots.Config:
+    return refresh_ads(spark, root, *exports, drv.creatives(spark, folder), drv.aliases(spark), version, drv.AD_DAY, LOAD_TIME, AD_RULES)
+
+
 @query
 def load_job(spark, folder):
-    """The whole load, twice, over exported records; hourly ones have only the fields that are asked for."""
-    records = drv.nested_insights(spark, folder)
-    folders = {name: work_folder(spark, name) for name in ("export-dias", "export-horas", "tabelas")}
-    records.write.json(folders["export-dias"])
-    hour = "hourly_stats_aggregated_by_advertiser_time_zone"
-    records.select("date_start", hour, "ad_name", "spend", "actions", "action_values").write.json(folders["export-horas"])
-    rules = LoadRules(drv.CAMPAIGN_TEXT, drv.EXCLUDED_CAMPAIGNS, drv.EXCLUDED_ADS)
-    config, root = dimensions.config(spark), folders["tabelas"]
+    """The whole load, twice, over exported records; the second run finds every day as it was."""
+    exports, root = _exports(spark, drv.nested_insights(spark, folder)), work_folder(spark, "tabelas")
     for version in ("v1", "v2"):
-        daily, hourly = (read_insights(spark, folders[f"export-{name}"]) for name in ("dias", "horas"))
-        config = load_ads(
-            daily, hourly, drv.creatives(spark, folder), drv.aliases(spark), config, root, version, drv.AD_DAY, LOAD_TIME, rules
-        )
+        config = _refresh(spark, folder, root, exports, version)
     none = "cast(null as {}) as {}".format
     facts = "gasto, valor, checkouts, vendas"
+    daily = snapshots.read_days(spark, root, DAILY, drv.ad_daily(spark, folder).schema, config.days(DAILY))
+    hourly = snapshots.read_days(spark, root, HOURLY, drv.ad_hourly(spark, folder).schema, config.days(HOURLY))
+    creatives = spark.read.parquet(f"{root}/criativos/versao={config.days('criativos')['versao']}")
     tables = [
-        ("diario", f"criativos_diario/{version}", f"data, {none('int', 'hora')}, anuncio, {facts}, {none('string', 'texto')}"),
-        ("horario", "criativos_hora", f"data, hora, anuncio, {facts}, {none('string', 'texto')}"),
-        ("criativos", f"criativos/{version}", f"{none('date', 'data')}, {none('int', 'hora')}, anuncio, {', '.join(none('decimal(18,2)', c) for c in ('gasto', 'valor'))}, {none('bigint', 'checkouts')}, {none('bigint', 'vendas')}, status as texto"),
+        ("diario", daily, f"data, {none('int', 'hora')}, anuncio, {facts}, {none('string', 'texto')}"),
+        ("horario", hourly, f"data, hora, anuncio, {facts}, {none('string', 'texto')}"),
+        ("criativos", creatives, f"{none('date', 'data')}, {none('int', 'hora')}, anuncio, {', '.join(none('decimal(18,2)', c) for c in ('gasto', 'valor'))}, {none('bigint', 'checkouts')}, {none('bigint', 'vendas')}, status as texto"),
     ]
-    rows = [spark.read.parquet(f"{root}/{path}").selectExpr(f"'{name}' as tabela", *sql_list(columns)) for name, path, columns in tables]
+    rows = [df.selectExpr(f"'{name}' as tabela", *sql_list(columns)) for name, df, columns in tables]
     fields = "ok", "linhas_meta", "dias_gravados", "criativos", "horas_gravadas"
-    audit = config.where(F.col("chave") == AUDIT_KEY).select(
+    audit = config.table(spark).where(F.col("chave") == AUDIT_KEY).select(
         F.concat_ws("|", *[F.get_json_object("valor", f"$.{f}") for f in fields]).alias("texto")
     )
     every = rows[0].unionByName(rows[1]).unionByName(rows[2])
     return every.unionByName(audit.withColumn("tabela", F.lit("auditoria")), allowMissingColumns=True)
 
 
+@query
+def load_incremental(spark, folder):
+    """Audits of three loads: all days, the same export again, and one without an ad, with broken lines and a number too large."""
+    records, root = drv.nested_insights(spark, folder), work_folder(spark, "tabelas")
+    whole = _exports(spark, records)
+    days, hours = _exports(spark, records.where("ad_id != '5'"))
+    broken = records.where("ad_id = '7'").selectExpr("""concat('{"date_start": "', date_start) as value""")
+    broken.write.mode("append").text(days)
+    records.where("ad_id = '8'").withColumn("clicks", F.lit("1e30")).write.mode("append").json(days)
+    audits = []
+    for version, exports in (("v1", whole), ("v2", whole), ("v3", (days, hours))):
+        audit = _refresh(spark, folder, root, exports, version).value(AUDIT_KEY, {})
+        audits.append((version, *[audit[k] for k in ("dias_regravados", "dias_gravados", "linhas_malformadas", "linhas_recusadas")]))
+    return local_table(spark, "versao string, dias_regravados bigint, dias_gravados bigint, linhas_malformadas bigint, linhas_recusadas bigint", audits)
+
+
+@query
+def hourly_snapshot(spark, folder):
+    """Two loads three days apart; a reader that began before the second still sees all of the first."""
+    root, insights = work_folder(spark, "tabelas"), drv.insights(spark, folder)
+    seen = {}
+    for reader, today in (("antes", drv.AD_DAY - dt.timedelta(days=3)), ("depois", drv.AD_DAY)):
+        window = ins.hourly_window(today)
+        fresh = ins.hourly_facts(ins.kept_rows(insights, drv.CAMPAIGN_TEXT, period=window))
+        snapshots.replace_period(fresh, root, HOURLY, reader, window, HOURLY_KEY)
+        seen[reader] = snapshots.read_days(spark, root, HOURLY, fresh.schema, snapshots.read_config(spark, root).days(HOURLY))
+    parts = [df.withColumn("leitura", F.lit(reader)) for reader, df in seen.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def hourly_key_rejects(spark, folder):
+    """Hours of which every sixth comes twice are refused as a whole; the report names them, the table stays empty."""
+    root, window = work_folder(spark, "tabelas"), ins.hourly_window(drv.AD_DAY)
+    fresh = drv.ad_hourly(spark, folder)
+    twice = fresh.unionByName(fresh.where("hora % 6 = 0"))
+    try:
+        snapshots.replace_period(twice, root, HOURLY, "v1", window, HOURLY_KEY)
+    except snapshots.RefusedWrite as refused:
+        left = len(snapshots.read_config(spark, root).days(HOURLY))
+        return refused.report.withColumn("dias_na_tabela", F.lit(left))
+    return fresh.limit(0).selectExpr(*HOURLY_KEY, "0L as linhas", "0 as dias_na_tabela")
+
+
 def sql_list(columns: str) -> list[str]:
     """Expressions separated by commas outside brackets."""
     return re.split(r", (?![^(]*\))", columns)
@@ -579,6 +634,54 @@ def stream_compacted_funnel(spark, folder):
     return fn.percentages(fn.funnel_totals(st.tracked_sessions(partials))).drop("etapas")
 
 
+@query
+def stream_compacted_events(spark, folder):
+    """Events after a compaction, a replay of what it covers, its removal, and pings that came later."""
+    target, root = work_folder(spark, "eventos"), work_folder(spark, "tabelas")
+    pings = drv.as_pings(_event_files(spark, folder))
+    early, late = pings.where("id % 3 != 0"), pings.where("id % 3 = 0")
+    st.ingest(early, target, work_folder(spark, "posicao")).awaitTermination()
+    st.compact_events(spark, target, root)
+    st.ingest(early, target, work_folder(spark, "posicao")).awaitTermination()  # the same batch numbers once more
+    st.retire_compacted(spark, target, root)
+    st.ingest(late, target, work_folder(spark, "posicao"), origin="tarde").awaitTermination()
+    return st.read_events(spark, target, root).select("id", "ts", "sessao", "tipo", "etapa", "variante", "pagina", "dados")
+
+
+@query
+def stream_state_store(spark, folder):
+    """Funnel out of the session-days of a state store; a second stream brings late pings and repeats."""
+    root = work_folder(spark, "tabelas")
+    events = drv.as_events(_event_files(spark, folder))
+    for rows, origin in ((events.where("id % 3 != 0"), "pings"), (events.where("id % 3 != 1"), "tarde")):
+        st.keep_sessions(rows, root, work_folder(spark, "posicao"), origin).awaitTermination()
+    return fn.percentages(fn.funnel_totals(st.tracked_sessions(st.kept_sessions(spark, root)))).drop("etapas")
+
+
+@query
+def funnel_presets_of_days(spark, folder):
+    """All presets out of stored session-days, without a look at the events."""
+    stored = work_folder(spark, "sessoes-dia")
+    st.compact_session_days(st.session_days(drv.events(spark, folder)), stored)
+    return fn.funnel_by_period_of_days(spark.read.parquet(stored), periods.presets(drv.EVENT_DAY))
+
+
+@query
+def variants_sketch(spark, folder):
+    """Variants of a period out of stored sketches; ``perto``: within 3 % of the exact count."""
+    stored = work_folder(spark, "variantes-dia")
+    fn.variant_days(drv.events(spark, folder)).write.parquet(stored)
+    found = fn.variants_of_days(spark.read.parquet(stored), dimensions.pages(spark), FUNNEL_PERIOD, "brasil", "meta")
+    exact = variants_in_period(spark, folder).selectExpr("variante", "sessoes as exatas")
+    return found.join(exact, "variante").selectExpr("variante", "abs(sessoes - exatas) <= 0.03 * exatas as perto", "ini", "fim")
+
+
+@query
+def events_clean_period(spark, folder):
+    """Cleaned events of a period; the raw time prunes the scan."""
+    return ev.events_of_period(drv.event_sheet(spark, folder), FUNNEL_PERIOD)
+
+
 @query
 def stream_session_state(spark, folder):
     target, checkpoint = work_folder(spark, "sessoes"), work_folder(spark, "posicao")

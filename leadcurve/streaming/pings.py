@@ -16,6 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from leadcurve.operators.events import accepted, clean_events, ping_to_row, rejected
 from leadcurve.operators.funnel import of_page_group, of_variants, session_rollup, stage_pings
 from leadcurve.operators.periods import EVERYTHING, Period, local_date, require_utc, within_dates
+from leadcurve.sources import schemas
+from leadcurve.sources.snapshots import Config, folder_names, merge_rows, read_config, read_days, switch
+from leadcurve.sources.tables import drop_folder
 
 
 def file_stream(
@@ -142,6 +145,91 @@ def compact_session_days(partials: DataFrame, path: str) -> None:
     _rewrite(merge_session_days(partials).hint("rebalance", "dia")).partitionBy("dia").parquet(path)
 
 
+# --- compaction of events ---------------------------------------------------
+LEDGER, GENERATIONS = "eventos:compactados", "eventos_compactos"
+#: A compaction that finds so many generations merges them into one.
+MOST_GENERATIONS = 8
+_STORED = f"{schemas.EVENTS}, dia date, origem string, lote int"
+
+
+def _batches(spark: SparkSession, target: str) -> list[tuple[str, int]]:
+    """The batches that lie complete under the event table."""
+    found = []
+    for origin in folder_names(spark, target):
+        if origin.startswith("origem="):
+            for batch in folder_names(spark, f"{target}/{origin}"):
+                if batch.startswith("lote=") and "_SUCCESS" in folder_names(spark, f"{target}/{origin}/{batch}"):
+                    found.append((origin[7:], int(batch[5:])))
+    return found
+
+
+def _covered(ledger: dict, origin: str, batch: int) -> bool:
+    return any(low <= batch <= high for low, high in ledger["lotes"].get(origin, ()))
+
+
+def _with_batches(ledger: dict, batches: list[tuple[str, int]]) -> dict[str, list[list[int]]]:
+    """The ledger's batches by origin, as ranges, and these ones."""
+    out = {}
+    for origin in {o for o, _ in batches} | set(ledger["lotes"]):
+        numbers = sorted([[b, b] for o, b in batches if o == origin] + ledger["lotes"].get(origin, []))
+        ranges: list[list[int]] = []
+        for low, high in numbers:
+            if ranges and low <= ranges[-1][1] + 1:
+                ranges[-1][1] = max(ranges[-1][1], high)
+            else:
+                ranges.append([low, high])
+        out[origin] = ranges
+    return out
+
+
+def _stored(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], _STORED)
+    rows = spark.read.schema(_STORED).option("basePath", base).parquet(*paths)
+    return rows.selectExpr(*[field.split()[0] for field in _STORED.split(", ")])
+
+
+def compact_events(spark: SparkSession, target: str, root: str, most: int = MOST_GENERATIONS) -> Config:
+    """Gathers the small files of all complete batches into a generation of large ones, by local day.
+
+    The ledger in the config of ``root`` has the generations and, by origin,
+    the ranges of batches they cover; it is switched in one step. From then
+    on ``read_events`` passes those batches over, whether their folders are
+    still there, were removed, or are written once more by a replay.
+    """
+    config = read_config(spark, root)
+    ledger = config.value(LEDGER, {"geracoes": [], "lotes": {}})
+    waiting = [(o, b) for o, b in _batches(spark, target) if not _covered(ledger, o, b)]
+    if not waiting:
+        return config
+    rows, kept = _stored(spark, target, [f"{target}/origem={o}/lote={b}" for o, b in waiting]), ledger["geracoes"]
+    if len(kept) >= most:
+        rows = rows.unionByName(_stored(spark, f"{root}/{GENERATIONS}", [f"{root}/{GENERATIONS}/geracao={g}" for g in kept]))
+        kept = []
+    generation = f"g{config.version + 1}"
+    # origin and batch go along, so that every row can be traced
+    _rewrite(rows.hint("rebalance", "dia")).partitionBy("dia").parquet(f"{root}/{GENERATIONS}/geracao={generation}")
+    return switch(spark, root, config, {LEDGER: {"geracoes": [*kept, generation], "lotes": _with_batches(ledger, waiting)}})
+
+
+def read_events(spark: SparkSession, target: str, root: str) -> DataFrame:
+    """All events, each once: the generations, and the batches that none of them covers."""
+    ledger = read_config(spark, root).value(LEDGER, {"geracoes": [], "lotes": {}})
+    waiting = [f"{target}/origem={o}/lote={b}" for o, b in _batches(spark, target) if not _covered(ledger, o, b)]
+    generations = [f"{root}/{GENERATIONS}/geracao={g}" for g in ledger["geracoes"]]
+    return _stored(spark, f"{root}/{GENERATIONS}", generations).unionByName(_stored(spark, target, waiting))
+
+
+def retire_compacted(spark: SparkSession, target: str, root: str) -> list[str]:
+    """Removes batches that a generation covers and generations that were merged; readers of the former state lose their files."""
+    ledger = read_config(spark, root).value(LEDGER, {"geracoes": [], "lotes": {}})
+    gone = [f"{target}/origem={o}/lote={b}" for o, b in _batches(spark, target) if _covered(ledger, o, b)]
+    gone += [f"{root}/{GENERATIONS}/{g}" for g in folder_names(spark, f"{root}/{GENERATIONS}") if g.startswith("geracao=") and g[8:] not in ledger["geracoes"]]
+    for path in gone:
+        drop_folder(spark, path)
+    return gone
+
+
 # --- session state ----------------------------------------------------------
 def session_days(events: DataFrame) -> DataFrame:
     """Furthest screen and buy click per session, local day, variant and page.
@@ -183,3 +271,57 @@ def tracked_sessions(
     return of_page_group(kept, pages, funnel, source).groupBy("sessao").agg(
         F.max("maxi").alias("maxi"), F.bool_or("comprou").alias("comprou")
     )
+
+
+# --- session state in a state store -----------------------------------------
+SESSIONS = "sessoes_dia"
+SESSION_KEY = ("data", "variante", "pagina", "sessao")
+SESSION_DAYS = "data date, variante string, pagina string, sessao string, maxi int, comprou boolean"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*SESSION_KEY).agg(F.max("maxi").alias("maxi"), F.bool_or("comprou").alias("comprou"))
+
+
+def keep_sessions(events: DataFrame, root: str, checkpoint: str, origin: str = "pings") -> StreamingQuery:
+    """Keeps session-days in a RocksDB state store and merges what changed into the table ``sessoes_dia`` of ``root``.
+
+    A keyed aggregate in update mode: each micro-batch gives the session-days
+    that its pings changed, late ones included, and only the days they touch
+    are written anew, in one switch. Maximum and boolean-or do not care
+    about repeats, so a replayed batch and other streams into the same table
+    are merged alike. State grows with the sessions, on local disks and under
+    the checkpoint; ``track_sessions`` holds none.
+    """
+    days = session_days(events).withColumnRenamed("dia", "data")
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            # one version a run of a batch: a replay never writes where readers are
+            tries = read_config(batch.sparkSession, root).version
+            merge_rows(batch, root, SESSIONS, f"{origin}-{batch_id}-{tries}", SESSION_KEY, SESSION_DAYS, _merged)
+        finally:
+            batch.unpersist()
+
+    spark = events.sparkSession
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        return (
+            days.writeStream.outputMode("update")
+            .foreachBatch(merge)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(_STORE, before)
+
+
+def kept_sessions(spark: SparkSession, root: str, period: Period = EVERYTHING) -> DataFrame:
+    """The session-days of ``keep_sessions``, as ``tracked_sessions`` takes them; only folders of the period are read."""
+    days = read_config(spark, root).days(SESSIONS)
+    return read_days(spark, root, SESSIONS, SESSION_DAYS, days, period).withColumnRenamed("data", "dia")
