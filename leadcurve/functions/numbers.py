@@ -38,9 +38,9 @@ def money_or_zero(text: str) -> str:
 
 def too_large(text: str, amount: bool = False) -> str:
     """Whether a text is a finite number beyond a long, or beyond decimal(18,2) for an amount. Short plain ones are not tried."""
-    limit = "1e16D" if amount else "9.223372036854775e18D"
+    kind, limit = ("decimal(18,2)", "1e15D") if amount else ("bigint", "9e18D")
     number = f"abs(try_cast({text} as double))"
-    return f"coalesce((length({text}) > 15 or {text} rlike '[eE]') and {number} >= {limit} and {number} < double('infinity'), false)"
+    return f"coalesce((length({text}) > 15 or {text} rlike '[eE]') and try_cast({text} as {kind}) is null and {number} >= {limit} and {number} < double('infinity'), false)"
 
 
 def leading_int(text: str) -> str:
