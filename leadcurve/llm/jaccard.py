@@ -28,7 +28,7 @@ MAX_BOUNDARY = 16
 #: A list is kept for another turn, up to so many, while it has more open pairs than this times its sets.
 PAIRS_PER_SET, TURNS = 2, 5
 #: Shingles, or pairs, that are worked on at once in a task.
-UNIT = 1_000_000
+UNIT = 250_000
 
 
 def overlap(a, b):

@@ -30,7 +30,7 @@ STRANGE_MARGIN = 0.1
 #: Fewer held-out texts than this say nothing; then this part of a text may be unknown.
 STRANGE_LEAST, STRANGE_DEFAULT = 50, 0.9
 BATCH = 256
-BATCH_CHARS = 500_000
+BATCH_CHARS = 150_000
 SCHEMA = "doc_id bigint, lang_pred string, score double"
 
 
