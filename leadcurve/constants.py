@@ -49,7 +49,6 @@ GROUP_TAGS = (
     "formato", "estrutura", "angulo", "emocao",
     "amplificador", "arquetipo", "segmentacao", "prova",
 )
-METRICS = ("cpa", "roas", "roi", "faturamento", "ctr", "cpc", "gasto")
 
 # --- Fixed values: action types of the ad platform ------------------------
 VIDEO_VIEW = "video_view"
