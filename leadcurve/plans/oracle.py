@@ -733,5 +733,7 @@ from planilha_limpa""",
 }
 
 _BODIES["funnel_presets_of_days"] = _BODIES["funnel_by_preset"]
+_BODIES["creative_keyed_refresh"] = _BODIES["creative_upsert"]
+_BODIES["cost_keyed_changes"] = _BODIES["cost_changes"]
 
 ORACLE_SQL = {name: _sql(body) for name, body in _BODIES.items()}

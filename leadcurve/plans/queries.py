@@ -15,7 +15,7 @@ from leadcurve.operators import funnel as fn
 from leadcurve.operators import insights as ins
 from leadcurve.operators import merges, periods, reports
 from leadcurve.plans.load import AUDIT_KEY, DAILY, HOURLY, HOURLY_KEY, LoadRules, load_audit, refresh_ads
-from leadcurve.sources import dimensions, schemas, snapshots
+from leadcurve.sources import dimensions, keyed, schemas, snapshots
 from leadcurve.sources import driver_tables as drv
 from leadcurve.sources.local import local_table
 from leadcurve.sources.tables import (
@@ -543,6 +543,26 @@ def load_incremental(spark, folder):
     return local_table(spark, "versao string, dias_regravados bigint, dias_gravados bigint, linhas_malformadas bigint, linhas_recusadas bigint", audits)
 
 
+@query
+def creative_keyed_refresh(spark, folder):
+    """Two loads of one roll-up into creatives laid out by name; each shuffles the roll-up alone."""
+    root = work_folder(spark, "tabelas")
+    keyed.write_keyed(drv.creatives(spark, folder), root, "criativos", "antes", ["anuncio"])
+    for version in ("v1", "v2"):
+        keyed.refresh_keyed(spark, root, "criativos", version, lambda stored: cr.upsert_creatives(stored, _rollup(spark, folder), LOAD_TIME))
+    return keyed.read_keyed(spark, root, "criativos")
+
+
+@query
+def cost_keyed_changes(spark, folder):
+    """A batch of changes to costs laid out by id."""
+    root = work_folder(spark, "tabelas")
+    stored, changes = _cost_changes(spark, folder)
+    keyed.write_keyed(stored, root, "custos", "antes", ["id"])
+    keyed.refresh_keyed(spark, root, "custos", "v1", lambda table: merges.apply_changes(table, changes, "id"))
+    return keyed.read_keyed(spark, root, "custos")
+
+
 @query
 def hourly_snapshot(spark, folder):
     """Two loads three days apart; a reader that began before the second still sees all of the first."""
