@@ -54,11 +54,35 @@ def _iso(text: str) -> str:
     zone = f"case when {part[5]} != '' then concat({part[5]}, ':', {part[6]}) when {text} rlike '(GMT|UTC)' then 'Z' else '' end"
     slashed = r"r'^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})'"
     return (
-        f"(case when {text} rlike {shown} then concat({part[3]}, '-', {month}, '-', {part[2]}, ' ', {clock}, {zone})"
-        f" when {text} rlike {slashed} then regexp_replace({text}, {slashed}, '$1-$2-$3') else {text} end)"
+        f"(case when {text} rlike r'^[0-9]{{4}}-' then {text}"
+        f" when {text} rlike {shown} then concat({part[3]}, '-', {month}, '-', {part[2]}, ' ', {clock}, {zone})"
+        f" when {text} rlike {slashed} then regexp_replace({text}, {slashed}, '$1-$2-$3') else {_iso_of_words(text)} end)"
     )
 
 
+def _iso_of_words(text: str) -> str:
+    """``Jan 5, 2024``, ``5 January 2024 10:00 PM``, ``1/5/2024 10:00`` (month first) or a mail header's time as ISO text; else null.
+
+    A weekday in front and a remark in brackets behind are passed over.
+    """
+    day_first = r"r'^(?:[A-Z][a-z]+,? )?([0-9]{1,2})[ -]([A-Z][a-z]{2})[a-z]*[.]?[ -]([0-9]{4})'"
+    numbers = r"r'^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})'"
+    # all forms with the month in front
+    front = f"regexp_replace(regexp_replace({text}, {day_first}, '$2 $1 $3'), {numbers}, '$1 $2 $3')"
+    form = (
+        r"r'^(?:[A-Z][a-z]+,? )?([A-Z][a-z]{2}|[0-9]{1,2})[a-z]*[.]? ([0-9]{1,2}),? ([0-9]{4})"
+        r"(?:,? ([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?: ?([AaPp])[Mm])? ?(GMT|UTC|Z)?(?:([+-][0-9]{2}):?([0-9]{2}))?)?(?: [(].*[)])?$'"
+    )
+    month, day, year, hour, minute, second, half, utc, ahead, rest = (f"regexp_extract(f, {form}, {i})" for i in range(1, 11))
+    month = f"if({month} rlike '^[0-9]', {month}, cast((locate({month}, '{_MONTHS}') + 2) / 3 as int))"
+    whole = f"cast({hour} as int)"
+    of_half = f"case when {whole} between 1 and 12 then {whole} % 12 + if(lower({half}) = 'p', 12, 0) end"
+    clock = f"if({hour} = '', '00:00:00', concat(lpad(if({half} = '', {whole}, {of_half}), 2, '0'), ':', {minute}, ':', coalesce(nullif({second}, ''), '00')))"
+    zone = f"case when {ahead} != '' then concat({ahead}, ':', {rest}) when {utc} != '' then 'Z' else '' end"
+    iso = f"case when f rlike {form} then concat({year}, '-', lpad({month}, 2, '0'), '-', lpad({day}, 2, '0'), ' ', {clock}, {zone}) end"
+    return f"get(transform(array({front}), f -> {iso}), 0)"
+
+
 def utc_timestamp(text: str, zone: str = "UTC") -> str:
     """Text to a zone-less UTC timestamp, null when it is no date.
 

@@ -91,7 +91,7 @@ from quedas"""
 _PARTS["planilha"] = """
 select event_id as id,
   -- other spellings of a time are given by the UTC time they mean, to the second
-  case when event_id % 50 = 3 then 'bad' when event_id % 50 in (15, 16) then cast(date_trunc('second', ts) as varchar)
+  case when event_id % 50 = 3 then 'bad' when event_id % 50 in (15, 16, 18, 19, 20) then cast(date_trunc('second', ts) as varchar)
     when event_id % 50 = 17 then cast(date_trunc('second', ts) + interval 3 hour as varchar)
     else cast(ts as varchar) end as ts,
   case event_id % 50 when 0 then 'abc' when 5 then concat('  u', cast(user_id as varchar), '-abc ')

@@ -103,6 +103,9 @@ def as_event_sheet(raw: DataFrame) -> DataFrame:
         "when event_id % 50 = 15 then date_format(ts, 'yyyy/MM/dd HH:mm:ss') "
         "when event_id % 50 = 16 then date_format(ts, 'EEE MMM dd yyyy HH:mm:ss') "
         "when event_id % 50 = 17 then concat(date_format(ts, 'EEE MMM dd yyyy HH:mm:ss'), ' GMT-0300 (x)') "
+        "when event_id % 50 = 18 then date_format(ts, 'MMM d, yyyy HH:mm:ss') "
+        "when event_id % 50 = 19 then date_format(ts, 'M/d/yyyy h:mm:ss a') "
+        "when event_id % 50 = 20 then concat(date_format(ts, 'EEE, dd MMM yyyy HH:mm:ss'), ' GMT') "
         "else cast(ts as string) end as ts",
         "case event_id % 50 when 0 then 'abc' when 5 then concat('  u', cast(user_id as string), '-abc ') "
         "when 6 then repeat('s', 65) else concat('sess-', cast(user_id as string)) end as sessao",

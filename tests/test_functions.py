@@ -54,6 +54,21 @@ def test_money_or_zero(spark):
         ("Fri Jan 05 2024 10:00:00 GMT", "2024-01-05 10:00:00"),
         ("2024-01-05T10:00:00-03:00", "2024-01-05 13:00:00"),
         ("Fri Xxx 05 2024 10:00:00", None),
+        ("Jan 5, 2024", "2024-01-05 00:00:00"),
+        ("January 5, 2024 9:05 PM", "2024-01-05 21:05:00"),
+        ("Friday, Dec 5, 2024 12:00:01 am", "2024-12-05 00:00:01"),
+        ("5 Jan 2024", "2024-01-05 00:00:00"),
+        ("05-Mar-2024 10:00", "2024-03-05 10:00:00"),
+        ("Fri, 05 Jan 2024 10:00:00 GMT", "2024-01-05 10:00:00"),
+        ("Fri, 5 Jan 2024 10:00:00 -0300 (BRT)", "2024-01-05 13:00:00"),
+        ("1/5/2024 10:00", "2024-01-05 10:00:00"),
+        ("1/5/2024, 12:30:15 PM", "2024-01-05 12:30:15"),
+        ("12/31/2024", "2024-12-31 00:00:00"),
+        ("13/5/2024", None),
+        ("Feb 30, 2024", None),
+        ("1/5/2024 13:00 PM", None),
+        ("Jan 5, 2024 at noon", None),
+        ("5 Xxx 2024", None),
     ],
 )
 def test_time_text(spark, given, expected):
@@ -63,6 +78,8 @@ def test_time_text(spark, given, expected):
 def test_time_text_of_a_zone(spark):
     of_zone = text.utc_timestamp("'2024-01-05 10:00:00'", "America/Sao_Paulo")
     assert value(spark, f"cast({of_zone} as string)") == "2024-01-05 13:00:00"
+    of_words = text.utc_timestamp("'1/5/2024 10:00 PM'", "America/Sao_Paulo")
+    assert value(spark, f"cast({of_words} as string)") == "2024-01-06 01:00:00"
     with_offset = text.utc_timestamp("'2024-01-05 10:00:00+00:00'", "America/Sao_Paulo")
     assert value(spark, f"cast({with_offset} as string)") == "2024-01-05 10:00:00"
 
