@@ -129,8 +129,8 @@ def raw_bounds(raw: DataFrame, period: Period) -> str | None:
     It compares the column as it is stored, so it reaches the scan and the
     files' statistics. Text is ordered like its time only where it begins
     with a date as ISO has it or with slashes; the latter and other
-    spellings are let through (by year, or whole), those that begin with one
-    or two digits of a day or month too. A day is added on both sides, as
+    spellings are let through (by year, or whole), and so are years before
+    1900 and from 2100 on. A day is added on both sides, as
     text may name any zone.
     """
     kind = dict(raw.dtypes)["ts"]
@@ -145,9 +145,8 @@ def raw_bounds(raw: DataFrame, period: Period) -> str | None:
         return None
     dashed = " and ".join([f"ts >= '{low}'" if low else "ts >= '0'", f"ts < '{high}'" if high else "ts < ':'"])
     slashed = " and ".join([f"ts >= '{low.year:04d}/'" if low else "ts >= '0'", f"ts < '{high.year:04d}0'" if high else "ts < ':'"])
-    # one or two digits and then a blank, a hyphen or a slash, all of which sort before 0
-    short = " or ".join(f"ts >= '{n} ' and ts < '{n}0'" for n in [*range(1, 10), *(f"{n:02d}" for n in range(1, 32))])
-    return f"({dashed} or {slashed} or {short} or ts < '0' or ts >= ':')"
+    # all but what begins with 190-199 or 200-209, the years of events; a day or month in front has its blank, hyphen or slash there, before 0
+    return f"({dashed} or {slashed} or ts < '190' or ts >= '2 ' and ts < '200' or ts >= '21')"
 
 
 def events_of_period(raw: DataFrame, period: Period, **options) -> DataFrame:

@@ -223,9 +223,10 @@ def test_period_reaches_the_scan(spark, tmp_path):
 
 
 def test_bounds_let_every_row_of_the_period_through(spark):
-    texts = ["2024-01-05 02:59:59", "2024-01-05 03:00:00", "2024-01-07 02:59:59", "2024-01-04T21:00:00-08:00", "2024-01-07T05:00:00+09:00", "2024/01/05 10:00:00", "2024/1/6 10:00:00", "Jan 5, 2024", "1/6/2024 10:00", "01/05/2024 10:00", "5 Jan 2024 10:00", "05-Jan-2024 10:00:00", "12/31/2023", "Fri Jan 05 2024 10:00:00", "  2024-01-05 10:00:00", "2024-01-05", "2023/12/31 10:00:00", "2024-02-01 00:00:00", "bad", None]
+    texts = ["2024-01-05 02:59:59", "2024-01-05 03:00:00", "2024-01-07 02:59:59", "2024-01-04T21:00:00-08:00", "2024-01-07T05:00:00+09:00", "2024/01/05 10:00:00", "2024/1/6 10:00:00", "Jan 5, 2024", "1/6/2024 10:00", "01/05/2024 10:00", "5 Jan 2024 10:00", "05-Jan-2024 10:00:00", "12/31/2023", "2/5/2024", "5 Jan 2024", "05 Jan 2024", "4-Jan-2024 23:00 -0300", "Fri Jan 05 2024 10:00:00", "  2024-01-05 10:00:00", "2024-01-05", "2023/12/31 10:00:00", "2024-02-01 00:00:00", "bad", None]
+    texts += [f"{day} Jan 2024" for day in range(1, 32)] + [f"{month}/20/2024" for month in range(1, 13)]
     rows = spark.createDataFrame([(i, t, "sess-1", "etapa", "3", "v1", "v2") for i, t in enumerate(texts)], schemas.EVENT_SHEET)
-    for start, end in (("2024-01-05", "2024-01-06"), (None, "2024-01-06"), ("2024-01-05", None), (None, None)):
+    for start, end in (("2024-01-18", "2024-02-20"), ("2024-01-05", "2024-01-06"), (None, "2024-01-06"), ("2024-01-05", None), (None, None)):
         period = periods.between(start, end)
         expected = periods.within_local_period(ev.accepted(ev.clean_events(rows)), period)
         assert {r.id for r in ev.events_of_period(rows, period).collect()} == {r.id for r in expected.collect()}
