@@ -23,8 +23,11 @@ def rounded_ratio(numerator: str, denominator: str, times: int, digits: int) ->
 
 
 def count_or_zero(text: str) -> str:
-    """Text to a whole number; the detour over double is taken only by text that is none."""
-    fraction = f"nanvl(try_cast({text} as double), 0D)"
+    """Text to a whole number; the detour over double is taken only by text that is none but has a digit.
+
+    Text without one is 0 anyway, and a cast to double throws and catches an exception for most of it.
+    """
+    fraction = f"if({text} rlike '[0-9]', nanvl(try_cast({text} as double), 0D), 0D)"
     return f"coalesce(try_cast({text} as bigint), try_cast({fraction} as bigint), 0L)"
 
 

@@ -24,6 +24,7 @@ from leadcurve.sources.tables import (
     replace_days,
     work_folder,
     write_by_month,
+    write_insights,
 )
 from leadcurve.streaming import pings as st
 
@@ -205,7 +206,7 @@ def insights_actions(spark, folder):
 def insights_json(spark, folder):
     """Nested records exported as JSON lines, read back under the declared schema and loaded."""
     export = work_folder(spark, "insights")
-    drv.nested_insights(spark, folder).write.json(export)
+    write_insights(drv.nested_insights(spark, folder), export)
     parsed = ins.parse_insights(read_insights(spark, export))
     return ins.daily_facts(drv.loaded_rows(spark, parsed))
 
