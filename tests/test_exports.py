@@ -53,3 +53,46 @@ def test_counts_in_odd_texts(spark):
     odd = {"abc": 0, "": 0, "NaN": 0, "Infinity": 0, "-": 0, "12": 12, " 7 ": 7, "3.9": 3, "1e3": 1000, "-2.5": -2, "1e30": 0, "x1": 0}
     got = spark.createDataFrame([(t,) for t in odd], "t string").select("t", F.expr(count_or_zero("t")))
     assert {r[0]: r[1] for r in got.collect()} == odd
+
+
+def test_facts_of_combined_rows_are_the_daily_facts_in_one_shuffle(spark):
+    from leadcurve.sources import driver_tables as drv
+
+    named = drv.loaded_rows(spark, ins.combine_rows(drv.insights(spark, "/root/testdata/sf0.001")).localCheckpoint())
+    found = ins.facts_of_combined(named)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, ins.daily_facts(named).collect()))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+
+
+def test_shuffles_go_with_their_query(spark, tmp_path):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    with tables.shuffles_dropped(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key, None) == before
+
+
+def test_rows_in_ranges_are_not_shuffled_again(spark, tmp_path):
+    from leadcurve.sources.snapshots import write_version
+
+    rows = spark.range(1000).selectExpr("date_add(date'2024-01-01', cast(id % 20 as int)) as data", "cast(id as string) as anuncio")
+    ranged = rows.repartitionByRange(4, "data", "anuncio").groupBy("data", "anuncio").count()
+    days, found = write_version(ranged, str(tmp_path), "t", "v1", ["data", "anuncio"], by_range=True)
+    assert len(days) == 20 and found["linhas"] == 1000
+    files = list(Path(tmp_path).glob("t/versao=v1/data=*/part-*"))
+    assert len(files) <= 20 + 4
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1000
+
+
+def test_exports_of_a_load_go_when_it_is_done(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(queries, "work_folder", lambda spark, name: str(tmp_path / name))
+    written, alive = [], []
+    monkeypatch.setattr(queries, "write_insights", lambda records, path: written.append(path) or tables.write_insights(records.limit(50), path))
+    monkeypatch.setattr(queries, "_refresh", lambda spark, folder, root, exports, version: alive.append([Path(p).exists() for p in written]) or FakeConfig())
+    queries.QUERIES["load_incremental"](spark, "/root/testdata/sf0.001").collect()
+    assert len(written) == 4 and len(alive) == 3 and not any(Path(p).exists() for p in written)
+
+
+class FakeConfig:
+    def value(self, key, default):
+        return dict.fromkeys(("dias_regravados", "dias_gravados", "linhas_malformadas", "linhas_recusadas"), 0)
