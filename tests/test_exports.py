@@ -1,11 +1,16 @@
 """Exports of ad insights: compressed, several files, each line parsed once; loads that leave little on disk."""
 
+import json
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from leadcurve.functions import actions as act
+from leadcurve.functions.numbers import too_large
 from leadcurve.operators import insights as ins
-from leadcurve.plans import queries
+from leadcurve.operators import periods
+from leadcurve.plans import load, queries
+from leadcurve.sources import driver_tables as drv
 from leadcurve.sources import tables
 
 
@@ -96,3 +101,66 @@ def test_exports_of_a_load_go_when_it_is_done(spark, monkeypatch, tmp_path):
 class FakeConfig:
     def value(self, key, default):
         return dict.fromkeys(("dias_regravados", "dias_gravados", "linhas_malformadas", "linhas_recusadas"), 0)
+
+
+# --- what a load reads ------------------------------------------------------
+def odd_lines():
+    """Records inside and outside of what a load takes, sound, refused and no JSON."""
+    plays = [{"action_type": "video_view", "value": "3"}, {"action_type": "video_view", "value": "2.5"}, {"action_type": None, "value": "7"}, {"value": "9"}]
+    sales = [{"action_type": "purchase", "value": "1"}, {"action_type": "omni_purchase", "value": "4"}, {"action_type": "landing_page_view", "value": "abc"}, None]
+    base = {"date_start": "2024-05-10", "ad_id": "1", "ad_name": "a", "campaign_id": "c", "campaign_name": "Quiz/A", "spend": "1.50", "impressions": "10", "clicks": "2"}
+    changes = [
+        {}, {"actions": plays}, {"actions": sales, "action_values": [{"action_type": "purchase", "value": "12.345"}, {"action_type": "omni_purchase", "value": "x"}]},
+        {"actions": [], "video_3_sec_watched_actions": plays, "video_p25_watched_actions": [{"action_type": "video_view", "value": None}]},
+        {"date_start": "2020-01-01"}, {"date_start": "bad"}, {"date_start": None}, {"campaign_name": "Other"}, {"campaign_name": None}, {"spend": None, "clicks": "1e3"},
+        {"spend": "1e17"}, {"spend": "NaN"}, {"clicks": "99999999999999999999", "date_start": "2020-01-01"}, {"actions": [{"action_type": "x", "value": "-1E25"}]},
+        {"impressions": "0000000000000000000012"}, {"actions": "text"}, {"video_p25_watched_actions": [{"value": "9e18"}], "campaign_name": "Other"},
+    ]
+    return [json.dumps(base | c) for c in changes] + ['{"date_start": "2024-05-10", "clicks": "1e30", "ad', "[1", "null", "\t", "   ", ""]
+
+
+def test_a_load_takes_what_was_checked_parsed_and_kept(spark, tmp_path):
+    (tmp_path / "export.json").write_text("\n".join(odd_lines()))
+    period, path = periods.between("2024-05-01", "2024-05-10"), str(tmp_path / "export.json")
+    for campaign in ("Quiz", None):
+        taken, seen = load._taken(spark, path, campaign, period)
+        sound = ins.check_insights(tables.read_insights(spark, path)).where("motivo is null").drop("motivo")
+        expected = ins.kept_rows(ins.parse_insights(sound), campaign, period=period)
+        assert taken.dtypes == expected.dtypes
+        assert sorted(map(repr, taken.collect())) == sorted(map(repr, expected.collect())) and expected.count() == (7 if campaign else 9)
+        assert seen.get["malformadas"] == tables.malformed_insights(spark, path).count() == 4
+        assert seen.get["recusadas"] == 4
+
+
+def test_nested_fields_do_not_pass_the_counting(spark, tmp_path):
+    tables.write_insights(records(spark, 10), str(tmp_path / "export"))
+    taken, _ = load._taken(spark, str(tmp_path / "export"), "Quiz", periods.between("2001-07-01", "2001-07-31"))
+    plan = taken._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("from_json(") == 1
+    while "CollectMetrics" not in plan.nodeName():
+        plan = plan.children().head()
+    assert "array" not in plan.schema().simpleString()
+
+
+def test_a_value_is_looked_at_closely_only_if_it_can_be_too_large(spark):
+    texts = ["1", "abc", "e", "1e18", "9e18", "1E400", "-9.3e18", "9223372036854775807", "9223372036854775808", "  9999999999999999999 ", "1234567890123456", "12345 678901234567890", "0x1p70", "0x1p70          ", "Infinity", "", None]
+    rows = spark.createDataFrame([(t, t, t, [{"action_type": "x", "value": "5"}, {"action_type": "y", "value": t}]) for t in texts], "spend string, impressions string, clicks string, actions array<struct<action_type:string,value:string>>")
+    for kept in (["spend"], ["clicks"], ["actions"], rows.columns):
+        plain = " ".join(f"when {act.holds_too_large(c) if c == 'actions' else too_large(c, c == 'spend')} then '{c}'" for c in rows.columns if c in kept)
+        got = ins.check_insights(rows.select(*kept)).withColumn("esperado", F.expr(f"case {plain} end")).collect()
+        assert [r.motivo for r in got] == [r.esperado for r in got] and any(r.motivo for r in got)
+
+
+def test_records_of_three_loads_are_exported_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(queries, "write_insights", lambda rows, path: written.append(rows.count()) or tables.write_insights(rows, path))
+    audits = queries.QUERIES["load_incremental"](spark, "/root/testdata/sf0.001").collect()
+    assert len(audits) == 3 and sum(written) == 2 * drv.nested_insights(spark, "/root/testdata/sf0.001").count()
+
+
+def test_a_task_reads_about_one_file(spark, tmp_path):
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key, None)
+    with tables.files_apart(spark):
+        assert spark.conf.get(key) == "16m"
+    assert spark.conf.get(key, None) == before
