@@ -1,5 +1,6 @@
 """Exports of ad insights: compressed, several files, each line parsed once; loads that leave little on disk."""
 
+import datetime as dt
 import json
 from pathlib import Path
 
@@ -164,3 +165,18 @@ def test_a_task_reads_about_one_file(spark, tmp_path):
     with tables.files_apart(spark):
         assert spark.conf.get(key) == "16m"
     assert spark.conf.get(key, None) == before
+
+
+def test_digests_of_a_load_sort_once(spark, tmp_path, monkeypatch):
+    from leadcurve.sources import local, schemas
+
+    plans = []
+    digests = load.day_digests
+    monkeypatch.setattr(load, "day_digests", lambda facts: plans.append(facts._jdf.queryExecution().executedPlan().toString()) or digests(facts))
+    for name in ("dias", "horas"):
+        (tmp_path / f"{name}.json").write_text("\n".join(odd_lines()))
+    creatives, aliases = local.local_table(spark, schemas.CREATIVES, []), local.local_table(spark, schemas.ALIASES, [])
+    day = dt.date(2024, 5, 10)
+    config = load.refresh_ads(spark, str(tmp_path / "t"), str(tmp_path / "dias.json"), str(tmp_path / "horas.json"), creatives, aliases, "v1", day, dt.datetime(2024, 5, 10), load.LoadRules("Quiz"))
+    assert config.value(load.AUDIT_KEY, {})["ok"] and plans[0].count("Exchange hashpartitioning(") == 1
+    assert plans[0].count("- Sort [") == 1
